@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listinglake.llm import packing, sharding, url_filter
+from listinglake.llm import decontamination, packing, pseudonyms, quality, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sharding": sharding.op3_sharding,
+        "op5_quality": quality.op5_quality,
+        "op7_decontamination": decontamination.op7_decontamination,
+        "op8_pseudonyms": pseudonyms.op8_pseudonyms,
         "op9_packing": packing.op9_packing,
         "op10_url_filter": url_filter.op10_url_filter,
     }
