@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -235,9 +236,9 @@ def decontaminate(
     if not clean_text:
         return out.select(*[c for c in names if c not in new], *new)
 
-    @F.udf("string", useArrow=True)
-    def cut(text, bounds):
-        return without(text, bounds)
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, bounds: pd.Series) -> pd.Series:
+        return pd.Series([without(t, b) if len(b) else t for t, b in zip(text, (x.tolist() for x in bounds), strict=True)], dtype=object)
 
     out = out.withColumn(text_col, F.when(F.col("contaminated"), cut(text_col, "bounds")).otherwise(F.col(text_col)))
     return out.select(*[c for c in names if c not in new], *new)

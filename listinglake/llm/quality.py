@@ -214,7 +214,7 @@ def apply_rules(docs: DataFrame, model: BoostedTrees, *, threshold: float = 0.5,
     for c in BASE:
         out = out.withColumn(c, F.lit(None).cast("long"))
     out = out.withColumns({"base_failed": F.lit(None).cast("boolean"), "score": F.lit(None).cast("double"), "kept": F.lit(None).cast("boolean")})
-    schema = out.schema
+    schema, names = out.schema, out.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -225,7 +225,7 @@ def apply_rules(docs: DataFrame, model: BoostedTrees, *, threshold: float = 0.5,
                 failed = (figures[:, 0] < 10) | (100 * figures[:, 4] > 20 * figures[:, 0])
                 score = model.score(np.array([x for _, x in both], dtype=float).reshape(-1, len(FEATURES)))
                 cols = [*figures.T, failed, score, ~failed & (score >= threshold)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c) for c in cols]], names=out.columns)
+                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c) for c in cols]], names=names)
 
     return base.mapInArrow(run, schema)
 
