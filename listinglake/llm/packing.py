@@ -9,6 +9,7 @@ are consecutive within each input partition, which makes equal-length batches a
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,10 +22,14 @@ from pyspark.sql import functions as F
 from listinglake.llm.common import table
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, bucket int, sequence_id long, offset long, ids binary"
-#: Chunks of text whose ids a worker keeps; beyond it the memo starts anew, which changes speed only.
+#: Chunks of text whose ids a worker keeps, and half the words; beyond it the memo starts anew, which changes speed only.
 MEMO = 400_000
 SLICE = 512
 SPACES = re.compile(r"\s\s")
+WHITE = re.compile(r"\s")
+#: White space but for the space itself.
+CONTROL = frozenset(chr(c) for c in range(0x3001) if c != 32 and chr(c).isspace())
+MARKS = string.punctuation
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -38,7 +43,8 @@ class ChunkEncoder:
 
     A single space between two other characters always starts a new pre-token of the byte-level vocabulary, and so
     does a single newline; what lies between them is encoded alone and remembered, which gives the ids of the whole
-    text. Runs of white space are left inside their chunk.
+    text. A word of the Latin blocks with ASCII marks behind it is remembered as word and marks, which are pre-tokens of their own.
+    Runs of white space are left inside their chunk.
     """
 
     def __init__(self, path: str):
@@ -47,19 +53,42 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.plain: dict[str, bytes] = {"": b""}
         self.spaced: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.newline = self._ids(["\n"])[0]
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def _know(self, wanted: set[str]) -> None:
+        """Chunks not known yet are encoded together, a line each: the newline's own id then parts them again."""
+        wanted = wanted.difference(self.known)
+        if odd := [x for x in wanted if not x.strip() or x[0] in CONTROL or WHITE.search(x, 1)]:
+            self.known.update(zip(odd, self._ids(odd), strict=True))
+            wanted.difference_update(odd)
+        if lines := list(wanted):
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = [*np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0]).tolist(), len(ids)]
+            data, start = ids.tobytes(), 0
+            for x, end in zip(lines, ends, strict=True):
+                self.known[x] = data[4 * start : 4 * end]
+                start = end + 1
+
     def _learn(self, memo: dict[str, bytes], parts: set[str], prefix: str) -> None:
-        if new := list(parts.difference(memo)):
-            memo.update(zip(new, self._ids([prefix + x for x in new]), strict=True))
+        new = list(parts.difference(memo))
+        words = [x.rstrip(MARKS) for x in new]
+        words = [prefix + (w if w.isalpha() and max(w) < "\u0250" else x) for w, x in zip(words, new, strict=True)]
+        at = len(prefix)
+        marks = [x[len(w) - at :] for w, x in zip(words, new, strict=True)]
+        self._know({*words, *marks})
+        known = self.known
+        memo.update(zip(new, [known[w] + known[m] for w, m in zip(words, marks, strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.plain) + len(self.spaced) > MEMO:
             self.plain, self.spaced = {"": b""}, {}
+        if len(self.known) > 2 * MEMO:
+            self.known = {}
         cut = [
             [SAFE_SPACE.split(text)] if SPACES.search(text) else [line.split(" ") for line in text.split("\n")]
             for text in texts
