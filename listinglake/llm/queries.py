@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listinglake.llm import decontamination, packing, pseudonyms, quality, sharding, url_filter
+from listinglake.llm import decontamination, licenses, near_dedup, packing, pseudonyms, quality, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": near_dedup.op1_near_dedup,
+        "op2_licenses": licenses.op2_licenses,
         "op3_sharding": sharding.op3_sharding,
         "op5_quality": quality.op5_quality,
         "op7_decontamination": decontamination.op7_decontamination,
@@ -21,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": url_filter.oracle()}
+    return {"op2_licenses": licenses.oracle(), "op10_url_filter": url_filter.oracle()}
