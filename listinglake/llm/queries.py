@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listinglake.llm import decontamination, licenses, near_dedup, packing, pseudonyms, quality, sharding, url_filter
+from listinglake.llm import cross_entropy, decontamination, licenses, near_dedup, packing, pseudonyms, quality, sharding, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_dedup": near_dedup.op1_near_dedup,
         "op2_licenses": licenses.op2_licenses,
         "op3_sharding": sharding.op3_sharding,
+        "op4_cross_entropy": cross_entropy.op4_cross_entropy,
         "op5_quality": quality.op5_quality,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_decontamination": decontamination.op7_decontamination,
         "op8_pseudonyms": pseudonyms.op8_pseudonyms,
         "op9_packing": packing.op9_packing,
