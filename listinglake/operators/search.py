@@ -182,15 +182,20 @@ def radius_join(origins: DataFrame, df: DataFrame, km: float) -> DataFrame:
     is on the cell alone, which adaptive execution can split where one is crowded; the exact distance decides.
     """
     size = max(km / geo.DEGREE_KM, 0.01)
-    # A degree of longitude shortens towards the poles: search as many cells as the origin's latitude needs.
-    reach = F.least(F.lit(180), F.ceil(F.lit(1.0) / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.abs("origin_lat") + size)))))).cast("int")
+    around = ceil(360 / size)
+    # A degree of longitude shortens towards the poles: as many cells as the far edge of the origin's circle needs, all
+    # beyond 89 degrees; one more, as the last cell before the date line may be a narrow one.
+    edge = F.abs("origin_lat") + size
+    reach = F.when(edge >= 89, around).otherwise(F.least(F.lit(around), F.ceil(1 / F.cos(F.radians(F.least(edge, F.lit(89.0))))) + 1)).cast("int")
+    lat_cell, lon_cell = geo.cell(F.col("origin_lat"), size), geo.cell(F.col("origin_lon") + 180, size)
+    columns = F.array_distinct(F.transform(F.sequence(lon_cell - reach, lon_cell + reach), lambda c: F.pmod(c, F.lit(around))))
     near = (
         origins.where("origin_lat is not null and origin_lon is not null")
-        .withColumn("cell_lat", F.explode(F.sequence(geo.cell(F.col("origin_lat"), size) - 1, geo.cell(F.col("origin_lat"), size) + 1)))
-        .withColumn("cell_lon", F.explode(F.sequence(geo.cell(F.col("origin_lon"), size) - reach, geo.cell(F.col("origin_lon"), size) + reach)))
+        .withColumn("cell_lat", F.explode(F.sequence(lat_cell - 1, lat_cell + 1)))
+        .withColumn("cell_lon", F.explode(columns))
     )
     placed = df.where("latitude is not null and longitude is not null").withColumns(
-        {"cell_lat": geo.cell(F.col("latitude"), size), "cell_lon": geo.cell(F.col("longitude"), size)}
+        {"cell_lat": geo.cell(F.col("latitude"), size), "cell_lon": F.pmod(geo.cell(F.col("longitude") + 180, size), F.lit(around))}
     )
     pairs = near.join(placed, ["cell_lat", "cell_lon"])
     far = geo.haversine(F.col("origin_lat"), F.col("origin_lon"), F.col("latitude"), F.col("longitude"))

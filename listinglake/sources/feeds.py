@@ -31,7 +31,7 @@ class SourceSpec:
 
 def raw(df: DataFrame, source: str, **columns: Column) -> DataFrame:
     """The raw listing columns, null where a source has no value."""
-    null = F.lit(None).cast("string")
+    null = F.lit(None)
     kinds = {"prize_amount": "decimal(18,2)", "themes": "array<string>"}
     return df.select(F.lit(source).alias("source"), *[columns.get(c, null).cast(kinds.get(c, "string")).alias(c) for c in RAW_COLUMNS[1:]])
 
