@@ -1,0 +1,287 @@
+"""Each operator against a plain form, and on nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from listinglake.llm import cross_entropy, decontamination, licenses, near_dedup, packing, pseudonyms, quality, sharding, suffix_dedup, url_filter
+from listinglake.llm import queries as llm
+from pyspark.sql import functions as F
+from tests.llm import plain
+from tests.oracle import assert_same, duck
+
+DOCS = "doc_id long, text string"
+
+
+def frame(spark, docs, schema=DOCS, parts=3):
+    return spark.createDataFrame(docs, schema).repartition(parts)
+
+
+def prose(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Copies, near copies, shared passages, null, empty, wordless, long texts and a repeated row."""
+    rng = random.Random(7)
+    docs, origin = [], prose(rng, 120).split()
+    passage = prose(rng, 60)
+    for _ in range(40):
+        docs.append(prose(rng, rng.choice([1, 3, 6, 12, 18, 40, 90, 200])))
+    for k in range(25):
+        near = list(origin)
+        for _ in range(k % 4):
+            near[rng.randrange(len(near))] = "x" + str(rng.randrange(99))
+        docs.append(" ".join(near))
+    docs += [f"{prose(rng, 30)} {passage} {prose(rng, 30)}" for _ in range(6)]
+    docs += [docs[0], docs[5], docs[5].upper(), "a b c d e f g h i", "a b c d e f g h i j", None, None, "", "", "!!!", "???", prose(rng, 4000)]
+    rows = list(enumerate(docs))
+    return [*rows, rows[3]]
+
+
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    assert_same(llm.queries()[name](spark, sf_dir).toPandas(), duck(sf_dir, llm.oracle_sql()[name]))
+
+
+def test_near_duplicates_are_the_components_of_all_pairs(spark, corpus):
+    rows = near_dedup.near_duplicates(frame(spark, corpus).withColumn("class_id", F.lit(1))).collect()
+    assert len(rows) == len(corpus)
+    want = plain.classes(corpus)
+    assert {r["doc_id"]: r["class_id"] for r in rows} == want
+    kept = [r["doc_id"] for r in near_dedup.representatives(frame(spark, corpus)).collect()]
+    assert sorted(kept) == sorted({c for c in want.values()})
+
+
+def test_order_minhash_sees_order():
+    a = near_dedup.word_hashes([f"w{i}".encode() for i in range(60)], {})
+    assert near_dedup.similar(a, a, 5, 0.8)
+    assert not near_dedup.similar(np.concatenate([a[:30], a[30:]]), np.concatenate([a[30:], a[:30]]), 5, 0.8)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_banded_distance_is_the_edit_distance(seed):
+    rng = random.Random(seed)
+    for _ in range(60):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(12))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+        for limit in (0, 2, 5, 12):
+            assert near_dedup.banded_distance(np.array(a), np.array(b), limit) == min(row[-1], limit + 1)
+
+
+def test_shards_are_even_and_gapless(spark):
+    rows = [(i % 90, None if i % 17 == 0 else "é" * (i % 50), "src0" if i % 3 else f"src{i % 7}", i % 40) for i in range(1000)]
+    docs = frame(spark, rows, "doc_id long, text string, source string, n_chars long", 7)
+    got = sharding.hilbert_shards(docs, ["source", "n_chars"]).toPandas()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got.itertuples()) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _, _ in rows)
+    sizes = got.groupby("shard").size()
+    assert list(sizes.index) == list(range(16)) and sizes.max() - sizes.min() <= 1
+    assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard")["slot"])
+    spread = got.groupby("shard")["q_1"].agg(lambda x: x.max() - x.min()).mean()
+    assert spread < got["q_1"].max()
+    assert sharding.hilbert_shards(docs.limit(0), ["source"]).count() == 0
+
+
+@pytest.mark.parametrize("d, bits", [(2, 3), (3, 2), (4, 2)])
+def test_hilbert_curve_visits_all_cells_step_by_step(d, bits):
+    cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * d, indexing="ij"), -1).reshape(-1, d)
+    at = sharding.hilbert_index(cells, bits)
+    assert sorted(at) == list(range(len(cells)))
+    assert (np.abs(np.diff(cells[np.argsort(at)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_cross_entropy_equals_plain_counting(spark):
+    rng = random.Random(3)
+    docs = [(i, prose(rng, rng.choice([0, 1, 20, 60]), 30)) for i in range(60)] + [(60, None)]
+    target = spark.createDataFrame([(i,) for i in range(0, 60, 4)] + [(0,), (None,)], "doc_id long")
+    voc, t, b = cross_entropy.train(frame(spark, docs), target, vocabulary=20, buckets=1 << 16)
+    counts = Counter(w.encode() for _, x in docs for w in plain.words(x))
+    assert list(voc.ids) == [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:20]]
+    got = {r["doc_id"]: r for r in cross_entropy.score(frame(spark, docs).withColumn("ce_diff", F.lit("x")), voc, t, b).collect()}
+    for model, ids, column in ((b, range(61), "h_background"), (t, range(0, 60, 4), "h_target")):
+        uni, ctx, bi = Counter(), Counter(), Counter()
+        for i, x in docs:
+            if i in ids:
+                w = [voc.ids.get(y.encode(), 0) for y in plain.words(x)]
+                for p, y in zip([len(voc.ids) + 1, *w], w, strict=False):
+                    uni[y] += 1
+                    ctx[p] += 1
+                    bi[p, y] += 1
+        n, v = sum(uni.values()), len(model.unigrams)
+        for i, x in docs:
+            w = [voc.ids.get(y.encode(), 0) for y in plain.words(x)]
+            if not w:
+                assert got[i][column] is None
+                continue
+            h = [-np.log((bi[p, y] + 4 * (uni[y] + 1) / (n + v)) / (ctx[p] + 4)) for p, y in zip([len(voc.ids) + 1, *w], w, strict=False)]
+            assert got[i][column] == pytest.approx(np.mean(h), rel=1e-3)
+
+
+def test_quality_figures_and_verdicts(spark, corpus):
+    extra = [(900 + i, t) for i, t in enumerate(["a b c d e\na b c d e\n\n \na b c d e", "x # $ % & | < > *", "é\u00a0ü \x0b y\x0cz", "one two three four five six seven eight nine ten"])]
+    docs = [*corpus, *extra]
+    model = quality.fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0), list(quality.FEATURES.values()))
+    for r in quality.apply_rules(frame(spark, docs).withColumn("kept", F.lit(1)), model).collect():
+        want = plain.base_figures(dict(docs)[r["doc_id"]])
+        assert [r[c] for c in quality.BASE] == want
+        assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+        assert not (r["kept"] and r["base_failed"])
+
+
+def test_repeated_words_with_a_large_vocabulary():
+    ids = np.arange(9000)
+    ids[5000:5007] = ids[10:17]
+    assert quality.repeated_words(ids, 9000) == 14
+
+
+def test_trees_are_monotone_and_learn():
+    rng = np.random.default_rng(1)
+    x = rng.random((3000, 3))
+    y = ((x[:, 0] < 0.6) & (x[:, 1] > 0.2) ^ (rng.random(3000) < 0.05)).astype(float)
+    model = quality.fit(x[:2000], y[:2000], [-1, 1, 0])
+    assert ((model.score(x[2000:]) > 0.5) == (y[2000:] > 0.5)).mean() > 0.9
+    for j, sign in ((0, -1), (1, 1)):
+        for _ in range(50):
+            line = np.tile(rng.random(3), (40, 1))
+            line[:, j] = np.linspace(0, 1, 40)
+            assert (sign * np.diff(model.raw(line)) >= -1e-12).all()
+
+
+def test_quality_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    model = quality.train(docs, labels.where("doc_id % 3 != 0"))
+    judged = quality.apply_rules(docs.join(labels.where("doc_id % 3 = 0"), "doc_id"), model).where("not base_failed")
+    n, right = judged.agg(F.count(F.lit(1)), F.count_if(F.col("kept") == (F.col("quality") == 1))).first()
+    assert n > 500 and right / n > 0.97
+    assert quality.train(docs, labels.limit(0)).score(np.zeros((2, len(quality.FEATURES)))).min() > 0.9
+
+
+def test_repeated_passages(spark, corpus):
+    for least, k, span in ((50, 8, 32), (20, 4, 12)):
+        got = {}
+        for r in suffix_dedup.repeated_passages(frame(spark, corpus), least=least, k=k, span=span).collect():
+            got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["start_word"] + r["n_words"]))
+        assert got == plain.repeats(dict(corpus).items(), least)
+    assert suffix_dedup.repeated_passages(frame(spark, corpus).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("window, block", [(3, 60), (5, 1 << 20), (13, 1 << 20)])
+def test_decontamination(spark, window, block):
+    rng = random.Random(window)
+    text = lambda n: " ".join(rng.choice("abcé") for _ in range(n))
+    items = [(i, text(rng.choice([1, 2, 4, 6, 9, 14, 20]))) for i in range(12)] + [(50, None), (51, "..."), (None, "a b c")]
+    docs = [(i, text(rng.choice([0, 3, 8, 30]))) for i in range(150)] + [(150, None), (151, items[0][1].upper())]
+    want = plain.contamination(docs, [x for x in items if x[0] is not None], window)
+    found = decontamination.decontaminate(frame(spark, docs).withColumn("items", F.lit(1)), frame(spark, [*items, items[0]], "item_id long, text string"), window=window, block_bytes=block)
+    for r in found.collect():
+        n, hit, its, bad = want[r["doc_id"]]
+        assert (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == (n, hit, its, bad)
+        assert sum(r["bounds"][1::2]) - sum(r["bounds"][::2]) == hit
+
+
+def test_hit_ranges_are_cut(spark):
+    docs, items = frame(spark, [(1, "x, A b c. y"), (2, "q"), (3, None)]), frame(spark, [(1, "a b c")], "item_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in decontamination.decontaminate(docs, items, clean_text=True).collect()}
+    assert got == {1: "x, . y", 2: "q", 3: None}
+
+
+def test_pseudonyms(spark):
+    said = {
+        1: "card 4111 1111 1111 1111 and 4111-1111-1111-1111, not 4111111111111112",
+        2: "mail Jo.Do7@mail3.example.com or 192.168.7.45, call +1 (275) 555-5927",
+        3: "born 1984-02-29, again 29/02/1984; not 31/02/1984; SSN 123-45-6789; DE89 3704 0044 0532 0130 00",
+        4: 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"',
+        5: None, 6: "", 7: "nothing here, 12 of 345", 8: "card 4111 1111 1111 1111",
+    }
+    docs = frame(spark, list(said.items())).withColumn("pii", F.lit(3))
+    out = pseudonyms.pseudonymise(docs, pseudonyms.DEMO_KEY)
+    new = {r["doc_id"]: r for r in out.collect()}
+    kinds = {k: [x["kind"] for x in r["pii"]] for k, r in new.items()}
+    assert kinds == {1: ["card", "card"], 2: ["email", "ip", "phone"], 3: ["date", "date", "ssn", "iban"], 4: ["secret"], 5: [], 6: [], 7: [], 8: ["card"]}
+    for k, r in new.items():
+        for x in r["pii"]:
+            assert said[k][x["start"] : x["start"] + x["length"]] != r["text"][x["start"] : x["start"] + x["length"]]
+    assert new[5]["text"] is None and new[6]["text"] == "" and new[7]["text"] == said[7] and "4111111111111112" in new[1]["text"]
+    assert new[1]["text"][5:24] == new[8]["text"][5:24] and new[1]["text"][29:48].replace("-", " ") == new[8]["text"][5:24]
+    y, m, d = new[3]["text"][5:15].split("-")
+    assert f"{d}/{m}/{y}" in new[3]["text"] and "31/02/1984" in new[3]["text"]
+    back = pseudonyms.pseudonymise(out, pseudonyms.DEMO_KEY, back=True)
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == said
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 100, 1000])
+def test_feistel_is_a_permutation(n):
+    f = pseudonyms.Feistel(b"k" * 16)
+    image = [f.permute(x, n, "t") for x in range(n)]
+    assert sorted(image) == list(range(n)) and [f.permute(y, n, "t", back=True) for y in image] == list(range(n))
+
+
+def test_packing_gives_the_tokenizers_ids(spark, corpus):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    odd = ["  a  b ", "\n\nx\n", "it's\tx", "x\x1c y", "a.b, c!!! — é… 12,5 Ⅷ. 日本 語  x", "<|endoftext|> a"] + ["".join(rng.choice(" \n\tab'.s1é語\u3000\x1c") for _ in range(25)) for _ in range(300)]
+    docs = [*corpus, *[(2000 + i, t) for i, t in enumerate(odd)]]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    rows = packing.pack_power_of_two(frame(spark, docs), path, max_len=64).collect()
+    assert len({r["sequence_id"] for r in rows}) == len(rows)
+    pieces, copies = {}, Counter(i for i, _ in docs)
+    for r in rows:
+        assert r["length"] & (r["length"] - 1) == 0 and r["length"] <= 64 and r["offset"] == 0 and len(r["ids"]) == 4 * r["length"]
+        pieces.setdefault(r["doc_id"], []).append((r["start"], bytes(r["ids"])))
+    for i, t in docs:
+        ids = [*own.encode(t or "", add_special_tokens=False).ids, 0]
+        data = b"".join(d for _, d in sorted(set(pieces[i])))
+        assert np.frombuffer(data, "<u4").tolist() == ids and len(pieces[i]) == copies[i] * len(packing.piece_lengths(len(ids), 64))
+    with pytest.raises(ValueError):
+        packing.pack_power_of_two(frame(spark, docs), path, max_len=100)
+
+
+def test_url_rules_equal_trying_all(spark):
+    import re
+
+    urls = [None, "", "no url", "http://", "HTTP://Blog.A.example.com/en/77.html", "https://x.com/EN/1", "https://a.net/de/8?q#f", "http://m.q.org/es/1/", "http://notexample.com/en/7", "x://a?page=1&ref=2", "http://u:p@h.org:80/es/"]
+    urls += [f"http://{h}.example.{t}/{l}/{n}{e}" for h in ("blog", "m", "www") for t in ("com", "net", "org") for l in ("en", "de", "es") for n in (7, 81) for e in ("", ".html", "/", "?utm_source=feed", "?page=2&ref=x", "#top")]
+    pages = spark.createDataFrame([(i % 50, u, "x") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    for block in (2, 50_000):
+        got = url_filter.pattern_verdicts(pages, url_filter.PATTERN_RULES, block_rules=block).collect()
+        assert len(got) == len(urls)
+        for r in got:
+            low = (r["url"] or "").translate(url_filter.LOWER)
+            fits = [k for k, p in enumerate(url_filter.PATTERN_RULES) if r["url"] is not None and re.search(p.pattern, low)]
+            assert r["pattern_rule"] == (fits[0] if fits else None)
+            assert all(set(url_filter.PATTERN_RULES[k].literals) <= set(re.findall(url_filter.TOKEN, low)) for k in fits)
+    by = {r["url"]: r for r in url_filter.filter_urls(pages).collect()}
+    assert (by[None]["host"], by[None]["path"], by[None]["rule"]) == ("", "", None)
+    assert by["HTTP://Blog.A.example.com/en/77.html"]["rule"] == "example.com/en/7" and by["https://x.com/EN/1"]["rule"] is None
+    assert by["http://notexample.com/en/7"]["rule"] == "com/en/" and by["https://a.net/de/8?q#f"]["rule"] == "net/de/"
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_licenses_on_odd_rows(spark):
+    docs = frame(spark, [(1, None), (2, ""), (3, "MIT License mit-license"), (3, "MIT License mit-license"), (4, "license apache")]).withColumn("matches", F.lit(1))
+    got = [(r["doc_id"], r["n_words"], [(m["start"], m["label"]) for m in r["matches"]]) for r in licenses.scan_licenses(docs).collect()]
+    assert sorted(got) == [(1, 0, []), (2, 0, []), (3, 4, [(0, "mit"), (2, "mit")]), (3, 4, [(0, "mit"), (2, "mit")]), (4, 2, [])]
+    plan = licenses.scan_licenses(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_operators_on_empty_tables(spark):
+    none = spark.createDataFrame([], DOCS)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert near_dedup.near_duplicates(none).count() == 0
+    assert licenses.scan_licenses(none).count() == 0
+    assert quality.apply_rules(none, quality.train(none, labels)).count() == 0
+    assert decontamination.decontaminate(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    assert pseudonyms.pseudonymise(none, pseudonyms.DEMO_KEY).count() == 0
+    assert cross_entropy.score(none, *cross_entropy.train(none, labels)).count() == 0
