@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from listinglake import refdata
 from listinglake.functions import geo, similarity, status, text
-from listinglake.operators import dedupe, facets, merge, milestones, places, search, sinks, stats
+from listinglake.operators import dedupe, enrich, exports, facets, merge, milestones, places, search, sinks, stats
 from listinglake.plans.listings import NOW, TABLES, listing_cte, listings, tables
 from listinglake.sources import feeds
 from listinglake.streaming import jobs
@@ -599,6 +599,112 @@ def place_resolution(spark, sf_dir):
     return places.resolve_places(texts, places.default_places(spark))
 
 
+# ---- completion and exports
+
+
+@query(f"""{CTE} SELECT listing_id, coalesce(d.organizer, L.organizer) AS organizer, coalesce(d.prize, prize_amount) AS prize_amount, CASE WHEN d.listing_id IS NULL THEN 'partially_verified' ELSE 'source_confirmed' END AS confidence
+  FROM L LEFT JOIN (SELECT o_orderkey AS listing_id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS organizer, o_totalprice + 1 AS prize FROM orders WHERE o_orderkey % 2 = 0) d USING (listing_id)""")
+def detail_override(spark, sf_dir):
+    (orders,) = tables(spark, sf_dir, "orders")
+    details = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("listing_id"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderpriority")).alias("organizer"), (F.col("o_totalprice") + 1).alias("prize_amount"))
+    return enrich.with_details(listings(spark, sf_dir), details, "listing_id", ["organizer", "prize_amount"]).select("listing_id", "organizer", "prize_amount", "confidence")
+
+
+GEO = """SELECT CAST(s_nationkey AS VARCHAR) AS place_key, CASE s_suppkey % 4 WHEN 0 THEN 'country' WHEN 1 THEN 'city' WHEN 2 THEN 'venue' ELSE 'else' END AS feature, CAST(s_suppkey AS DOUBLE) AS latitude, CAST(s_suppkey % 90 AS DOUBLE) AS longitude FROM supplier"""
+BEST_GEO = f"""SELECT place_key, feature, latitude, longitude FROM (SELECT *, row_number() OVER (PARTITION BY place_key ORDER BY CASE feature WHEN 'venue' THEN 0 WHEN 'city' THEN 3 WHEN 'country' THEN 5 ELSE 6 END, latitude) AS r FROM ({GEO})) WHERE r = 1"""
+
+
+def _geocodes(spark, sf_dir):
+    n = F.col("s_suppkey") % 4
+    feature = F.when(n == 0, "country").when(n == 1, "city").when(n == 2, "venue").otherwise("else")
+    return tables(spark, sf_dir, "supplier")[0].select(F.col("s_nationkey").cast("string").alias("place_key"), feature.alias("feature"), F.col("s_suppkey").cast("double").alias("latitude"), (F.col("s_suppkey") % 90).cast("double").alias("longitude"))
+
+
+@query(BEST_GEO)
+def geocode_pick(spark, sf_dir):
+    return enrich.best_geocode(_geocodes(spark, sf_dir))
+
+
+@query(f"""WITH g AS ({BEST_GEO}), c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey % 25 AS VARCHAR) END AS venue_key, CAST(c_nationkey AS VARCHAR) AS place_key, CASE WHEN c_custkey % 5 = 0 THEN 1.5 END::DOUBLE AS latitude FROM customer)
+SELECT c_custkey, coalesce(c.latitude, v.latitude, p.latitude) AS latitude, CASE WHEN c.latitude IS NOT NULL THEN 2.5 WHEN v.latitude IS NOT NULL THEN v.longitude ELSE p.longitude END::DOUBLE AS longitude
+FROM c LEFT JOIN g v ON v.place_key = venue_key LEFT JOIN g p ON p.place_key = c.place_key""")
+def coordinates_backfill(spark, sf_dir):
+    (customer,) = tables(spark, sf_dir, "customer")
+    given = F.col("c_custkey") % 5 == 0
+    rows = customer.select(
+        "c_custkey", F.when(F.col("c_custkey") % 3 == 0, (F.col("c_custkey") % 25).cast("string")).alias("venue_key"), F.col("c_nationkey").cast("string").alias("place_key"),
+        F.when(given, 1.5).alias("latitude"), F.when(given, 2.5).alias("longitude"),
+    )
+    return enrich.with_coordinates(rows, enrich.best_geocode(_geocodes(spark, sf_dir))).select("c_custkey", "latitude", "longitude")
+
+
+PROVENANCE = " UNION ALL ".join(f"SELECT {EVENT} AS event_id, listing_id, source, {CONFIDENCE} AS confidence, last_verified_at AS t, '{f}' AS field, CAST({f} AS VARCHAR) AS value FROM L WHERE {f} IS NOT NULL" for f in ("title", "mode", "eligibility"))
+
+
+def _provenance(spark, sf_dir):
+    return enrich.provenance(_events(spark, sf_dir), ["title", "mode", "eligibility"], F.expr(CONFIDENCE))
+
+
+@query(f"""{CTE} SELECT event_id, field, value, confidence, source, listing_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id, field ORDER BY CASE confidence WHEN 'verified' THEN 0 WHEN 'source_confirmed' THEN 1 WHEN 'inferred' THEN 3 ELSE 4 END, t DESC, listing_id) AS r FROM ({PROVENANCE})) WHERE r = 1""")
+def best_provenance(spark, sf_dir):
+    return enrich.best_provenance(_provenance(spark, sf_dir))
+
+
+@query(f"{CTE} SELECT event_id, field, string_agg(value, '|' ORDER BY value) AS vals FROM (SELECT DISTINCT event_id, field, value FROM ({PROVENANCE})) GROUP BY ALL HAVING count(*) > 1")
+def conflict_lists(spark, sf_dir):
+    return enrich.distinct_conflicts(_provenance(spark, sf_dir)).select("event_id", "field", F.array_join("values", "|").alias("vals"))
+
+
+@query(f"""WITH r AS ({RUNS}), g AS (SELECT source, max(row(started, run_id)) FILTER (WHERE ok) AS good FROM r GROUP BY source), f AS (SELECT g.source, count(*) FILTER (WHERE NOT ok AND (good IS NULL OR row(started, run_id) > good)) AS n, count(*) AS runs FROM r JOIN g USING (source) GROUP BY g.source)
+SELECT s.source, s.enabled, CASE WHEN NOT enabled THEN 'disabled' WHEN runs IS NULL THEN 'unknown' WHEN n >= 3 THEN 'failing' WHEN n > 0 THEN 'degraded' ELSE 'healthy' END AS health, coalesce(records, 0) AS records
+FROM (SELECT s_suppkey AS source, s_suppkey % 7 <> 0 AS enabled FROM supplier) s LEFT JOIN f USING (source) LEFT JOIN (SELECT c_custkey % 60 AS source, count(*) AS records FROM customer GROUP BY 1) c USING (source)""")
+def source_catalog(spark, sf_dir):
+    supplier, customer = tables(spark, sf_dir, "supplier", "customer")
+    catalog = supplier.select(F.col("s_suppkey").alias("source"), (F.col("s_suppkey") % 7 != 0).alias("enabled"))
+    counts = customer.groupBy((F.col("c_custkey") % 60).alias("source")).agg(F.count(F.lit(1)).alias("records"))
+    return enrich.source_catalog(catalog, stats.source_health(_runs(spark, sf_dir)), counts)
+
+
+@query(f"""{CTE} SELECT source, count(*) FILTER (WHERE start_ts IS NOT NULL AND listing_id % 3 = 0) AS inserted, count(*) FILTER (WHERE start_ts IS NOT NULL AND listing_id % 3 <> 0) AS updated, count(*) FILTER (WHERE start_ts IS NULL) AS rejected FROM L WHERE listing_id % 2 = 0 GROUP BY source""")
+def run_summary(spark, sf_dir):
+    df = listings(spark, sf_dir)
+    return enrich.run_summary(df.where("listing_id % 3 != 0"), df.where("listing_id % 2 = 0"), ["title", "start_ts"])
+
+
+@over_listings("SELECT listing_id, CASE WHEN prize_amount > 0 THEN concat('USD ', regexp_replace(printf('%,.2f', prize_amount), '\\.00$', '')) END AS prize, CASE WHEN team_size_min IS NULL AND team_size_max IS NULL THEN NULL WHEN team_size_max IS NULL THEN concat('at least ', team_size_min, CASE WHEN team_size_min = 1 THEN ' member' ELSE ' members' END) WHEN team_size_min IS NULL THEN concat('up to ', team_size_max, CASE WHEN team_size_max = 1 THEN ' member' ELSE ' members' END) WHEN team_size_min = team_size_max THEN concat(team_size_min, CASE WHEN team_size_min = 1 THEN ' member' ELSE ' members' END) ELSE concat(team_size_min, '–', team_size_max, ' members') END AS team FROM L")
+def display_text(df):
+    return df.select("listing_id", exports.prize_text(F.col("prize_amount"), F.lit("USD")).alias("prize"), exports.team_text(F.col("team_size_min"), F.col("team_size_max")).alias("team"))
+
+
+@over_listings("SELECT listing_id, coalesce(abs(epoch(deadline_ts) - epoch(start_ts)) > 86400, false) AS conflict FROM L")
+def date_conflicts(df):
+    return df.select("listing_id", enrich.date_conflict(F.col("deadline_ts"), F.col("start_ts")).alias("conflict"))
+
+
+@query(f"""{CTE}, p AS (SELECT place, count(s) AS n FROM ({PLACES}) p JOIN (SELECT city_key, {LIVE} AS s FROM L) t USING (city_key) GROUP BY place ORDER BY n DESC, place LIMIT 200),
+e AS (SELECT listing_id, {LIVE} AS s, replace({nk("title")}, ' ', '-') AS slug FROM L WHERE {LIVE} <> 'closed' ORDER BY listing_id LIMIT 2000)
+SELECT '/' AS loc, 1.0::DOUBLE AS priority UNION ALL SELECT concat('/city/', replace(lower(place), ' ', '-')), 0.8 FROM p UNION ALL SELECT concat('/event/', substr(slug, 1, 70)), CASE WHEN s = 'open' THEN 0.7 ELSE 0.5 END FROM e""")
+def sitemap(spark, sf_dir):
+    df = listings(spark, sf_dir)
+    s = status.live_status(F.col("deadline_ts"), F.col("opens_ts"), at())
+    return exports.sitemap(df.withColumn("slug", text.slug(F.col("title"))), facets.places_with_events(df, _places(spark, sf_dir), at()), s)
+
+
+@over_listings("""SELECT listing_id, concat('{"@context":"https://schema.org","@type":"Event","name":"', title, '"', CASE WHEN start_ts IS NOT NULL THEN concat(',"startDate":"', strftime(start_ts, '%Y-%m-%d'), '"') ELSE '' END, CASE WHEN mode <> 'online' THEN concat(',"location":{"@type":"Place","name":"', city_key, '"}') ELSE '' END, '}') AS document FROM L""")
+def event_documents(df):
+    return exports.event_documents(df)
+
+
+@over_listings("""SELECT city_key, concat('[', string_agg(concat('{"position":', r, ',"name":"', title, '"}'), ',' ORDER BY r), ']') AS items FROM (SELECT *, row_number() OVER (PARTITION BY city_key ORDER BY listing_id) AS r FROM L) WHERE r <= 20 GROUP BY city_key""")
+def item_lists(df):
+    return exports.item_lists(df, "city_key")
+
+
+@query("SELECT event_id, CAST(date_diff('minute', ts, timezone('UTC', timezone('America/New_York', ts AT TIME ZONE 'UTC') AT TIME ZONE 'UTC')) AS INTEGER) AS offset_minutes FROM events")
+def zone_offsets(spark, sf_dir):
+    return tables(spark, sf_dir, "events")[0].select("event_id", enrich.zone_offset(F.col("ts").cast("timestamp"), F.lit("America/New_York")).alias("offset_minutes"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in FOUND.items()}
 
