@@ -85,3 +85,16 @@ def suggest(places: DataFrame, typed: str, n: int = 8) -> DataFrame:
     )
     ranked = reg.withColumn("score", score - F.when(F.col("locality"), 8).otherwise(0)).where("score is not null")
     return ranked.select("name", "score").orderBy(F.desc("score"), "name").limit(n)
+
+
+def inherit_metro(names: DataFrame, places: DataFrame, name_col: str = "name", most_words: int = 3) -> DataFrame:
+    """(name, metro) of unlisted localities whose name starts or ends with a known place's: the first place by position.
+
+    Starts and ends of up to ``most_words`` words are joined by equality, so no pair of names and places is tried twice.
+    """
+    known = registry(places).where("metro is not null").select(F.col("place_key").alias("key"), "metro", "position")
+    base = names.select(F.col(name_col).alias("name")).distinct().withColumn("words", F.split(normal_key(F.col("name")), " "))
+    n = F.size("words")
+    ends = [F.when(n > k, F.array_join(F.slice("words", start, k), " ")) for k in range(1, most_words + 1) for start in (F.lit(1), n - k + 1)]
+    asked = base.select("name", F.explode(F.array_distinct(F.array_compact(F.array(*ends)))).alias("key"))
+    return asked.join(known, "key").groupBy("name").agg(F.min(F.struct("position", "metro"))["metro"].alias("metro"))

@@ -107,3 +107,60 @@ def windowed_counts(events: DataFrame, length: str = "1 day", late: str | None =
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
+
+
+TRANSITIONS = "listing_id long, at timestamp, old_status string, new_status string"
+
+
+def status_at(millis: int, opens: int | None, deadline: int | None) -> str:
+    """The live status of a listing at an instant, all in milliseconds."""
+    if deadline is None:
+        return "unknown"
+    if deadline <= millis:
+        return "closed"
+    return "upcoming" if opens is not None and opens > millis else "open"
+
+
+def passed_flips(old: str | None, opens: int | None, deadline: int | None, now: int) -> list[tuple[int, str, str]]:
+    """Instant, status before and after of what time alone has changed up to ``now``."""
+    order, out = {"upcoming": 0, "open": 1, "closed": 2}, []
+    for t in sorted(t for t in (opens, deadline) if t is not None and t <= now):
+        new = status_at(t, opens, deadline)
+        if order.get(new, -1) > order.get(old, 9):
+            out.append((t, old, new))
+            old = new
+    return out
+
+
+def status_transitions(records: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """A row whenever a listing's status flips, by a new record or because event time passes its opening or deadline.
+
+    ``records``: listing_id, ts (event time), opens_ts, deadline_ts. The state of a listing is its two instants and its
+    status; a timer waits for the next flip. The batch form is ``operators.sinks.status_changes``.
+    """
+
+    def millis(t) -> int | None:
+        return None if t is None or pd.isna(t) else int(pd.Timestamp(t).timestamp() * 1000)
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opens, deadline, old = state.get if state.exists else (None, None, None)
+        latest = None if state.hasTimedOut else pd.concat(list(frames)).sort_values("ts").iloc[-1]
+        now = max(state.getCurrentWatermarkMs(), -1 if latest is None else millis(latest["ts"]))
+        flips = passed_flips(old, opens, deadline, now)
+        old = flips[-1][2] if flips else old
+        if latest is not None:
+            opens, deadline = millis(latest["opens_ts"]), millis(latest["deadline_ts"])
+        new = status_at(now, opens, deadline)
+        state.update((opens, deadline, new))
+        ahead = [t for t in (opens, deadline) if t is not None and t > now]
+        if deadline is not None and ahead:
+            state.setTimeoutTimestamp(min(ahead))
+        if old is not None and old != new:
+            flips.append((now, old, new))
+        if flips:
+            at, before, after = zip(*flips, strict=True)
+            yield pd.DataFrame({"listing_id": key[0], "at": pd.to_datetime(at, unit="ms"), "old_status": before, "new_status": after})
+
+    rows = records.select("listing_id", "ts", "opens_ts", "deadline_ts").withWatermark("ts", late)
+    state = "opens long, deadline long, status string"
+    return rows.groupBy("listing_id").applyInPandasWithState(update, TRANSITIONS, state, "append", GroupStateTimeout.EventTimeTimeout)

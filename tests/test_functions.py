@@ -99,6 +99,11 @@ def test_places(spark):
     assert [r["name"] for r in places.suggest(places.default_places(spark), "mum").collect()][:2] == ["Mumbai", "Navi Mumbai"]
 
 
+def test_metro_inheritance(spark):
+    names = spark.createDataFrame([("Chennai Port",), ("Old Navi Mumbai",), ("Pune",), ("Nowhere",), (None,)], "name string")
+    assert {r["name"]: r["metro"] for r in places.inherit_metro(names, places.default_places(spark)).collect()} == {"Chennai Port": "chennai", "Old Navi Mumbai": "mumbai"}
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([(1, "a", "s1"), (2, "b", "s2")], "k long, v string, first string")
     new = spark.createDataFrame([(2, None, "s9"), (3, "c", "s3")], "k long, v string, first string")

@@ -63,3 +63,19 @@ def test_windowed_counts_with_watermark(spark, tmp_path):
     batch = {tuple(r) for r in jobs.windowed_counts(events).collect()}
     closed = {tuple(r) for r in spark.table("counts").collect()}
     assert closed and closed <= batch
+
+
+def test_statuses_flip_as_time_passes(spark, tmp_path):
+    day = timedelta(days=1)
+    schema = "listing_id long, ts timestamp, opens_ts timestamp, deadline_ts timestamp"
+    batches = [
+        [(1, T0, T0 + day, T0 + 4 * day), (2, T0, None, T0 + 2 * day), (3, T0, None, None)],
+        [(9, T0 + 3 * day, None, None)],
+        [(9, T0 + 5 * day, None, None), (2, T0 + 5 * day, None, T0 + 9 * day)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run(jobs.status_transitions(stream), "flips", "append")
+    flips = [(r["listing_id"], r["old_status"], r["new_status"]) for r in spark.table("flips").orderBy("listing_id", "at").collect()]
+    assert flips == [(1, "upcoming", "open"), (1, "open", "closed"), (2, "open", "closed"), (2, "closed", "open")]
