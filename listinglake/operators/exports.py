@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,9 +30,7 @@ def event_documents(listings: DataFrame) -> DataFrame:
 
 
 def item_lists(listings: DataFrame, group: str, n: int = 20) -> DataFrame:
-    """(group, items): ItemList entries of a group's first n listings by id, found by a bounded minimum per task."""
-    from pyspark.sql import Window
-
+    """(group, items): ItemList entries of a group's first n listings by id; Spark keeps only those before the shuffle."""
     k = F.row_number().over(Window.partitionBy(group).orderBy("listing_id"))
     top = listings.select(group, "listing_id", "title").withColumn("position", k).where(F.col("position") <= n)
     return top.groupBy(group).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("position", "title"))), lambda x: F.struct(x["position"].alias("position"), x["title"].alias("name")))).alias("items"))

@@ -460,20 +460,14 @@ def wall_clock(df):
 
 # ---- duplicates
 
-BLOCKS = f"""b AS (SELECT listing_id, source, {nk("organizer")} AS org, city_key, CAST(floor((CAST(start_ts AS DATE) - DATE '1970-01-01') / 2.0) AS BIGINT) AS step,
-  unnest(list_distinct(list_filter({tokens_sql("title")}, lambda t: length(t) >= 4))[1:3]) AS t FROM (SELECT * FROM L)),
+TELLING = f"list_filter({tokens_sql('title')}, lambda t: length(t) >= 4)"
+# The first three distinct ones, in the title's order.
+FIRST = f"list_filter({TELLING}, lambda t, i: list_position({TELLING}, t) = i)[1:3]"
+BLOCKS = f"""b AS (SELECT listing_id, source, {nk("organizer")} AS org, city_key, CAST(floor((CAST(start_ts AS DATE) - DATE '1970-01-01') / 2.0) AS BIGINT) AS step, unnest({FIRST}) AS t FROM (SELECT * FROM L)),
 k AS (SELECT listing_id, source, concat('o', t, '|', org) AS key FROM b UNION ALL SELECT listing_id, source, concat('p', t, '|', city_key, '|', CAST(step + d AS VARCHAR)) FROM b, (VALUES (0), (1)) v(d) WHERE step IS NOT NULL),
 pairs AS (SELECT DISTINCT x.listing_id AS a, y.listing_id AS b FROM k x JOIN k y ON x.key = y.key AND x.listing_id < y.listing_id AND x.source <> y.source)"""
 
 
-def _tokens_in_order(sql: str) -> str:
-    """DuckDB's list_distinct loses the order, so the first three distinct words are taken by position."""
-    return sql.replace(f"list_distinct(list_filter({tokens_sql('title')}, lambda t: length(t) >= 4))[1:3]", f"list_filter(list_filter({tokens_sql('title')}, lambda t: length(t) >= 4), lambda t, i: list_position(list_filter({tokens_sql('title')}, lambda t: length(t) >= 4), t) = i)[1:3]")
-
-
-BLOCKS = _tokens_in_order(BLOCKS)
-
-
 @query(f"{CTE}, {BLOCKS} SELECT a, b FROM pairs")
 def candidate_pairs(spark, sf_dir):
     return dedupe.candidate_pairs(listings(spark, sf_dir))
