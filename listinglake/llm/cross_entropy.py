@@ -91,7 +91,8 @@ def train(
     shared = docs.sparkSession.sparkContext.broadcast(voc)
     v = len(voc.ids) + 2
     chosen = target.select(F.col(id_col).cast("long").alias("_target")).dropna().distinct()
-    flagged = docs.join(chosen, F.col(id_col) == F.col("_target"), "left").select(F.col(f"`{text_col}`").cast("string"), F.col("_target").isNotNull())
+    # Both sides grow with the corpus: they are merged at every size.
+    flagged = docs.join(chosen.hint("merge"), F.col(id_col) == F.col("_target"), "left").select(F.col(f"`{text_col}`").cast("string"), F.col("_target").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 2 * v + buckets), dtype=np.int64)
