@@ -45,25 +45,41 @@ def common(a: bytes, b: bytes) -> int:
 
 
 class Neighbours:
-    """Takes suffixes in order and tells the repeated ranges: (document, start, end)."""
+    """Takes suffixes in order and tells the repeated range around each: (document, start, end, words of the document).
+
+    All matches of a suffix hold its position, so their union is one range; it is told when the suffix leaves.
+    """
 
     def __init__(self, k: int, least: int):
         self.k, self.least, self.group, self.last = k, least, None, {}
 
-    def add(self, group: tuple[str, int], right: bytes, left: bytes, doc: int, pos: int, words: int) -> Iterator[tuple[int, int, int, int]]:
-        """The ranges that a suffix and those before it have in common, with the length of their documents."""
+    def _told(self, doc: int, entry: list) -> list[tuple[int, int, int, int]]:
+        _, _, pos, words, to_left, to_right = entry
+        return [(doc, pos - to_left, pos + to_right, words)] if to_right else []
+
+    def flush(self) -> list[tuple[int, int, int, int]]:
+        out = [x for doc, entry in self.last.items() for x in self._told(doc, entry)]
+        self.last = {}
+        return out
+
+    def add(self, group: tuple[str, int], right: bytes, left: bytes, doc: int, pos: int, words: int) -> list[tuple[int, int, int, int]]:
+        out = []
         if group != self.group:
-            self.group, self.last = group, {}
-        for other, (r, le, p, n) in self.last.items():
-            if other != doc:
-                n_right, n_left = self.k + common(right, r), common(left, le)
-                if n_right + n_left >= self.least:
-                    yield doc, pos - n_left, pos + n_right, words
-                    yield other, p - n_left, p + n_right, n
-        self.last.pop(doc, None)
-        self.last[doc] = (right, left, pos, words)
+            out, self.group = self.flush(), group
+        own = [right, left, pos, words, 0, 0]
+        for other, entry in self.last.items():
+            if other != doc and min(own[4], own[5], entry[4], entry[5]) < self.least:
+                to_right, to_left = self.k + common(right, entry[0]), common(left, entry[1])
+                if to_right + to_left >= self.least:
+                    for x in (own, entry):
+                        x[4], x[5] = max(x[4], to_left), max(x[5], to_right)
+        if doc in self.last:
+            out += self._told(doc, self.last.pop(doc))
+        self.last[doc] = own
         if len(self.last) > BACK + 1:
-            self.last.pop(next(iter(self.last)))
+            first = next(iter(self.last))
+            out += self._told(first, self.last.pop(first))
+        return out
 
 
 def repeated_passages(docs: DataFrame, *, least: int = 50, k: int = 8, span: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,7 +159,7 @@ def repeated_passages(docs: DataFrame, *, least: int = 50, k: int = 8, span: int
                         tail = [*tail[1 - edge :], row]
                     seen += 1
                 yield made(out)
-        yield made(tail)
+        yield made([*tail, *[(d, s, e, n, *[None] * 6) for d, s, e, n in near.flush()]])
 
     ranges = None
     near, crossing = Neighbours(k, least), []
@@ -152,6 +168,7 @@ def repeated_passages(docs: DataFrame, *, least: int = 50, k: int = 8, span: int
         compared = written(array.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, COMPARED))
         for r in compared.where("part is not null").orderBy("part", "at").collect():  # a few for each shuffle partition
             crossing += near.add((side, r["h"]), bytes(r["right"]), bytes(r["left"]), r["doc_id"], r["pos"], r["doc_words"])
+        crossing += near.flush()
         own = compared.where("part is null").select("doc_id", "start", "end", "doc_words")
         ranges = own if ranges is None else ranges.union(own)
     if crossing:
