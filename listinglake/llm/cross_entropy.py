@@ -1,7 +1,9 @@
 """Operator 4: cross-entropy difference of a target and a background n-gram model.
 
-Both models are word bigram models of one form over one vocabulary, the most frequent words of the whole corpus. Their
-sizes are parameters, so they can travel to every task; the counts in them come from every word of every document.
+Both models are word bigram models of one form over one vocabulary. ``scored`` keeps the counts of all words and of all
+pairs of words and never gathers them: documents are dealt into slices, each slice's counts are added up with the other
+slices' by key, and each slice gets back the sums for its own keys. ``train`` and ``score`` are the form for models
+that must travel to every task: their sizes are parameters, and rarer words and bigrams share counts.
 """
 
 from __future__ import annotations
@@ -13,13 +15,19 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listinglake.llm.common import mix64, table, words_of
+from listinglake.llm.common import mix64, table, words_of, written
 
 SLICE = 1000
 FLUSH = 200_000
+STRENGTH = 4.0
+#: Characters of a slice of documents; parts, by their keys' first bits, in which the slices' counts are added up.
+SLICE_CHARS, PART_BITS = 8_000_000, 12
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -69,7 +77,7 @@ class Model:
     unigrams: np.ndarray
     contexts: np.ndarray
     bigrams: np.ndarray
-    strength: float = 4.0
+    strength: float = STRENGTH
 
     def surprise(self, ids: np.ndarray, before: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         """Negative natural logarithm of each word's probability."""
@@ -148,7 +156,162 @@ def score(docs: DataFrame, voc: Vocabulary, target: Model, background: Model, *,
     return base.mapInArrow(run, schema.schema)
 
 
+class Coded:
+    """Of a slice's documents: the counts of words, of words before and of bigrams, each under a key of 62 hash bits and two for its kind."""
+
+    def __init__(self, texts: list[str | None]):
+        docs, memo = [words_of(t) for t in texts], {}
+        self.sizes = np.array([len(d) for d in docs], dtype=np.int64)
+        self.ids = np.fromiter((memo.setdefault(w, len(memo)) for d in docs for w in d), dtype=np.int64, count=int(self.sizes.sum()))
+        self.n = len(memo)
+        self.before = np.empty_like(self.ids)
+        self.before[1:] = self.ids[:-1]
+        self.before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = self.n
+        pairs, self.pair_of = np.unique(self.before * (self.n + 1) + self.ids, return_inverse=True)
+        self.v, self.w = pairs // (self.n + 1), pairs % (self.n + 1)
+        words = np.fromiter((xxhash.xxh64_intdigest(w) for w in memo), dtype=np.uint64, count=self.n)
+        contexts = mix64(np.append(words, STEP) + STEP)  # the last is a document's start
+        hashes = (mix64(words), mix64(contexts), mix64(contexts[self.v] * STEP + words[self.w]))
+        self.keys = np.concatenate([h & ~np.uint64(3) | np.uint64(kind) for kind, h in enumerate(hashes)])
+        self.order = np.argsort(self.keys, kind="stable")
+
+    def counts(self, weight: np.ndarray | None = None) -> np.ndarray:
+        """For each key, of all words or of those with a weight of 1."""
+        sizes = (self.n, self.n + 1, len(self.v))
+        return np.concatenate([np.bincount(x, weight, minlength=m).astype(np.int64) for x, m in zip((self.ids, self.before, self.pair_of), sizes, strict=True)])
+
+    def entropies(self, n: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+        """Mean negative logarithm per document, from the keys' counts n in the whole corpus."""
+        words, contexts, pairs = n[: self.n], n[self.n : 2 * self.n + 1], n[2 * self.n + 1 :]
+        base = (words[self.w] + 1.0) / (total + vocabulary + 1.0)
+        surprise = -np.log((pairs + STRENGTH * base) / (contexts[self.v] + STRENGTH))
+        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        return np.bincount(doc, surprise[self.pair_of], minlength=len(self.sizes)) / np.maximum(self.sizes, 1)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as many bytes each as the largest takes, the lowest bytes of all first."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros(((len(b) - 1) // b[0], 8), dtype=np.uint8)
+    out[:, : b[0]] = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1).T
+    return out.view("<u8").ravel()
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, pa.Table]]:
+    """Value and rows of each run of equal values."""
+    held: list[pa.RecordBatch] = []
+    value = None
+    for b in batches:
+        x = b.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)] if len(x) else []
+        for at, end in zip(cuts, cuts[1:]):
+            if held and x[at] != value:
+                yield value, pa.Table.from_batches(held)
+                held = []
+            value = int(x[at])
+            held.append(b.slice(at, end - at))
+    if held:
+        yield value, pa.Table.from_batches(held)
+
+
+def scored(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Adds n_words, h_target, h_background (nats per word) and ce_diff = h_target - h_background: low is like the target.
+
+    The background model is of all of ``docs``, the target model of its documents with an id in ``target``:
+    p(w | v) = (c(v, w) + 4 p(w)) / (c(v) + 4), p(w) = (c(w) + 1) / (n + V + 1), over all V words of ``docs``. No word
+    or bigram is left out or merged with another. A slice sends each of its keys once, so that a hot word or bigram has
+    no more rows than there are slices; three sums reach the driver.
+
+    Null and empty texts have no words and null figures. Repeated rows and extra columns stay as they are; columns of
+    the new names are replaced.
+    """
+    new = ["n_words", "h_target", "h_background", "ce_diff"]
+    base = docs.drop(*[c for c in docs.columns if c in new])
+    chars = base.agg(F.sum(F.length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    slices = chars // SLICE_CHARS + 1
+    ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    dealt = lambda x: F.pmod(x, F.lit(slices)).cast("int")
+    slice_of = dealt(F.when(ident.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(ident)))
+    chosen = target.select(F.col(id_col).cast("long").alias("id")).dropna().distinct()
+    both = base.select(slice_of.alias("slice"), ident.alias("id"), text.alias("text"), F.lit(False).alias("chosen")).union(
+        chosen.select(dealt(F.xxhash64("id")), "id", F.lit(None).cast("string"), F.lit(True))
+    )
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(1, 1 << PART_BITS, dtype=np.uint64) << np.uint64(64 - PART_BITS)
+        for at, rows in runs(batches, 0):
+            marked = set(rows.filter(rows["chosen"])["id"].to_pylist())
+            rows = rows.filter(pa.compute.invert(rows["chosen"]))
+            coded = Coded(rows["text"].to_pylist())
+            weight = np.repeat(np.array([float(i in marked) for i in rows["id"].to_pylist()]), coded.sizes)
+            keys = coded.keys[coded.order]
+            bounds = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+            n, n_target = coded.counts()[coded.order], coded.counts(weight)[coded.order]
+            some = np.flatnonzero(np.diff(bounds))
+            cols = [[], [], []]
+            for part in some.tolist():
+                x = slice(bounds[part], bounds[part + 1])
+                for c, v in zip(cols, (np.diff(keys[x], prepend=np.uint64(part) << np.uint64(64 - PART_BITS)), n[x], n_target[x]), strict=True):
+                    c.append(packed(v))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), at, dtype=np.int32)), *[pa.array(c, pa.binary()) for c in cols]],
+                names=["part", "slice", "keys", "n", "n_target"],
+            )
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["slice", "part", "n", "n_target", "words", "total", "total_target"]
+        for part, rows in runs(batches, 0):
+            first = np.uint64(part) << np.uint64(64 - PART_BITS)
+            own = [first + np.cumsum(unpacked(b)) for b in rows["keys"].to_pylist()]
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            keys, n, n_target = np.concatenate(own), *[np.concatenate([unpacked(b) for b in rows[c].to_pylist()]).astype(np.int64) for c in ("n", "n_target")]
+            distinct, which = np.unique(keys, return_inverse=True)
+            sums = np.zeros((2, len(distinct)), dtype=np.int64)
+            for s, x in zip(sums, (n, n_target), strict=True):
+                np.add.at(s, which, x)
+            cols = [pa.array([packed(x) for x in np.split(s[which], bounds[1:-1])], pa.binary()) for s in sums]
+            nulls = pa.nulls(len(own), pa.int64())
+            yield pa.RecordBatch.from_arrays([rows["slice"].combine_chunks(), pa.array(np.full(len(own), part, dtype=np.int32)), *cols, nulls, nulls, nulls], names=names)
+            single = (distinct & np.uint64(3)) == 0
+            last = [[None], [part], [None], [None], [int(single.sum())], *[[int(s[single].sum())] for s in sums]]
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(last, kinds, strict=True)], names=names)
+
+    sent = both.repartition("slice").sortWithinPartitions("slice").mapInArrow(counted, "part int, slice int, keys binary, n binary, n_target binary")
+    back = written(
+        sent.repartition("part").sortWithinPartitions("part").mapInArrow(summed, "slice int, part int, n binary, n_target binary, words long, total long, total_target long")
+    )
+    vocabulary, total, total_target = (x or 0 for x in back.where("slice is null").agg(F.sum("words"), F.sum("total"), F.sum("total_target")).first())
+    asked = base.withColumns({"_slice": slice_of, "_part": F.lit(-1)}).unionByName(
+        back.where("slice is not null").select(F.col("slice").alias("_slice"), F.col("part").alias("_part"), F.col("n").alias("_n"), F.col("n_target").alias("_n_target")),
+        allowMissingColumns=True,
+    )
+    kept, at_slice = base.columns, asked.columns.index("_slice")
+    schema = base.withColumn("n_words", F.lit(None).cast("long"))
+    for c in new[1:]:
+        schema = schema.withColumn(c, F.lit(None).cast("double"))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in runs(batches, at_slice):
+            own = pa.compute.less(rows["_part"], 0)
+            sums, rows = rows.filter(pa.compute.invert(own)), rows.filter(own)
+            coded = Coded(rows[text_col].cast(pa.string()).to_pylist())
+            h = []
+            for c, m in (("_n_target", total_target), ("_n", total)):
+                n = np.empty(len(coded.keys), dtype=np.int64)
+                n[coded.order] = np.concatenate([unpacked(b) for b in sums[c].to_pylist()])  # as many as keys, or this fails
+                h.append(coded.entropies(n, m, vocabulary))
+            cols = [pa.array(x, mask=coded.sizes == 0) for x in (h[0], h[1], h[0] - h[1])]
+            yield from pa.table([*[rows[c] for c in kept], pa.array(coded.sizes), *cols], names=[*kept, *new]).to_batches()
+
+    return asked.repartition("_slice").sortWithinPartitions("_slice", "_part").mapInArrow(told, schema.schema)
+
+
 def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     target = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return score(docs, *train(docs, target)).drop("text")
+    return scored(docs, target).drop("text")

@@ -124,6 +124,35 @@ def test_cross_entropy_equals_plain_counting(spark):
             assert got[i][column] == pytest.approx(np.mean(h), rel=1e-3)
 
 
+def test_cross_entropy_keeps_every_word_and_bigram(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = [(i, prose(rng, rng.choice([0, 1, 40, 200]), 30_000)) for i in range(300)] + [(300, None), (None, "w1 w2 w1"), (5, "w1 w2 unseen")]
+    target = spark.createDataFrame([(i,) for i in range(0, 300, 4)] + [(0,), (None,)], "doc_id long")
+    monkeypatch.setattr(cross_entropy, "SLICE_CHARS", 10_000)
+    got = {(r["doc_id"], r["text"]): r for r in cross_entropy.scored(frame(spark, docs).withColumn("ce_diff", F.lit("x")), target).collect()}
+    assert len(got) == len(docs)
+    figures = {}
+    for ids, column in (({i for i, _ in docs}, "h_background"), (set(range(0, 300, 4)), "h_target")):
+        uni, ctx, bi = Counter(), Counter(), Counter()
+        for i, x in docs:
+            if i in ids:
+                w = plain.words(x)
+                uni.update(w)
+                ctx.update([None, *w][: len(w)])
+                bi.update(zip([None, *w], w, strict=False))
+        v = len({w for _, x in docs for w in plain.words(x)})
+        assert v > 10_000
+        p = lambda a, b: (bi[a, b] + 4 * (uni[b] + 1) / (sum(uni.values()) + v + 1)) / (ctx[a] + 4)  # noqa: B023, E731
+        for i, x in docs:
+            w = plain.words(x)
+            figures[i, x, column] = -np.mean([np.log(p(a, b)) for a, b in zip([None, *w], w, strict=False)]) if w else None
+    for (i, x), r in got.items():
+        for column in ("h_background", "h_target"):
+            assert r[column] == (figures[i, x, column] if figures[i, x, column] is None else pytest.approx(figures[i, x, column], rel=1e-9))
+    none = frame(spark, docs).limit(0)
+    assert cross_entropy.scored(none, target).count() == 0
+
+
 def test_quality_figures_and_verdicts(spark, corpus):
     extra = [(900 + i, t) for i, t in enumerate(["a b c d e\na b c d e\n\n \na b c d e", "x # $ % & | < > *", "é\u00a0ü \x0b y\x0cz", "one two three four five six seven eight nine ten"])]
     docs = [*corpus, *extra]
