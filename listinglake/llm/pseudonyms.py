@@ -40,6 +40,23 @@ PATTERNS: dict[str, re.Pattern[str]] = {
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
 }
 
+#: Digits with at most one separator between two; card numbers are sought at its groups' bounds.
+DIGIT_RUN = re.compile(r"(?<!\d)\d(?:[ -]?\d)*")
+#: Digits of the groups in which cards are printed.
+CARD_GROUPS = re.compile(r"1[3-9]|4,4,4,4(?:,[123])?|4,6,[45]")
+IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}")
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    c: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in codes.split()
+}
+ANY = re.compile(r"(?s).*")
+
 
 class Feistel:
     """A keyed permutation of the integers below any n."""
@@ -226,13 +243,62 @@ KINDS: dict[str, Callable[[Feistel, re.Match, bool], str | None]] = {
 }
 
 
+def iban_readings(text: str) -> Iterator[re.Match]:
+    """From each start: as many characters as the country's have, then the longest run of groups and its prefixes."""
+    for start in IBAN_START.finditer(text):
+        at = start.start()
+        if (n := IBAN_LENGTHS.get(start[0][:2])) and (m := re.compile(rf"[A-Z0-9](?: ?[A-Z0-9]){{{n - 1}}}(?![A-Za-z0-9])").match(text, at)):
+            yield m
+        if m := PATTERNS["iban"].match(text, at):
+            yield m
+            if n is None:
+                for end in range(m.end() - 1, at, -1):
+                    if text[end] == " " and (part := PATTERNS["iban"].fullmatch(text, at, end)):
+                        yield part
+
+
+def card_readings(text: str) -> Iterator[re.Match]:
+    """All readings of 13 to 19 digits that start and end with groups: first those in printed groups, longer before shorter."""
+    for run in DIGIT_RUN.finditer(text):
+        groups = [(m.start(), m.end()) for m in re.compile(r"\d+").finditer(text, run.start(), run.end())]
+        found = []
+        for i, (a, _) in enumerate(groups):
+            digits, sizes = 0, []
+            for x, b in groups[i:]:
+                digits += b - x
+                sizes.append(str(b - x))
+                if digits > 19:
+                    break
+                if digits >= 13:
+                    found.append((not CARD_GROUPS.fullmatch(",".join(sizes)), -digits, a, b))
+        for _, _, a, b in sorted(found):
+            yield PATTERNS["card"].fullmatch(text, a, b)
+
+
+#: Of these kinds a reading that fails its validation leaves room for others within it or across its end.
+READINGS: dict[str, Callable[[str], Iterator[re.Match]]] = {"iban": iban_readings, "card": card_readings}
+
+
+def replaced_at(f: Feistel, text: str, spans: list[dict]) -> str:
+    """The text with the values in place of the pseudonyms at the given places."""
+    out, last = [], 0
+    for x in sorted(spans, key=lambda x: x["start"]):
+        a, b = x["start"], x["start"] + x["length"]
+        m = PATTERNS[x["kind"]].fullmatch(text, a, b) or ANY.fullmatch(text, a, b)
+        new = KINDS[x["kind"]](f, m, True) if m else None
+        if new is not None:
+            out += [text[last:a], new]
+            last = b
+    return "".join([*out, text[last:]])
+
+
 def replaced(f: Feistel, text: str, kinds: tuple[str, ...] = tuple(KINDS), back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with pseudonyms, and start, length and kind of each."""
     if not HINT.search(text):
         return text, []
     found: list[tuple[int, int, str, str]] = []
     for kind in kinds:
-        for m in PATTERNS[kind].finditer(text):
+        for m in READINGS.get(kind, PATTERNS[kind].finditer)(text):
             if not any(a < m.end() and m.start() < b for a, b, _, _ in found) and (new := KINDS[kind](f, m, back)) is not None:
                 found.append((m.start(), m.end(), kind, new))
     out, last = [], 0
@@ -248,7 +314,9 @@ def pseudonymise(
     """Replaces the text and adds ``pii``: start, length (in characters) and kind of each pseudonym; no shuffle.
 
     Only values that pass their kind's validation change (calendar dates, Luhn, mod 97, octets, number plans); they
-    keep length, punctuation, letter case and validity. ``back`` turns pseudonyms into the values again. A permutation
+    keep length, punctuation, letter case and validity. ``back`` turns pseudonyms into the values again: at the
+    places in ``pii`` where the forward run's column is there, else at those read anew, which can differ for card
+    numbers beside other digits, as one reading in ten passes Luhn by chance. A permutation
     may map a value to itself; domains are kept large enough to make that rare.
 
     Null texts stay null with an empty list, empty texts stay empty. Repeated rows and extra columns stay as they are;
@@ -256,6 +324,9 @@ def pseudonymise(
     """
     base = docs.drop("pii").withColumn("pii", F.array().cast("array<struct<start:int,length:int,kind:string>>"))
     t, p = base.columns.index(text_col), base.columns.index("pii")
+    known = [f.name for f in docs.schema if f.name == "pii" and f.dataType == base.schema["pii"].dataType] if back else []
+    if known:
+        base = docs.select(*[c for c in docs.columns if c != "pii"], "pii")
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in base.schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,8 +335,15 @@ def pseudonymise(
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 texts, pii = [], []
-                for text in batch.column(t).to_pylist():
-                    new, found = (None, []) if text is None else replaced(f, text, kinds, back)
+                places = batch.column(p).to_pylist() if known else [None] * batch.num_rows
+                for text, spans in zip(batch.column(t).to_pylist(), places, strict=True):
+                    if text is None:
+                        new, found = None, []
+                    elif spans is None:
+                        new, found = replaced(f, text, kinds, back)
+                    else:
+                        spans = [x for x in spans if x["kind"] in kinds]
+                        new, found = replaced_at(f, text, spans), [(x["start"], x["length"], x["kind"]) for x in spans]
                     texts.append(new)
                     pii.append([{"start": a, "length": n, "kind": k} for a, n, k in found])
                 for i, v in ((t, texts), (p, pii)):

@@ -246,6 +246,24 @@ def test_pseudonyms(spark):
     assert {r["doc_id"]: r["text"] for r in back.collect()} == said
 
 
+def test_pseudonyms_of_numbers_beside_others(spark):
+    card = "4111 1111 1111 1111"
+    said = {
+        1: ("pay to BE68 5390 0754 7034 BIC KREDBEBB", "iban", "BE68 5390 0754 7034"), 2: (f"{card} 123", "card", card), 3: (f"7 {card}", "card", card),
+        4: (f"on 2024-01-01 {card}", "card", card), 5: ("AB12 CD34 BE68 5390 0754 7034", "iban", "BE68 5390 0754 7034"), 6: (f"12 {card} 12/28", "card", card),
+        7: (f"{card} {card}", "card", card), 8: ("4111 1111 1111 1112", None, None), 9: ("BE68539007547034, BE68 5390 0754 7035", "iban", "BE68539007547034"),
+    }
+    out = pseudonyms.pseudonymise(frame(spark, [(k, v[0]) for k, v in said.items()]), pseudonyms.DEMO_KEY)
+    new = {r["doc_id"]: r for r in out.collect()}
+    image = {k: {said[k][0][x["start"] : x["start"] + x["length"]]: r["text"][x["start"] : x["start"] + x["length"]] for x in r["pii"] if x["kind"] == said[k][1]} for k, r in new.items()}
+    for k, (_, kind, value) in said.items():
+        assert list(image[k]) == ([value] if kind else [])
+        assert value is None or value not in new[k]["text"]
+    assert len({x for k in (2, 3, 4, 6, 7) for x in image[k].values()}) == 1 and len(new[7]["pii"]) == 2
+    assert [x["kind"] for x in new[4]["pii"]] == ["date", "card"] and new[8]["text"] == said[8][0]
+    assert {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(out, pseudonyms.DEMO_KEY, back=True).collect()} == {k: v[0] for k, v in said.items()}
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 100, 1000])
 def test_feistel_is_a_permutation(n):
     f = pseudonyms.Feistel(b"k" * 16)
