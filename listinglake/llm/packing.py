@@ -8,10 +8,12 @@ are consecutive within each input partition, which makes equal-length batches a
 
 from __future__ import annotations
 
+import json
 import re
-import string
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,138 +23,111 @@ from pyspark.sql import functions as F
 
 from listinglake.llm.common import table
 
-SCHEMA = "doc_id long, start long, length long, doc_tokens long, bucket int, sequence_id long, offset long, ids binary"
-#: Chunks of text whose ids a worker keeps, and half the words; beyond it the memo starts anew, which changes speed only.
-MEMO = 400_000
+SCHEMA = "doc_id long, start long, length long, doc_tokens long, bucket int, sequence_id long, offset long, ids_crc32 long"
 SLICE = 512
-SPACES = re.compile(r"\s\s")
-WHITE = re.compile(r"\s")
-#: White space but for the space itself.
-CONTROL = frozenset(chr(c) for c in range(0x3001) if c != 32 and chr(c).isspace())
-MARKS = string.punctuation
-SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Fixed value: the pre-token pattern of byte-level vocabularies.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Bytes and id of each token of a plain byte-level BPE file whose merges stand in the order of their ids; else None."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+    if not plain or model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    # Bytes without a visible Latin-1 character are written as the characters from U+0100.
+    visible = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    byte_of = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(sorted({*range(256)} - {*visible}))}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if any(model["vocab"].get(x) != 256 + k for k, x in enumerate(merged)):
+        return None
+    added = {x["content"] for x in spec.get("added_tokens", [])}
+    return {bytes(byte_of[c] for c in token): rank for token, rank in model["vocab"].items() if token not in added}
 
 
-def piece_lengths(n: int, max_len: int) -> list[int]:
-    rest = n % max_len
-    return [max_len] * (n // max_len) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Gives a text's ids as the tokenizer file does.
 
+    Plain byte-level BPE files are run by tiktoken, which gives the same ids in a third of the time; texts with an
+    added token's characters, and files of other kinds, are run by tokenizers.
+    """
+    from tokenizers import Tokenizer
 
-class ChunkEncoder:
-    """Encodes texts with a tokenizer file, chunk by chunk.
+    own, spec = Tokenizer.from_file(path), json.loads(Path(path).read_text(encoding="utf-8"))
+    slow = lambda text: own.encode(text, add_special_tokens=False).ids
+    ranks = byte_ranks(spec)
+    if ranks is None:
+        return slow
+    import tiktoken
 
-    A single space between two other characters always starts a new pre-token of the byte-level vocabulary, and so
-    does a single newline; what lies between them is encoded alone and remembered, which gives the ids of the whole
-    text. A word of the Latin blocks with ASCII marks behind it is remembered as word and marks, which are pre-tokens of their own.
-    Runs of white space are left inside their chunk.
-    """
+    fast = tiktoken.Encoding(Path(path).name, pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    added = re.compile("|".join(re.escape(x["content"]) for x in spec.get("added_tokens", [])) or r"(?!)")
+    return lambda text: slow(text) if added.search(text) else fast(text)
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.plain: dict[str, bytes] = {"": b""}
-        self.spaced: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.newline = self._ids(["\n"])[0]
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _know(self, wanted: set[str]) -> None:
-        """Chunks not known yet are encoded together, a line each: the newline's own id then parts them again."""
-        wanted = wanted.difference(self.known)
-        if odd := [x for x in wanted if not x.strip() or x[0] in CONTROL or WHITE.search(x, 1)]:
-            self.known.update(zip(odd, self._ids(odd), strict=True))
-            wanted.difference_update(odd)
-        if lines := list(wanted):
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = [*np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0]).tolist(), len(ids)]
-            data, start = ids.tobytes(), 0
-            for x, end in zip(lines, ends, strict=True):
-                self.known[x] = data[4 * start : 4 * end]
-                start = end + 1
-
-    def _learn(self, memo: dict[str, bytes], parts: set[str], prefix: str) -> None:
-        new = list(parts.difference(memo))
-        words = [x.rstrip(MARKS) for x in new]
-        words = [prefix + (w if w.isalpha() and max(w) < "\u0250" else x) for w, x in zip(words, new, strict=True)]
-        at = len(prefix)
-        marks = [x[len(w) - at :] for w, x in zip(words, new, strict=True)]
-        self._know({*words, *marks})
-        known = self.known
-        memo.update(zip(new, [known[w] + known[m] for w, m in zip(words, marks, strict=True)], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self.plain) + len(self.spaced) > MEMO:
-            self.plain, self.spaced = {"": b""}, {}
-        if len(self.known) > 2 * MEMO:
-            self.known = {}
-        cut = [
-            [SAFE_SPACE.split(text)] if SPACES.search(text) else [line.split(" ") for line in text.split("\n")]
-            for text in texts
-        ]
-        heads, rest = set(), set()
-        for lines in cut:
-            for parts in lines:
-                heads.add(parts[0])
-                rest.update(parts[1:])
-        self._learn(self.plain, heads, "")
-        self._learn(self.spaced, rest, " ")
-        plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
-        return [self.newline.join([plain(p[0]) + b"".join(map(spaced, p[1:])) for p in lines]) for lines in cut]
 
+def piece_lengths(n: int, max_len: int) -> list[int]:
+    rest = n % max_len
+    return [max_len] * (n // max_len) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+
+def cut(sizes: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents of the given sizes: each piece's document, length and start, in order (see ``piece_lengths``)."""
+    top = max_len.bit_length() - 1
+    doc, bit = np.nonzero((sizes % max_len)[:, None] >> np.arange(top - 1, -1, -1) & 1)
+    docs = np.concatenate([np.repeat(np.arange(len(sizes)), sizes // max_len), doc])
+    lengths = np.concatenate([np.full(len(docs) - len(doc), max_len), 1 << (top - 1 - bit)])
+    order = np.argsort(docs, kind="stable")
+    docs, lengths = docs[order], lengths[order]
+    return docs, lengths, np.cumsum(lengths) - lengths - (np.cumsum(sizes) - sizes)[docs]
 
 
 def pack_power_of_two(
-    docs: DataFrame, tokenizer: str, *, max_len: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, *, max_len: int = 1024, end_id: int = 0, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Pieces of all documents, each a sequence of its own; no shuffle.
 
-    ``tokenizer``: a tokenizer file that executors can open. ``ids``: the piece's ids as little-endian unsigned
-    32-bit integers (``numpy.frombuffer(ids, "<u4")``). ``bucket``: log2 of the length. ``sequence_id``: bucket in the
-    top bits, then input partition, then running number.
+    ``tokenizer``: a tokenizer file that executors can open. ``ids`` (left out without ``with_ids``): the piece's ids
+    as little-endian unsigned 32-bit integers (``numpy.frombuffer(ids, "<u4")``); ``ids_crc32``: these bytes'
+    checksum. ``bucket``: log2 of the length. ``sequence_id``: bucket in the top bits, then input partition, then
+    running number.
 
     Null and empty texts consist of the end id alone. Repeated rows are packed once each; a null id is kept. Other
     columns are not read. An empty table gives no pieces.
     """
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        used = [0] * max_len.bit_length()
+        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
+        used = np.zeros(max_len.bit_length(), dtype=np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-                cols: list[list] = [[] for _ in range(8)]
-                for doc, data in zip(ids, enc.encode(texts), strict=True):
-                    data += end
-                    n, start = len(data) // 4, 0
-                    for length in piece_lengths(n, max_len):
-                        bucket = length.bit_length() - 1
-                        seq = bucket << 57 | part << 33 | used[bucket]
-                        used[bucket] += 1
-                        for c, v in zip(cols, (doc, start, length, n, bucket, seq, 0, data[4 * start : 4 * (start + length)]), strict=True):
-                            c.append(v)
-                        start += length
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 2 + [pa.binary()], strict=True)],
-                    names=["doc_id", "start", "length", "doc_tokens", "bucket", "sequence_id", "offset", "ids"],
-                )
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
+                ids = [np.array([*encode(x or ""), end_id], dtype="<u4") for x in batch.column(1).to_pylist()]
+                sizes, data = np.array([len(x) for x in ids], dtype=np.int64), np.concatenate(ids).tobytes()
+                doc, length, start = cut(sizes, max_len)
+                bucket = np.log2(length).astype(np.int64)
+                seq = bucket << 57 | part << 33
+                for b in np.unique(bucket).tolist():
+                    own = np.flatnonzero(bucket == b)
+                    seq[own] |= used[b] + np.arange(len(own))
+                    used[b] += len(own)
+                bounds = 4 * np.concatenate([[0], np.cumsum(length)])  # the pieces of a slice lie one behind the other
+                view, ends = memoryview(data), bounds.tolist()
+                crc = np.fromiter((zlib.crc32(view[a:b]) for a, b in zip(ends, ends[1:])), dtype=np.int64, count=len(length))
+                cols = [batch.column(0).take(pa.array(doc)), start, length, sizes[doc], bucket.astype(np.int32), seq, np.zeros(len(doc), dtype=np.int64), crc]
+                names = [*SCHEMA.replace(",", "").split()[::2]]
+                if with_ids:
+                    cols.append(pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)]))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=names)
+
+    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     import public_tokenizers
 
-    pieces = pack_power_of_two(table(spark, sf_dir, "documents") if docs is None else docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    pieces = pack_power_of_two(table(spark, sf_dir, "documents") if docs is None else docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

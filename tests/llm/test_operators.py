@@ -290,8 +290,35 @@ def test_packing_gives_the_tokenizers_ids(spark, corpus):
         ids = [*own.encode(t or "", add_special_tokens=False).ids, 0]
         data = b"".join(d for _, d in sorted(set(pieces[i])))
         assert np.frombuffer(data, "<u4").tolist() == ids and len(pieces[i]) == copies[i] * len(packing.piece_lengths(len(ids), 64))
+    assert all(r["ids_crc32"] == zlib.crc32(bytes(r["ids"])) and r["bucket"] == r["length"].bit_length() - 1 for r in rows)
     with pytest.raises(ValueError):
         packing.pack_power_of_two(frame(spark, docs), path, max_len=100)
+    clashing = frame(spark, [(None, None), (1, "a b")]).withColumns({"ids": F.lit(1), "start": F.lit("x")})
+    assert sorted((r["doc_id"] or 0, r["doc_tokens"]) for r in packing.pack_power_of_two(clashing, path, with_ids=False).collect()) == [(0, 1), (1, 3), (1, 3)]
+    assert packing.pack_power_of_two(clashing.limit(0), path).count() == 0
+
+
+def test_pieces_are_the_binary_digits():
+    sizes = np.array([1, 64, 65, 127, 128, 1000, 2, 64])
+    doc, length, start = packing.cut(sizes, 64)
+    for k, n in enumerate(sizes.tolist()):
+        assert length[doc == k].tolist() == packing.piece_lengths(n, 64)
+        assert start[doc == k].tolist() == np.cumsum([0, *packing.piece_lengths(n, 64)])[:-1].tolist()
+
+
+def test_other_tokenizer_files_run_as_they_are(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    assert len(packing.byte_ranks(spec)) == 50_256
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    assert packing.byte_ranks(spec) is None
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    for path in (str(tmp_path / "other.json"), public_tokenizers.path("word_bpe_49k.json")):
+        assert packing.encoder(path)("Hello  there, 12é") == Tokenizer.from_file(path).encode("Hello  there, 12é", add_special_tokens=False).ids
 
 
 def test_url_rules_equal_trying_all(spark):
