@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of the word class [^\x00-\x2F\x3A-\x60\x7B-\x7F], A-Z lower-cased; every other byte becomes a space.
@@ -25,6 +25,39 @@ def words_of(text: str | None) -> list[bytes]:
     return utf8(text).translate(WORD_TABLE).split()
 
 
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+class WordHashes(dict[bytes, int]):
+    """64-bit hashes of words, kept as long as there is room."""
+
+    ROOM = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.ROOM:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_HASHES = WordHashes()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of every k-word window; of all words where there are fewer."""
+    if not len(hashes):
+        return hashes
+    k = min(k, len(hashes))
+    out = np.zeros(len(hashes) - k + 1, dtype=np.uint64)
+    for j in range(k):
+        out = out * STEP + hashes[j : j + len(out)]
+    return mix64(out + np.uint64(k))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit integers (splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -37,10 +70,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, or a local one where none is set."""
+    """The folder that driver and executors share: the session's checkpoint folder, or else one in its warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="listinglake-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/listinglake")
     return sc.getCheckpointDir()
 
 

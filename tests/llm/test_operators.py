@@ -57,7 +57,7 @@ def test_near_duplicates_are_the_components_of_all_pairs(spark, corpus):
 
 
 def test_order_minhash_sees_order():
-    a = near_dedup.word_hashes([f"w{i}".encode() for i in range(60)], {})
+    a = near_dedup.word_hashes([f"w{i}".encode() for i in range(60)])
     assert near_dedup.similar(a, a, 5, 0.8)
     assert not near_dedup.similar(np.concatenate([a[:30], a[30:]]), np.concatenate([a[30:], a[:30]]), 5, 0.8)
 
@@ -193,15 +193,49 @@ def test_quality_on_held_out_labels(spark):
     assert quality.train(docs, labels.limit(0)).score(np.zeros((2, len(quality.FEATURES)))).min() > 0.9
 
 
+def held_words(ranges):
+    got = {}
+    for r in ranges.collect():
+        assert r["start_word"] + r["n_words"] <= r["doc_words"]
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["start_word"] + r["n_words"]))
+    return got
+
+
 def test_repeated_passages(spark, corpus):
-    for least, k, span in ((50, 8, 32), (20, 4, 12)):
-        got = {}
-        for r in suffix_dedup.repeated_passages(frame(spark, corpus), least=least, k=k, span=span).collect():
-            got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["start_word"] + r["n_words"]))
-        assert got == plain.repeats(dict(corpus).items(), least)
+    for least, k, span in ((50, 19, 32), (50, 8, 32), (20, 4, 12), (20, 9, 12)):
+        ranges = suffix_dedup.repeated_passages(frame(spark, corpus).withColumns({"h": F.lit(1), "start": F.lit("x")}), least=least, k=k, span=span)
+        assert held_words(ranges) == plain.repeats(dict(corpus).items(), least)
     assert suffix_dedup.repeated_passages(frame(spark, corpus).limit(0)).count() == 0
 
 
+def test_repeated_passages_beside_nearly_equal_ones(spark):
+    """Passages of 50 words whose first 49 and last 49 stand in many other documents."""
+    rng = random.Random(8)
+    docs = []
+    for _ in range(8):
+        passage = prose(rng, 50, 10**6).split()
+        docs += [[*prose(rng, 20, 10**6).split(), *passage, *prose(rng, 20, 10**6).split()] for _ in range(2)]
+        docs += [[*prose(rng, 20, 10**6).split(), *part, *prose(rng, 20, 10**6).split()] for part in (passage[:49], passage[1:]) for _ in range(30)]
+    docs = list(enumerate(map(" ".join, docs)))
+    want = plain.repeats(docs, 50)
+    assert len(want) == 16
+    for parts in (1, 5):
+        assert held_words(suffix_dedup.repeated_passages(frame(spark, docs, parts=parts))) == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_repeated_passages_of_few_words(spark, seed):
+    """Few distinct words and repeated lines: passages stand several times in one document, and match at many lengths."""
+    rng = random.Random(seed)
+    docs = []
+    for k in range(60):
+        line = prose(rng, rng.choice([3, 7, 30]), 3)
+        docs.append(" ".join([prose(rng, rng.choice([0, 5, 30]), 2 + seed), *[line] * rng.choice([0, 1, 4]), prose(rng, rng.choice([0, 9, 30]), 2 + seed)]))
+    docs = list(enumerate([*docs, " ".join(["a b c"] * 40), " ".join(["a b c"] * 25), docs[3], docs[4] + " x"]))
+    for least, k, span in ((12, 5, 8), (10, 1, 4)):
+        assert held_words(suffix_dedup.repeated_passages(frame(spark, docs), least=least, k=k, span=span)) == plain.repeats(docs, least)
+
+
 @pytest.mark.parametrize("window, block", [(3, 60), (5, 1 << 20), (13, 1 << 20)])
 def test_decontamination(spark, window, block):
     rng = random.Random(window)
