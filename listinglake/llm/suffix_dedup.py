@@ -130,15 +130,16 @@ def repeated_passages(docs: DataFrame, *, least: int = 50, k: int = 19, span: in
     # place: the word's position in the upper half, the document's words in the lower one.
     found = written(rows.mapInArrow(positions, "doc_id long, place long, h long, around long"))
     in_several = F.min("doc_id") != F.max("doc_id")
-    often = found.groupBy("h").agg(in_several.alias("often")).where("often").select("h")
+    # Sums are written before they are joined, so that adaptive execution can split the other side's hot keys.
+    often = written(found.groupBy("h").agg(in_several.alias("often")).where("often").select("h"))
     kept = written(found.join(often.hint("merge"), "h"))
-    groups = kept.groupBy("h", "around").agg(in_several.alias("whole"), F.min(F.struct("doc_id", "place")).alias("first"))
+    groups = written(kept.groupBy("h", "around").agg(in_several.alias("whole"), F.min(F.struct("doc_id", "place")).alias("first")))
     entries = written(kept.join(groups.hint("merge"), ["h", "around"]))
     position, size = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
     start, end = F.greatest(position - reach, F.lit(0)), F.least(position + k + reach, size)
     ranges = entries.where("whole").select("doc_id", start.alias("start"), end.alias("end"), size.alias("doc_words"))
     # The others are compared with each other and with one of each group of whole matches around the same words.
-    open_words = entries.where("not whole").select("h").distinct()
+    open_words = written(entries.where("not whole").select("h").distinct())
     one_each = entries.where("whole and first.doc_id = doc_id and first.place = place").select("doc_id", "place", "whole", "h").distinct()
     open_entries = entries.where("not whole").select("doc_id", "place", "whole").union(one_each.join(open_words.hint("merge"), "h", "left_semi").select("doc_id", "place", "whole"))
     places = open_entries.groupBy("doc_id").agg(F.collect_set(F.struct("place", "whole")).alias("places"))
@@ -234,9 +235,9 @@ def repeated_passages(docs: DataFrame, *, least: int = 50, k: int = 19, span: in
                 cols = (keys[row, a].view(np.int64), a, h[row], doc[row], place[row])
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "a", "h", "doc_id", "place"])
 
-    around_them = array.join(unsettled.select("h").distinct().hint("merge"), "h", "left_semi").select("h", "doc_id", "place", "right", "left")
+    around_them = array.join(written(unsettled.select("h").distinct()).hint("merge"), "h", "left_semi").select("h", "doc_id", "place", "right", "left")
     every = written(around_them.mapInArrow(stretches, "key long, a long, h long, doc_id long, place long"))
-    shared = every.groupBy("key", "a").agg((in_several | (F.min("doc_id") == SEVERAL)).alias("shared")).where("shared").select("key", "a")
+    shared = written(every.groupBy("key", "a").agg((in_several | (F.min("doc_id") == SEVERAL)).alias("shared")).where("shared").select("key", "a"))
     asked = every.join(unsettled.hint("merge"), ["h", "doc_id", "place"]).where("a between from and upto").select("key", "a", "doc_id", "place")
     hits = asked.join(shared.hint("merge"), ["key", "a"]).groupBy("doc_id", "place").agg(F.min("a").alias("low"), F.max("a").alias("high"))
     ranges = ranges.union(hits.select("doc_id", (position - F.col("high")).alias("start"), (position - F.col("low") + least).alias("end"), size.alias("doc_words")))
