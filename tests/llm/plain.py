@@ -1,7 +1,9 @@
 """Plain-Python forms of what the corpus operators compute, for comparison."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+import numpy as np
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -11,13 +13,30 @@ def words(text):
     return WORD.findall((text or "").translate(LOWER))
 
 
-def shingle_sets(text, k=5):
-    w = words(text)
-    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+def edits(a, b):
+    """Edit distance, row by row."""
+    b = np.array(b, dtype=object)
+    steps, row = np.arange(len(b) + 1), np.arange(len(b) + 1)
+    for i, x in enumerate(a, 1):
+        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (b != x))])
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row[-1])
+
+
+def near_pairs(docs, threshold=0.8):
+    """Pairs of ids of different texts with words whose edit distance allows the threshold; all pairs are tried."""
+    own = [(i, t, words(t)) for i, t in {t: (i, t) for i, t in reversed(docs) if t}.values()]
+    own, out = [(i, t, w, Counter(w)) for i, t, w in own if w], []
+    for k, (i, _, a, x) in enumerate(own):
+        for j, _, b, y in own[:k]:
+            limit = int((1 - threshold) * max(len(a), len(b)) + 1e-9)
+            if max(len(a), len(b)) - (x & y).total() <= limit and edits(a, b) <= limit:
+                out.append((i, j))
+    return out
 
 
-def classes(docs, threshold=0.8):
-    """{id: smallest id}: equal texts and shingle sets at the threshold, all pairs."""
+def classes(docs, pairs):
+    """{id: smallest id}: equal texts and the given pairs."""
     parent = {i: i for i, _ in docs}
 
     def find(x):
@@ -25,12 +44,10 @@ def classes(docs, threshold=0.8):
             x = parent[x]
         return x
 
-    sets = [(i, t, shingle_sets(t)) for i, t in docs if t is not None]
-    for k, (i, t, a) in enumerate(sets):
-        for j, u, b in sets[:k]:
-            if t == u or a and b and len(a & b) >= threshold * len(a | b):
-                x, y = find(i), find(j)
-                parent[max(x, y)] = min(x, y)
+    first = {}
+    for x, y in [*pairs, *[(i, first.setdefault(t, i)) for i, t in docs if t is not None]]:
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
     return {i: find(i) for i, _ in docs}
 
 

@@ -48,18 +48,78 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 
 def test_near_duplicates_are_the_components_of_all_pairs(spark, corpus):
-    rows = near_dedup.near_duplicates(frame(spark, corpus).withColumn("class_id", F.lit(1))).collect()
+    rows = near_dedup.near_duplicates(frame(spark, corpus).withColumns({"class_id": F.lit(1), "node": F.lit("x")})).collect()
     assert len(rows) == len(corpus)
-    want = plain.classes(corpus)
+    want = plain.classes(corpus, plain.near_pairs(corpus))
     assert {r["doc_id"]: r["class_id"] for r in rows} == want
-    kept = [r["doc_id"] for r in near_dedup.representatives(frame(spark, corpus)).collect()]
-    assert sorted(kept) == sorted({c for c in want.values()})
+    kept = [r["doc_id"] for r in near_dedup.representatives(frame(spark, corpus).withColumn("key", F.lit(1))).collect()]
+    assert sorted(kept) == sorted(i for i, t in dict(corpus).items() if t is None or want[i] == i)
+
+
+def found_links(spark, docs):
+    """Of all pairs at the threshold, how many share a class; and whether classes hold such pairs only."""
+    pairs = plain.near_pairs(docs)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, docs)).collect()}
+    want = plain.classes(docs, pairs)
+    assert all(want[i] == want[c] for i, c in got.items())
+    return sum(got[i] == got[j] for i, j in pairs), len(pairs)
+
+
+def edited(rng, words, n):
+    """n words at random places replaced, left out or given another one behind them."""
+    words = list(words)
+    for at in sorted(rng.sample(range(len(words)), n), reverse=True):
+        words[at : at + 1] = rng.choice([[f"y{rng.randrange(10**9)}"], [], [words[at], f"y{rng.randrange(10**9)}"]])
+    return words
+
+
+@pytest.mark.parametrize("length, n", [(100, 3), (100, 10), (100, 19), (300, 57), (7, 1), (12, 2), (40, 7), (64, 12), (1000, 190)])
+def test_edited_texts_meet(spark, length, n):
+    rng = random.Random(length + n)
+    docs = []
+    for _ in range(60):
+        words = prose(rng, length, 10**6).split()
+        docs += [words, edited(rng, words, n)]
+    found, of = found_links(spark, list(enumerate(map(" ".join, docs))))
+    assert of >= 50 and found >= (0.9 if n > length / 10 else 1) * of
+
+
+def test_near_duplicates_within_a_crowd(spark):
+    """Pages of one template that are 0.7 alike, among them pairs that are 0.9 and more alike."""
+    rng = random.Random(5)
+    template, docs = prose(rng, 140, 10**6).split(), []
+    for _ in range(150):
+        own = prose(rng, 60, 10**6).split()
+        docs += [template[:70] + own + template[70:]]
+        if len(docs) % 6 == 1:
+            docs += [edited(rng, docs[-1], 16)]
+    found, of = found_links(spark, list(enumerate(map(" ".join, docs))))
+    assert of >= 25 and found >= 0.9 * of
+
+
+def test_near_duplicates_in_the_given_documents(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    found, of = found_links(spark, docs)
+    assert of > 50 and found >= 0.95 * of
+
+
+def test_rows_that_repeat_an_id(spark):
+    rng = random.Random(6)
+    a, b = prose(rng, 60, 10**6), prose(rng, 60, 10**6)
+    docs = [(5, a), (5, b), (5, b), (3, a), (9, b + " x"), (None, a), (None, a), (7, None), (8, ""), (10, "")]
+    rows = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_copies"]) for r in near_dedup.near_duplicates(frame(spark, docs)).collect())
+    assert rows == [(0, 0, 1), (0, 0, 1), (3, 3, 2), (5, 3, 2), (5, 5, 2), (5, 5, 2), (7, 7, 1), (8, 8, 2), (9, 5, 1), (10, 8, 2)]
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in near_dedup.representatives(frame(spark, docs)).collect())
+    assert kept == sorted([(0, a), (0, a), (3, a), (5, b), (7, ""), (8, "")])
 
 
 def test_order_minhash_sees_order():
+    x = near_dedup.labelled(near_dedup.shingles(near_dedup.word_hashes([f"w{i}".encode() for i in range(60)]), 5))
+    seeds = near_dedup.mix64(np.arange(1, 400, dtype=np.uint64)) | np.uint64(1)
+    same = near_dedup.order_minhash(x, seeds, 2) == near_dedup.order_minhash(x[::-1].copy(), seeds, 2)
+    assert not same.any()  # the same shingles, the other way round
     a = near_dedup.word_hashes([f"w{i}".encode() for i in range(60)])
-    assert near_dedup.similar(a, a, 5, 0.8)
-    assert not near_dedup.similar(np.concatenate([a[:30], a[30:]]), np.concatenate([a[30:], a[:30]]), 5, 0.8)
+    assert near_dedup.similar(a, a, 0.8) and not near_dedup.similar(a, np.concatenate([a[30:], a[:30]]), 0.8)
 
 
 @pytest.mark.parametrize("seed", range(5))
