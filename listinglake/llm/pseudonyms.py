@@ -7,6 +7,7 @@ map depends on the value alone, so equal values stay linked across documents, an
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
@@ -24,6 +25,7 @@ ROUNDS = 10
 SLICE = 500
 #: Smaller domains are widened where the format allows it: in them, values would too often stay as they are.
 LEAST_DOMAIN = 1_000_000
+#: Days of these years are permuted among themselves, and all other days of the years 1 to 9999 among themselves.
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 
 #: No pseudonym is sought in a text without one of these characters.
@@ -175,7 +177,7 @@ def ip(f: Feistel, m: re.Match, back: bool) -> str | None:
 
 
 def day(f: Feistel, m: re.Match, back: bool) -> str | None:
-    """Year first, or day first where that is a calendar date, else month first; within FIRST_DAY and LAST_DAY."""
+    """Year first, or day first where that is a calendar date, else month first."""
     sep = m[0][4] if not m[0][4].isdigit() else m[0][2]
     x = [int(p) for p in m[0].split(sep)]
     for order in ((0, 1, 2),) if sep == "-" else ((2, 1, 0), (2, 0, 1)):
@@ -183,9 +185,13 @@ def day(f: Feistel, m: re.Match, back: bool) -> str | None:
             d = date(*(x[k] for k in order))
         except ValueError:
             continue
-        if not FIRST_DAY <= d <= LAST_DAY:
-            return None
-        new = FIRST_DAY + timedelta(f.permute((d - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, "date", back))
+        common, x = (LAST_DAY - FIRST_DAY).days + 1, d.toordinal() - 1
+        if FIRST_DAY <= d <= LAST_DAY:
+            new = FIRST_DAY + timedelta(f.permute((d - FIRST_DAY).days, common, "date", back))
+        else:
+            early = FIRST_DAY.toordinal() - 1
+            x = f.permute(x if x < early else x - common, date.max.toordinal() - common, "day", back)
+            new = date.fromordinal((x if x < early else x + common) + 1)
         y, mo, dd = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
         return sep.join({(0, 1, 2): (y, mo, dd), (2, 1, 0): (dd, mo, y), (2, 0, 1): (mo, dd, y)}[order])
     return None
@@ -297,10 +303,12 @@ def replaced(f: Feistel, text: str, kinds: tuple[str, ...] = tuple(KINDS), back:
     if not HINT.search(text):
         return text, []
     found: list[tuple[int, int, str, str]] = []
+    taken = bytearray(len(text))
     for kind in kinds:
         for m in READINGS.get(kind, PATTERNS[kind].finditer)(text):
-            if not any(a < m.end() and m.start() < b for a, b, _, _ in found) and (new := KINDS[kind](f, m, back)) is not None:
+            if taken.find(1, m.start(), m.end()) < 0 and (new := KINDS[kind](f, m, back)) is not None:
                 found.append((m.start(), m.end(), kind, new))
+                taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
     out, last = [], 0
     for a, b, _, new in sorted(found):
         out += [text[last:a], new]
@@ -354,11 +362,18 @@ def pseudonymise(
     return base.mapInArrow(run, schema)
 
 
-#: For the registered query and the pipeline; a real corpus gets a secret key of its own.
-DEMO_KEY = b"listinglake demonstration key 01"
+#: Session setting with the key in hexadecimal digits; Spark redacts settings of such names in its logs.
+KEY_SETTING = "spark.listinglake.pseudonyms.secret"
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the caller has set in the session, or else a random one, which stays in the session to turn its pseudonyms back."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, os.urandom(32).hex())
+    return bytes.fromhex(spark.conf.get(KEY_SETTING))
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("pii", lambda x: x["kind"]))), ",")
     return out.select("doc_id", F.size("pii").cast("long").alias("n_pii"), kinds.alias("kinds"), "text")

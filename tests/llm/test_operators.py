@@ -13,6 +13,7 @@ from tests.llm import plain
 from tests.oracle import assert_same, duck
 
 DOCS = "doc_id long, text string"
+KEY = b"a key that only the tests know.."
 
 
 def frame(spark, docs, schema=DOCS, parts=3):
@@ -325,7 +326,7 @@ def test_pseudonyms(spark):
         5: None, 6: "", 7: "nothing here, 12 of 345", 8: "card 4111 1111 1111 1111",
     }
     docs = frame(spark, list(said.items())).withColumn("pii", F.lit(3))
-    out = pseudonyms.pseudonymise(docs, pseudonyms.DEMO_KEY)
+    out = pseudonyms.pseudonymise(docs, KEY)
     new = {r["doc_id"]: r for r in out.collect()}
     kinds = {k: [x["kind"] for x in r["pii"]] for k, r in new.items()}
     assert kinds == {1: ["card", "card"], 2: ["email", "ip", "phone"], 3: ["date", "date", "ssn", "iban"], 4: ["secret"], 5: [], 6: [], 7: [], 8: ["card"]}
@@ -336,7 +337,7 @@ def test_pseudonyms(spark):
     assert new[1]["text"][5:24] == new[8]["text"][5:24] and new[1]["text"][29:48].replace("-", " ") == new[8]["text"][5:24]
     y, m, d = new[3]["text"][5:15].split("-")
     assert f"{d}/{m}/{y}" in new[3]["text"] and "31/02/1984" in new[3]["text"]
-    back = pseudonyms.pseudonymise(out, pseudonyms.DEMO_KEY, back=True)
+    back = pseudonyms.pseudonymise(out, KEY, back=True)
     assert {r["doc_id"]: r["text"] for r in back.collect()} == said
 
 
@@ -347,7 +348,7 @@ def test_pseudonyms_of_numbers_beside_others(spark):
         4: (f"on 2024-01-01 {card}", "card", card), 5: ("AB12 CD34 BE68 5390 0754 7034", "iban", "BE68 5390 0754 7034"), 6: (f"12 {card} 12/28", "card", card),
         7: (f"{card} {card}", "card", card), 8: ("4111 1111 1111 1112", None, None), 9: ("BE68539007547034, BE68 5390 0754 7035", "iban", "BE68539007547034"),
     }
-    out = pseudonyms.pseudonymise(frame(spark, [(k, v[0]) for k, v in said.items()]), pseudonyms.DEMO_KEY)
+    out = pseudonyms.pseudonymise(frame(spark, [(k, v[0]) for k, v in said.items()]), KEY)
     new = {r["doc_id"]: r for r in out.collect()}
     image = {k: {said[k][0][x["start"] : x["start"] + x["length"]]: r["text"][x["start"] : x["start"] + x["length"]] for x in r["pii"] if x["kind"] == said[k][1]} for k, r in new.items()}
     for k, (_, kind, value) in said.items():
@@ -355,7 +356,40 @@ def test_pseudonyms_of_numbers_beside_others(spark):
         assert value is None or value not in new[k]["text"]
     assert len({x for k in (2, 3, 4, 6, 7) for x in image[k].values()}) == 1 and len(new[7]["pii"]) == 2
     assert [x["kind"] for x in new[4]["pii"]] == ["date", "card"] and new[8]["text"] == said[8][0]
-    assert {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(out, pseudonyms.DEMO_KEY, back=True).collect()} == {k: v[0] for k, v in said.items()}
+    assert {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(out, KEY, back=True).collect()} == {k: v[0] for k, v in said.items()}
+
+
+def test_pseudonyms_of_all_days_and_beside_numbers(spark):
+    card = "4111 1111 1111 1111"
+    said = {1: f"order 12 {card}", 2: "qty 3 4111-1111-1111-1111", 3: "0001-01-01 1899-12-31 2100-01-01 9999-12-31 31/12/1850", 4: "1900-01-01 2099-12-31"}
+    out = pseudonyms.pseudonymise(frame(spark, list(said.items())), KEY)
+    new = {r["doc_id"]: r for r in out.collect()}
+    assert [[x["kind"] for x in new[k]["pii"]] for k in sorted(new)] == [["card"], ["card"], ["date"] * 5, ["date"] * 2]
+    assert all(x not in new[k]["text"] for k in new for x in said[k].split()[-1:])
+    years = [int(x["text"][s["start"] : s["start"] + 10].split("-")[0]) for x in (new[3], new[4]) for s in x["pii"] if "-" in x["text"][s["start"] : s["start"] + 10]]
+    assert [1900 <= y <= 2099 for y in years] == [False] * 4 + [True] * 2
+    assert {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(out, KEY, back=True).collect()} == said
+
+
+def test_pseudonyms_in_a_very_long_text():
+    import time
+
+    f, text = pseudonyms.Feistel(KEY), "".join(f"seen {1950 + k % 100}-02-{k % 28 + 1:02d}, " for k in range(50_000))
+    began = time.process_time()
+    new, found = pseudonyms.replaced(f, text)
+    assert len(found) == 50_000 and len(new) == len(text) and time.process_time() - began < 20
+
+
+def test_the_registered_pseudonyms_turn_back(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    rows = pseudonyms.op8_pseudonyms(spark, sf_dir).collect()
+    f = pseudonyms.Feistel(pseudonyms.session_key(spark))
+    assert len(rows) == len(docs) and sum(r["n_pii"] for r in rows) > 10
+    for r in rows:
+        new, found = pseudonyms.replaced(f, docs[r["doc_id"]]) if docs[r["doc_id"]] is not None else (None, [])
+        assert (r["text"], r["n_pii"], r["kinds"]) == (new, len(found), ",".join(sorted({k for *_, k in found})))
+        spans = [{"start": a, "length": n, "kind": k} for a, n, k in found]
+        assert new is None or pseudonyms.replaced_at(f, new, spans) == docs[r["doc_id"]]
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 100, 1000])
@@ -451,5 +485,5 @@ def test_operators_on_empty_tables(spark):
     assert licenses.scan_licenses(none).count() == 0
     assert quality.apply_rules(none, quality.train(none, labels)).count() == 0
     assert decontamination.decontaminate(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
-    assert pseudonyms.pseudonymise(none, pseudonyms.DEMO_KEY).count() == 0
+    assert pseudonyms.pseudonymise(none, KEY).count() == 0
     assert cross_entropy.score(none, *cross_entropy.train(none, labels)).count() == 0
