@@ -1,17 +1,13 @@
 """Operator 4: cross-entropy difference of a target and a background n-gram model.
 
-Both models are word bigram models of one form over one vocabulary. ``scored`` keeps the counts of all words and of all
-pairs of words and never gathers them: documents are dealt into slices, each slice's counts are added up with the other
-slices' by key, and each slice gets back the sums for its own keys. ``train`` and ``score`` are the form for models
-that must travel to every task: their sizes are parameters, and rarer words and bigrams share counts.
+Both models are word bigram models of one form over one vocabulary. The counts of all words and of all pairs of words
+are kept and never gathered: documents are dealt into slices, each slice's counts are added up with the other slices'
+by key, and each slice gets back the sums for its own keys.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,140 +16,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listinglake.llm.common import mix64, table, words_of, written
+from listinglake.llm.common import STEP, mix64, table, words_of, written
 
-SLICE = 1000
-FLUSH = 200_000
 STRENGTH = 4.0
 #: Characters of a slice of documents; parts, by their keys' first bits, in which the slices' counts are added up.
 SLICE_CHARS, PART_BITS = 8_000_000, 12
-STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, n) over all words of all documents; added up within a task first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return b
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                for t in whole.slice(at, SLICE).column(0).to_pylist():
-                    counts.update(words_of(t))
-                if len(counts) > FLUSH:
-                    yield out()
-        yield out()
-
-    return docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Vocabulary:
-    """Ids 1 to V for words by falling count; 0 for all others. A bigram falls in one of ``buckets`` by its ids' hash."""
-
-    ids: dict[bytes, int]
-    buckets: int
-
-    def code(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all docs in one run: word ids, ids of the words before (at a start: V + 1), bigram buckets."""
-        sizes = np.array([len(d) for d in docs], dtype=np.int64)
-        ids = np.fromiter((x for d in docs for x in map(self.ids.get, d, repeat(0))), dtype=np.int64, count=int(sizes.sum()))
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = len(self.ids) + 1
-        pair = before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
-        return ids, before, (mix64(pair) % np.uint64(self.buckets)).astype(np.int64)
-
-
-@dataclass
-class Model:
-    """p(w | v) = (c(v, w) + strength p(w)) / (c(v) + strength), p(w) = (c(w) + 1) / (n + V + 1); c(v, w) is read from its bucket and is at most c(v)."""
-
-    unigrams: np.ndarray
-    contexts: np.ndarray
-    bigrams: np.ndarray
-    strength: float = STRENGTH
-
-    def surprise(self, ids: np.ndarray, before: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Negative natural logarithm of each word's probability."""
-        base = (self.unigrams[ids] + 1.0) / (self.unigrams.sum() + len(self.unigrams))
-        seen = self.contexts[before]
-        return -np.log((np.minimum(self.bigrams[pairs], seen) + self.strength * base) / (seen + self.strength))
-
-
-def train(
-    docs: DataFrame, target: DataFrame, *, vocabulary: int = 20_000, buckets: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text"
-) -> tuple[Vocabulary, Model, Model]:
-    """Vocabulary, target model and background model.
-
-    The background is all of ``docs``, the target its documents with an id in ``target``. Gathered on the driver:
-    ``vocabulary`` words and at most 2 (vocabulary + 2) + buckets pairs of counts, whatever the corpus.
-    """
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(vocabulary).toPandas()
-    voc = Vocabulary({bytes(w): k for k, w in enumerate(top["word"], 1)}, buckets)
-    shared = docs.sparkSession.sparkContext.broadcast(voc)
-    v = len(voc.ids) + 2
-    chosen = target.select(F.col(id_col).cast("long").alias("_target")).dropna().distinct()
-    # Both sides grow with the corpus: they are merged at every size.
-    flagged = docs.join(chosen.hint("merge"), F.col(id_col) == F.col("_target"), "left").select(F.col(f"`{text_col}`").cast("string"), F.col("_target").isNotNull())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 2 * v + buckets), dtype=np.int64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                b = whole.slice(at, SLICE)
-                words = [words_of(t) for t in b.column(0).to_pylist()]
-                ids, before, pairs = shared.value.code(words)
-                marked = np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(bool), [len(w) for w in words])
-                slots = np.concatenate([ids, v + before, 2 * v + pairs])
-                counts[0] += np.bincount(slots, minlength=counts.shape[1])
-                counts[1] += np.bincount(slots[np.tile(marked, 3)], minlength=counts.shape[1])
-        some = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[0][some]), pa.array(counts[1][some])], names=["slot", "n", "n_target"])
-
-    sums = flagged.mapInArrow(run, "slot int, n long, n_target long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    rows = sums.toArrow()
-    models = []
-    for c in ("n_target", "n"):
-        full = np.zeros(2 * v + buckets)
-        full[rows["slot"].to_numpy()] = rows[c].to_numpy()
-        models.append(Model(full[:v], full[v : 2 * v], full[2 * v :]))
-    return voc, models[0], models[1]
-
-
-def score(docs: DataFrame, voc: Vocabulary, target: Model, background: Model, *, text_col: str = "text") -> DataFrame:
-    """Adds n_words, h_target, h_background (nats per word) and ce_diff = h_target - h_background: low is like the target.
-
-    Whole texts, no shuffle. Null and empty texts have no words and null figures. Repeated rows and extra columns stay
-    as they are; columns of the new names are replaced.
-    """
-    new = ["n_words", "h_target", "h_background", "ce_diff"]
-    base = docs.drop(*[c for c in docs.columns if c in new])
-    at_text, names = base.columns.index(text_col), [*base.columns, *new]
-    schema = base.withColumn("n_words", F.lit(None).cast("long"))
-    for c in new[1:]:
-        schema = schema.withColumn(c, F.lit(None).cast("double"))
-    shared = docs.sparkSession.sparkContext.broadcast((voc, target, background))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, *models = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                b = whole.slice(at, SLICE)
-                words = [words_of(t) for t in b.column(at_text).to_pylist()]
-                sizes = np.array([len(w) for w in words], dtype=np.int64)
-                coded = voc.code(words)
-                doc = np.repeat(np.arange(len(words)), sizes)
-                h = [np.bincount(doc, m.surprise(*coded), minlength=len(words)) / np.maximum(sizes, 1) for m in models]
-                cols = [pa.array(x, mask=sizes == 0) for x in (h[0], h[1], h[0] - h[1])]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes), *cols], names=names)
-
-    return base.mapInArrow(run, schema.schema)
 
 
 class Coded:
@@ -180,11 +47,11 @@ class Coded:
         sizes = (self.n, self.n + 1, len(self.v))
         return np.concatenate([np.bincount(x, weight, minlength=m).astype(np.int64) for x, m in zip((self.ids, self.before, self.pair_of), sizes, strict=True)])
 
-    def entropies(self, n: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
-        """Mean negative logarithm per document, from the keys' counts n in the whole corpus."""
+    def entropies(self, n: np.ndarray, scale: float, total: int, vocabulary: int) -> np.ndarray:
+        """Mean negative logarithm per document, from the keys' counts n in a model's documents."""
         words, contexts, pairs = n[: self.n], n[self.n : 2 * self.n + 1], n[2 * self.n + 1 :]
-        base = (words[self.w] + 1.0) / (total + vocabulary + 1.0)
-        surprise = -np.log((pairs + STRENGTH * base) / (contexts[self.v] + STRENGTH))
+        base = (scale * words[self.w] + 1.0) / (scale * total + vocabulary)
+        surprise = -np.log((scale * pairs + STRENGTH * base) / (scale * contexts[self.v] + STRENGTH))
         doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         return np.bincount(doc, surprise[self.pair_of], minlength=len(self.sizes)) / np.maximum(self.sizes, 1)
 
@@ -221,22 +88,27 @@ def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int,
 def scored(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds n_words, h_target, h_background (nats per word) and ce_diff = h_target - h_background: low is like the target.
 
-    The background model is of all of ``docs``, the target model of its documents with an id in ``target``:
-    p(w | v) = (c(v, w) + 4 p(w)) / (c(v) + 4), p(w) = (c(w) + 1) / (n + V + 1), over all V words of ``docs``. No word
-    or bigram is left out or merged with another. A slice sends each of its keys once, so that a hot word or bigram has
-    no more rows than there are slices; three sums reach the driver.
+    The target model is of the documents with an id in ``target``, the background model of all others. Their sizes are
+    matched: the larger one's counts are scaled to as many words as the smaller one has, so that both weigh the same
+    against the smoothing. p(w | v) = (s c(v, w) + 4 p(w)) / (s c(v) + 4), p(w) = (s c(w) + 1) / (s n + V), over all V
+    words of ``docs``, with n words in the model and its scale s; for each v these sum to one. No word or bigram is
+    left out or merged with another. A slice sends each of its keys once, so that a hot word or bigram has no more
+    rows than there are slices; three sums reach the driver. Without a target, or where all documents are in it, that
+    side's model is the even one.
 
     Null and empty texts have no words and null figures. Repeated rows and extra columns stay as they are; columns of
     the new names are replaced.
     """
     new = ["n_words", "h_target", "h_background", "ce_diff"]
-    base = docs.drop(*[c for c in docs.columns if c in new])
-    chars = base.agg(F.sum(F.length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
-    slices = chars // SLICE_CHARS + 1
-    ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    kept = [c for c in docs.columns if c not in new]
+    # Within the job columns go by number, so that no name of the input clashes.
+    base = docs.select(*[F.col(f"`{c}`") for c in kept]).toDF(*[f"c{k}" for k in range(len(kept))])
+    at_id, at_text = kept.index(id_col), kept.index(text_col)
+    ident, text = F.col(f"c{at_id}").cast("long"), F.col(f"c{at_text}").cast("string")
+    slices = (base.agg(F.sum(F.length(text))).first()[0] or 0) // SLICE_CHARS + 1
     dealt = lambda x: F.pmod(x, F.lit(slices)).cast("int")
     slice_of = dealt(F.when(ident.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(ident)))
-    chosen = target.select(F.col(id_col).cast("long").alias("id")).dropna().distinct()
+    chosen = target.select(F.col(f"`{id_col}`").cast("long").alias("id")).dropna().distinct()
     both = base.select(slice_of.alias("slice"), ident.alias("id"), text.alias("text"), F.lit(False).alias("chosen")).union(
         chosen.select(dealt(F.xxhash64("id")), "id", F.lit(None).cast("string"), F.lit(True))
     )
@@ -286,29 +158,30 @@ def scored(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_c
         sent.repartition("part").sortWithinPartitions("part").mapInArrow(summed, "slice int, part int, n binary, n_target binary, words long, total long, total_target long")
     )
     vocabulary, total, total_target = (x or 0 for x in back.where("slice is null").agg(F.sum("words"), F.sum("total"), F.sum("total_target")).first())
-    asked = base.withColumns({"_slice": slice_of, "_part": F.lit(-1)}).unionByName(
-        back.where("slice is not null").select(F.col("slice").alias("_slice"), F.col("part").alias("_part"), F.col("n").alias("_n"), F.col("n_target").alias("_n_target")),
-        allowMissingColumns=True,
-    )
-    kept, at_slice = base.columns, asked.columns.index("_slice")
+    sizes = (total_target, total - total_target)
+    scales = [min(sizes) / n if min(sizes) else 1.0 for n in map(lambda n: max(n, 1), sizes)]
+    sums = back.where("slice is not null").select("slice", "part", "n", "n_target")
+    asked = base.withColumns({"slice": slice_of, "part": F.lit(-1)}).unionByName(sums, allowMissingColumns=True)
     schema = base.withColumn("n_words", F.lit(None).cast("long"))
     for c in new[1:]:
         schema = schema.withColumn(c, F.lit(None).cast("double"))
+    at_slice, names = asked.columns.index("slice"), schema.columns
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs(batches, at_slice):
-            own = pa.compute.less(rows["_part"], 0)
+            own = pa.compute.less(rows["part"], 0)
             sums, rows = rows.filter(pa.compute.invert(own)), rows.filter(own)
-            coded = Coded(rows[text_col].cast(pa.string()).to_pylist())
-            h = []
-            for c, m in (("_n_target", total_target), ("_n", total)):
-                n = np.empty(len(coded.keys), dtype=np.int64)
+            coded = Coded(rows[f"c{at_text}"].cast(pa.string()).to_pylist())
+            counts = np.empty((2, len(coded.keys)), dtype=np.int64)
+            for c, n in zip(("n_target", "n"), counts, strict=True):
                 n[coded.order] = np.concatenate([unpacked(b) for b in sums[c].to_pylist()])  # as many as keys, or this fails
-                h.append(coded.entropies(n, m, vocabulary))
+            counts[1] -= counts[0]
+            h = [coded.entropies(*x, vocabulary) for x in zip(counts, scales, sizes, strict=True)]
             cols = [pa.array(x, mask=coded.sizes == 0) for x in (h[0], h[1], h[0] - h[1])]
-            yield from pa.table([*[rows[c] for c in kept], pa.array(coded.sizes), *cols], names=[*kept, *new]).to_batches()
+            yield from pa.table([*[rows[f"c{k}"] for k in range(len(kept))], pa.array(coded.sizes), *cols], names=names).to_batches()
 
-    return asked.repartition("_slice").sortWithinPartitions("_slice", "_part").mapInArrow(told, schema.schema)
+    done = asked.repartition("slice").sortWithinPartitions("slice", "part").mapInArrow(told, schema.schema)
+    return done.toDF(*kept, *new)
 
 
 def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,52 +158,29 @@ def test_hilbert_curve_visits_all_cells_step_by_step(d, bits):
     assert (np.abs(np.diff(cells[np.argsort(at)], axis=0)).sum(axis=1) == 1).all()
 
 
-def test_cross_entropy_equals_plain_counting(spark):
-    rng = random.Random(3)
-    docs = [(i, prose(rng, rng.choice([0, 1, 20, 60]), 30)) for i in range(60)] + [(60, None)]
-    target = spark.createDataFrame([(i,) for i in range(0, 60, 4)] + [(0,), (None,)], "doc_id long")
-    voc, t, b = cross_entropy.train(frame(spark, docs), target, vocabulary=20, buckets=1 << 16)
-    counts = Counter(w.encode() for _, x in docs for w in plain.words(x))
-    assert list(voc.ids) == [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:20]]
-    got = {r["doc_id"]: r for r in cross_entropy.score(frame(spark, docs).withColumn("ce_diff", F.lit("x")), voc, t, b).collect()}
-    for model, ids, column in ((b, range(61), "h_background"), (t, range(0, 60, 4), "h_target")):
-        uni, ctx, bi = Counter(), Counter(), Counter()
-        for i, x in docs:
-            if i in ids:
-                w = [voc.ids.get(y.encode(), 0) for y in plain.words(x)]
-                for p, y in zip([len(voc.ids) + 1, *w], w, strict=False):
-                    uni[y] += 1
-                    ctx[p] += 1
-                    bi[p, y] += 1
-        n, v = sum(uni.values()), len(model.unigrams)
-        for i, x in docs:
-            w = [voc.ids.get(y.encode(), 0) for y in plain.words(x)]
-            if not w:
-                assert got[i][column] is None
-                continue
-            h = [-np.log((bi[p, y] + 4 * (uni[y] + 1) / (n + v)) / (ctx[p] + 4)) for p, y in zip([len(voc.ids) + 1, *w], w, strict=False)]
-            assert got[i][column] == pytest.approx(np.mean(h), rel=1e-3)
-
-
 def test_cross_entropy_keeps_every_word_and_bigram(spark, monkeypatch):
     rng = random.Random(4)
     docs = [(i, prose(rng, rng.choice([0, 1, 40, 200]), 30_000)) for i in range(300)] + [(300, None), (None, "w1 w2 w1"), (5, "w1 w2 unseen")]
     target = spark.createDataFrame([(i,) for i in range(0, 300, 4)] + [(0,), (None,)], "doc_id long")
     monkeypatch.setattr(cross_entropy, "SLICE_CHARS", 10_000)
-    got = {(r["doc_id"], r["text"]): r for r in cross_entropy.scored(frame(spark, docs).withColumn("ce_diff", F.lit("x")), target).collect()}
-    assert len(got) == len(docs)
-    figures = {}
-    for ids, column in (({i for i, _ in docs}, "h_background"), (set(range(0, 300, 4)), "h_target")):
-        uni, ctx, bi = Counter(), Counter(), Counter()
+    clashing = frame(spark, docs).withColumns({c: F.lit("x") for c in ("ce_diff", "slice", "part", "c0", "_target", "id")})
+    rows = cross_entropy.scored(clashing, target)
+    assert rows.columns == ["doc_id", "text", "slice", "part", "c0", "_target", "id", "n_words", "h_target", "h_background", "ce_diff"]
+    got = {(r["doc_id"], r["text"]): r for r in rows.collect()}
+    assert len(got) == len(docs) and {r["slice"] for r in got.values()} == {"x"}
+    good = set(range(0, 300, 4))
+    size = {side: sum(len(plain.words(x)) for i, x in docs if (i in good) == side) for side in (True, False)}
+    v, figures = len({w for _, x in docs for w in plain.words(x)}), {}
+    assert v > 10_000
+    for side, column in ((False, "h_background"), (True, "h_target")):
+        uni, ctx, bi, s = Counter(), Counter(), Counter(), min(size.values()) / size[side]
         for i, x in docs:
-            if i in ids:
+            if (i in good) == side:
                 w = plain.words(x)
                 uni.update(w)
                 ctx.update([None, *w][: len(w)])
                 bi.update(zip([None, *w], w, strict=False))
-        v = len({w for _, x in docs for w in plain.words(x)})
-        assert v > 10_000
-        p = lambda a, b: (bi[a, b] + 4 * (uni[b] + 1) / (sum(uni.values()) + v + 1)) / (ctx[a] + 4)  # noqa: B023, E731
+        p = lambda a, b: (s * bi[a, b] + 4 * (s * uni[b] + 1) / (s * sum(uni.values()) + v)) / (s * ctx[a] + 4)  # noqa: B023, E731
         for i, x in docs:
             w = plain.words(x)
             figures[i, x, column] = -np.mean([np.log(p(a, b)) for a, b in zip([None, *w], w, strict=False)]) if w else None
@@ -212,6 +189,8 @@ def test_cross_entropy_keeps_every_word_and_bigram(spark, monkeypatch):
             assert r[column] == (figures[i, x, column] if figures[i, x, column] is None else pytest.approx(figures[i, x, column], rel=1e-9))
     none = frame(spark, docs).limit(0)
     assert cross_entropy.scored(none, target).count() == 0
+    without = cross_entropy.scored(frame(spark, docs), target.limit(0)).where("n_words > 0").agg(F.min("h_target"), F.max("h_target")).first()
+    assert without[0] == pytest.approx(np.log(v)) and without[1] == pytest.approx(np.log(v))
 
 
 def test_quality_figures_and_verdicts(spark, corpus):
@@ -486,4 +465,4 @@ def test_operators_on_empty_tables(spark):
     assert quality.apply_rules(none, quality.train(none, labels)).count() == 0
     assert decontamination.decontaminate(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert pseudonyms.pseudonymise(none, KEY).count() == 0
-    assert cross_entropy.score(none, *cross_entropy.train(none, labels)).count() == 0
+    assert cross_entropy.scored(none, labels).count() == 0
