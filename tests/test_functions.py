@@ -132,3 +132,42 @@ def test_feeds(spark):
 def test_wall_clock(spark):
     df = spark.createDataFrame(pd.DataFrame({"t": [pd.Timestamp("2026-09-29 18:29:00")]}))
     assert df.select(status.wall_clock(F.col("t"), F.lit(330))).first()[0] == "29 September 2026, 11:59 PM"
+
+
+@pytest.mark.parametrize(
+    "said, kinds",
+    [
+        ("Register before 5 Oct 2026", ["registration_deadline"]),
+        ("Last date to register: October 5, 2026", ["registration_deadline"]),
+        ("Registration opens on 1 May 2026 | registration closed 9 May 2026", ["registration_opens", "registration_deadline"]),
+        ("Apply by 3 Oct 2026; application deadline 4/10/2026", ["application_deadline"] * 2),
+        ("Submissions close 2026-10-06", ["project_submission_deadline"]),
+        ("Final submission 6 Oct 2026", ["project_submission_deadline"]),
+        ("Submission deadline 6 Oct 2026", ["submission_deadline"]),
+        ("Submit your idea till 2 Oct 2026", ["idea_submission_deadline"]),
+        ("Demo day 9 Oct 2026\nGrand finale 10 Oct 2026\nShortlisting 7 Oct 2026", ["final_presentation", "final_presentation", "shortlisting"]),
+        ("Winners are announced 2026-10-12", ["result_announcement"]),
+        ("Hackathon starts 7 Oct 2026 ... ends 8 Oct 2026", ["hackathon_start", "hackathon_end"]),
+        ("29 Sep 2026 is the registration deadline", ["registration_deadline"]),
+        ("Registration and application deadline 1 May 2026", ["unknown"]),
+        ("Venue: Hall 12/2 on 5.10.2026", ["unknown"]),
+        ("version 1.2.3 and 10-12-20-30 and 2026-13-40", []),
+    ],
+)
+def test_labels(spark, said, kinds):
+    df = spark.createDataFrame([(1, said)], "listing_id long, text string")
+    assert [r["kind"] for r in milestones.extract_milestones(df, default_year=2026).orderBy("segment", "position", "iso").collect()] == kinds
+
+
+def test_strict_dates(spark):
+    said = ["29 Sep 2026", "Sept 29th, 2026 at 6 pm PDT", "2026-09-29T18:29:00Z", "29/09/2026 11:59 PM UTC+5:30", "09/29/26", "30 Feb 2026", "see 29 Sep 2026", "7 May", None]
+    want = ["2026-09-29", "2026-09-29T18:00:00-07:00", "2026-09-29T18:29:00+00:00", "2026-09-29T23:59:00+05:30", "2026-09-29", None, None, "2026-05-07", None]
+    assert values(spark, said, milestones.strict_date(F.col("x"), 2026)) == want
+
+
+def test_eligibility_and_odd_amounts(spark):
+    assert values(spark, ["Open to all. Eligibility: students of any year. More", "none", None], text.eligibility(F.col("x"))) == ["Eligibility: students of any year", None, None]
+    got = values(spark, ["Pay €10. Cash prize of €2.5 million!", "₹1 crore for the winning team", "prizes soon", "", None], text.prize(F.col("x")))
+    assert [(float(r["amount"]), r["currency"]) if r else None for r in got] == [(2_500_000, "EUR"), (10_000_000, "INR"), None, None, None]
+    got = values(spark, ["Teams: 3 to 5 people", "a team of up to 4", "minimum of 2 participants", "team of 4", None], text.team_size(F.col("x")))
+    assert [tuple(r) if r else None for r in got] == [(3, 5), (1, 4), (2, None), None, None]
