@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: In falling order of detail.
-GEOCODE_RANK = {"venue": 0, "address": 1, "locality": 2, "city": 3, "region": 4, "country": 5}
+from listinglake.functions.geo import valid
+
+# What kind of place a geocoder's answer is, the best for a settlement's own point first.
+GEOCODE_RANK = {
+    "city": 0, "town": 1, "municipality": 1, "village": 2, "borough": 2, "county": 3, "state": 4, "district": 5, "city_district": 5, "locality": 6,
+    "suburb": 6, "neighbourhood": 7, "quarter": 7, "other": 8,
+}
 CONFIDENCE_RANK = {"verified": 0, "source_confirmed": 1, "partially_verified": 2, "inferred": 3, "unknown": 4}
 
 
@@ -23,8 +28,10 @@ def with_details(listings: DataFrame, details: DataFrame, key: str, fields: list
 
 
 def best_geocode(candidates: DataFrame) -> DataFrame:
-    """One candidate per place key, the most detailed. ``candidates``: place_key, feature, latitude, longitude."""
-    best = F.min(F.struct(rank(F.col("feature"), GEOCODE_RANK).alias("r"), F.col("latitude"), F.col("longitude"), F.col("feature")))
+    """One candidate per place key by kind; points that are none are left out. ``candidates``: place_key, feature, latitude, longitude."""
+    kind = F.when(F.col("feature").isin(*GEOCODE_RANK), F.col("feature")).otherwise("other")
+    candidates = candidates.where(valid(F.col("latitude"), F.col("longitude")))
+    best = F.min(F.struct(rank(kind, GEOCODE_RANK).alias("r"), F.col("latitude"), F.col("longitude"), F.col("feature")))
     return candidates.groupBy("place_key").agg(best.alias("b")).select("place_key", "b.feature", "b.latitude", "b.longitude")
 
 

@@ -42,15 +42,17 @@ def bare_place(text: Column) -> Column:
 def resolve_places(texts: DataFrame, places: DataFrame, text_col: str = "place_text") -> DataFrame:
     """(place_text, place_key, metro, match) of each distinct text: name, alias, or a known place beside qualifiers.
 
-    Compound names are sought by their one- and two-word starts and ends, so every step is an equi join.
+    Compound names are sought by their starts and ends of as many words as the registry's names have, so every step
+    is an equi join.
     """
     reg = registry(places)
     keys = place_keys(reg)
+    sizes = range(1, longest_name(keys) + 1)
     base = texts.select(F.col(text_col).alias("place_text")).distinct().withColumns({"raw": normal_key(F.col("place_text")), "bare": bare_place(F.col("place_text"))})
     words = F.split("bare", " ")
     n = F.size(words)
     part = lambda a, size: F.struct(F.array_join(F.slice(words, a, size), " ").alias("key"), F.array_except(words, F.slice(words, a, size)).alias("rest"))
-    cuts = [F.when(n > k, part(F.lit(1), k)) for k in (1, 2)] + [F.when(n > k, part(n - k + 1, k)) for k in (1, 2)]
+    cuts = [F.when(n > k, part(F.lit(1), k)) for k in sizes] + [F.when(n > k, part(n - k + 1, k)) for k in sizes]
     fits = lambda c: c.isNotNull() & F.forall(c["rest"], lambda t: t.isin(refdata.PLACE_QUALIFIERS))
     tries = F.array(
         F.struct(F.col("bare").alias("key"), F.lit(0).alias("step")),
@@ -69,7 +71,7 @@ def metro_keys(places: DataFrame) -> DataFrame:
     """(place_key, keys): all names and aliases of a place and of the other places of its metro."""
     keys = place_keys(registry(places))
     own = keys.where("rank = 1").select("place_key", "metro")
-    near = own.join(keys.select("key", F.col("place_key").alias("of"), F.col("metro").alias("m")), (F.col("metro") == F.col("m")) | (F.col("place_key") == F.col("of")))
+    near = own.join(keys.where("metro is not null").select("key", "metro"), "metro").select("place_key", "key").union(keys.select("place_key", "key"))
     return near.groupBy("place_key").agg(F.array_sort(F.collect_set("key")).alias("keys"))
 
 
@@ -87,14 +89,30 @@ def suggest(places: DataFrame, typed: str, n: int = 8) -> DataFrame:
     return ranked.select("name", "score").orderBy(F.desc("score"), "name").limit(n)
 
 
-def inherit_metro(names: DataFrame, places: DataFrame, name_col: str = "name", most_words: int = 3) -> DataFrame:
+def longest_name(keys: DataFrame) -> int:
+    """Words of the longest key; one number reaches the driver."""
+    return keys.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 0
+
+
+def by_state(names: DataFrame, places: DataFrame) -> DataFrame:
+    """(name, state, place_key, exact) of each distinct name and state: the place of that name in that state (no state: without one), else one in any state; towns before localities."""
+    known = place_keys(places.withColumn("place_key", normal_key(F.col("name")))).where("rank = 1").select("key", "position")
+    rows = places.select("position", F.col("state").alias("place_state"), "locality").join(known, "position")
+    asked = names.select("name", "state").distinct().withColumn("key", bare_place(F.col("name")))
+    same = F.col("state").eqNullSafe(F.col("place_state"))
+    best = asked.join(rows, "key").groupBy("name", "state").agg(F.min(F.struct((~same).alias("other"), F.col("locality"), F.col("position"), F.col("key"))).alias("b"))
+    joined = asked.alias("a").join(best.alias("b"), F.col("a.name").eqNullSafe(F.col("b.name")) & F.col("a.state").eqNullSafe(F.col("b.state")), "left")
+    return joined.select("a.name", "a.state", F.col("b.b.key").alias("place_key"), (~F.col("b.b.other")).alias("exact"), F.col("b.b.position").alias("position"))
+
+
+def inherit_metro(names: DataFrame, places: DataFrame, name_col: str = "name") -> DataFrame:
     """(name, metro) of unlisted localities whose name starts or ends with a known place's: the first place by position.
 
-    Starts and ends of up to ``most_words`` words are joined by equality, so no pair of names and places is tried twice.
+    Starts and ends of as many words as known names have are joined by equality, so no pair of names and places is tried twice.
     """
     known = registry(places).where("metro is not null").select(F.col("place_key").alias("key"), "metro", "position")
     base = names.select(F.col(name_col).alias("name")).distinct().withColumn("words", F.split(normal_key(F.col("name")), " "))
     n = F.size("words")
-    ends = [F.when(n > k, F.array_join(F.slice("words", start, k), " ")) for k in range(1, most_words + 1) for start in (F.lit(1), n - k + 1)]
+    ends = [F.when(n > k, F.array_join(F.slice("words", start, k), " ")) for k in range(1, longest_name(known) + 1) for start in (F.lit(1), n - k + 1)]
     asked = base.select("name", F.explode(F.array_distinct(F.array_compact(F.array(*ends)))).alias("key"))
     return asked.join(known, "key").groupBy("name").agg(F.min(F.struct("position", "metro"))["metro"].alias("metro"))

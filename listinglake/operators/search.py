@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listinglake.functions import geo
-from listinglake.functions.status import live_status
+from listinglake.functions.status import full_status, live_status
 
 MODES = ("online", "offline", "hybrid")
 SORTS = ("relevance", "deadline", "event_date", "distance", "prize", "recently_updated")
 ONLINE_LIMIT = 12
+DEFAULT_RADIUS_KM, LONGEST_RADIUS_KM = 50.0, 2000
 
 
 @dataclass(frozen=True)
@@ -51,8 +52,8 @@ class SearchParams:
             raise ValueError(f"mode must be one of {MODES}")
         if self.sort not in SORTS:
             raise ValueError(f"sort must be one of {SORTS}")
-        if self.page < 1 or not 0 <= (self.radius_km or 0) <= 20_000:
-            raise ValueError("page must be 1 or more, radius_km 0 to 20000")
+        if self.page < 1 or not 0 <= (self.radius_km or 0) <= LONGEST_RADIUS_KM:
+            raise ValueError(f"page must be 1 or more, radius_km 0 to {LONGEST_RADIUS_KM}")
         if (self.latitude is None) != (self.longitude is None):
             raise ValueError("latitude and longitude go together")
         if self.latitude is not None and not (-90 <= self.latitude <= 90 and -180 <= self.longitude <= 180):
@@ -73,6 +74,11 @@ class SearchParams:
     def located(self) -> bool:
         return self.latitude is not None
 
+    @property
+    def radius(self) -> float:
+        """A search at a place without a radius takes DEFAULT_RADIUS_KM."""
+        return DEFAULT_RADIUS_KM if self.radius_km is None else self.radius_km
+
 
 def _columns(df: DataFrame, *names: str) -> list[Column]:
     """Columns by name, null where the table lacks them."""
@@ -94,11 +100,12 @@ def radius_filter(p: SearchParams) -> Column | None:
     """The bounding box first (plain ranges reach the scan), then the great circle. Listings without coordinates pass."""
     if not p.located:
         return None
-    low_lat, high_lat, low_lon, high_lon = geo.box(p.latitude, p.longitude, max(50 if p.radius_km is None else p.radius_km, 1))
-    inside = F.col("latitude").isNull() | (F.col("latitude").between(low_lat, high_lat) & F.col("longitude").between(low_lon, high_lon))
-    if p.radius_km:
+    south, north, ranges = geo.box(p.latitude, p.longitude, max(p.radius, 1))
+    here = reduce(or_, [F.col("longitude").between(*r) for r in ranges])
+    inside = F.col("latitude").isNull() | F.col("longitude").isNull() | (F.col("latitude").between(south, north) & here)
+    if p.radius:
         far = distance(p)
-        inside &= far.isNull() | (far <= p.radius_km)
+        inside &= far.isNull() | (far <= p.radius)
     return inside
 
 
@@ -175,6 +182,35 @@ def online_companion(df: DataFrame, p: SearchParams, now: Column) -> DataFrame |
     return search(df, SearchParams(**fields, mode="online", limit=ONLINE_LIMIT), now)
 
 
+def sections(df: DataFrame, p: SearchParams, now: Column) -> tuple[DataFrame, DataFrame | None]:
+    """The page of a search and its online list.
+
+    A search in a city gives what takes place there and, apart, what is online anywhere; asked for online events it
+    gives these from anywhere; asked for those on site it has no online list.
+    """
+    if not p.city_keys or p.mode == "offline":
+        return search(df, p, now), None
+    fields = {k: v for k, v in vars(p).items() if k not in ("city_keys", "metro", "latitude", "longitude", "radius_km")}
+    if p.mode == "online":
+        return search(df, SearchParams(**fields), now), None
+    on_site = df.where(F.col("mode").isNull() | (F.col("mode") != "online"))
+    return search(on_site, p, now), online_companion(df, p, now)
+
+
+def total(df: DataFrame, p: SearchParams, now: Column) -> DataFrame:
+    """How many listings a search finds, without its page."""
+    return filtered(df, p, now).agg(F.count(F.lit(1)).alias("total"))
+
+
+def shaped(df: DataFrame, p: SearchParams, now: Column) -> DataFrame:
+    """Rows as they are shown: the status of now, the distance to 0.1 km, empty lists for missing ones, words for unknown kinds."""
+    lists = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("themes", "technologies") if c in df.columns}
+    unknown = {c: F.coalesce(c, F.lit("unknown")) for c in ("mode", "free_or_paid", "deadline_confidence") if c in df.columns}
+    status = full_status(F.col("deadline_ts"), F.col("deadline_precision"), F.col("opens_ts"), now)
+    away = F.round(distance(p), 1) if p.located else F.lit(None).cast("double")
+    return df.withColumns({**lists, **unknown, "deadline_precision": F.coalesce("deadline_precision", F.lit("none")), "status": status["status"], "distance_km": away})
+
+
 def radius_join(origins: DataFrame, df: DataFrame, km: float) -> DataFrame:
     """All (origin, listing) pairs within ``km``: grid cells of that size, each origin in its cell and the ones around.
 

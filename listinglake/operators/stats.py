@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from listinglake.operators.order import earlier, parts, written
+
 
 def source_health(runs: DataFrame) -> DataFrame:
     """Latest success and failure, failures since the last success, duration of the last success, class.
@@ -27,11 +29,28 @@ def source_health(runs: DataFrame) -> DataFrame:
 
 
 def running_failures(runs: DataFrame) -> DataFrame:
-    """Each run with the failures in a row that it ends."""
-    w = Window.partitionBy("source").orderBy("started", "run_id")
-    island = runs.withColumn("island", F.count_if(F.col("ok")).over(w))
-    inside = Window.partitionBy("source", "island").orderBy("started", "run_id")
-    return island.withColumn("failures", F.count_if(~F.col("ok")).over(inside)).drop("island")
+    """Each run with the failures in a row that it ends.
+
+    Runs are numbered along one order by source and time. A run's failures are the rows since the latest success, or
+    since its source's first run; both are running maxima within an even part of the order, and over the parts before.
+    """
+    placed = parts(runs, ["source", "started", "run_id"])
+    start = earlier(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")), start=F.sum("n"))
+    at = placed.join(F.broadcast(start), "part").withColumn("at", F.col("at") + F.coalesce("start", F.lit(0)))  # a row for each task
+    first = written(at.groupBy("source").agg(F.min("at").alias("first")))
+    good = F.when(F.col("ok"), F.col("at"))
+    carried = earlier(at.groupBy("part").agg(F.max(good).alias("good")), carried=F.max("good"))
+    within = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    held = at.withColumn("own", F.max(good).over(within)).join(F.broadcast(carried), "part").join(first, "source")
+    floor = F.greatest("own", "carried", F.col("first") - 1)
+    return held.withColumn("failures", F.col("at") - floor).select(*runs.columns, "failures")
+
+
+def last_start(runs: DataFrame) -> DataFrame:
+    """Latest start of any run that was not skipped, and of those that are done, failed or running. ``runs``: status."""
+    return runs.agg(
+        F.max(F.when(F.col("status") != "skipped", F.col("started"))).alias("last_run"), F.max(F.when(F.col("status").isin("ok", "failed", "running"), F.col("started"))).alias("last_attempt")
+    )
 
 
 def last_runs(runs: DataFrame, n: int = 25) -> DataFrame:

@@ -27,6 +27,9 @@ SELECT o.o_orderkey AS listing_id,
  CASE WHEN o.o_orderkey % 4 = 0 THEN NULL ELSE CAST(o.o_orderkey % 3 + 1 + o.o_orderkey % 4 AS INT) END AS team_size_max,
  concat(lower(p.p_type), ',', split_part(p.p_name, ' ', 1), ',', split_part(p.p_name, ' ', 2)) AS themes_csv,
  concat(lower(c.c_mktsegment), ', ', lower(o.o_orderpriority)) AS eligibility,
+ concat(CASE o.o_orderkey % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'react' WHEN 2 THEN 'rust' ELSE 'java' END, ',', lower(p.p_brand)) AS technologies_csv,
+ concat('Hall ', CAST(o.o_orderkey % 9 AS STRING), ', ', n.n_name, ', ', r.r_name) AS location_text,
+ CASE WHEN o.o_orderkey % 7 = 0 THEN 'unknown' WHEN o.o_orderkey % 4 = 0 THEN 'verified' WHEN o.o_orderkey % 4 = 1 THEN 'inferred' WHEN o.o_orderkey % 3 = 0 THEN 'partially_verified' ELSE 'source_confirmed' END AS deadline_confidence,
  CASE WHEN o.o_orderkey % 3 = 0 THEN NULL ELSE o.o_totalprice END AS prize_amount,
  CASE o.o_orderkey % 3 WHEN 0 THEN 'free' WHEN 1 THEN 'paid' ELSE 'unknown' END AS free_or_paid,
  CASE WHEN o.o_orderkey % 3 = 1 THEN CAST(o.o_orderkey % 500 AS DOUBLE) ELSE NULL END AS registration_fee,
@@ -44,10 +47,10 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = dict(zip(TABLES, tables(spark, sf_dir, *TABLES), strict=True))
     view = spark.sql(LISTING_SQL, **frames)
-    return view.withColumns({"themes": F.split("themes_csv", ","), "description": F.lit(None).cast("string"), "now": F.lit(NOW).cast("timestamp")})
+    return view.withColumns({"themes": F.split("themes_csv", ","), "technologies": F.split("technologies_csv", ","), "description": F.lit(None).cast("string"), "now": F.lit(NOW).cast("timestamp")})
 
 
 def listing_cte() -> str:
-    """For DuckDB: L with the same columns, themes as a list."""
+    """For DuckDB: L with the same columns, themes and technologies as lists."""
     own = LISTING_SQL.format(**{t: t for t in TABLES})
-    return f"WITH L AS (SELECT *, string_split(themes_csv, ',') AS themes, TIMESTAMP '{NOW}' AS now FROM ({own}))"
+    return f"WITH L AS (SELECT *, string_split(themes_csv, ',') AS themes, string_split(technologies_csv, ',') AS technologies, TIMESTAMP '{NOW}' AS now FROM ({own}))"

@@ -140,8 +140,7 @@ all_matches(P(city_keys=("india", "japan")), "city_key IN ('india', 'japan')", "
 
 LAT, LON, KM = 24.0, 72.0, 300.0
 HERE = DIST.format(lat1=LAT, lon1=LON, lat2="latitude", lon2="longitude")
-_box = geo.box(LAT, LON, KM)
-NEAR = f"(latitude IS NULL OR (latitude BETWEEN {_box[0]!r} AND {_box[1]!r} AND longitude BETWEEN {_box[2]!r} AND {_box[3]!r} AND {HERE} <= {KM}))"
+NEAR = f"(latitude IS NULL OR {HERE} <= {KM})"
 all_matches(P(latitude=LAT, longitude=LON, radius_km=KM), NEAR, "search_radius")
 page(P(latitude=LAT, longitude=LON, radius_km=KM, sort="distance", limit=100), NEAR, f"{HERE} ASC NULLS LAST, deadline_ts ASC NULLS LAST, listing_id", "listing_id, deadline_ts", "sort_distance")
 page(P(sort="deadline", limit=100), "true", "deadline_ts ASC NULLS LAST, listing_id", "listing_id, deadline_ts", "sort_deadline")
@@ -460,24 +459,24 @@ def wall_clock(df):
 
 # ---- duplicates
 
-TELLING = f"list_filter({tokens_sql('title')}, lambda t: length(t) >= 4)"
-# The first three distinct ones, in the title's order.
-FIRST = f"list_filter({TELLING}, lambda t, i: list_position({TELLING}, t) = i)[1:3]"
-BLOCKS = f"""b AS (SELECT listing_id, source, {nk("organizer")} AS org, city_key, CAST(floor((CAST(start_ts AS DATE) - DATE '1970-01-01') / 2.0) AS BIGINT) AS step, unnest({FIRST}) AS t FROM (SELECT * FROM L)),
-k AS (SELECT listing_id, source, concat('o', t, '|', org) AS key FROM b UNION ALL SELECT listing_id, source, concat('p', t, '|', city_key, '|', CAST(step + d AS VARCHAR)) FROM b, (VALUES (0), (1)) v(d) WHERE step IS NOT NULL),
-pairs AS (SELECT DISTINCT x.listing_id AS a, y.listing_id AS b FROM k x JOIN k y ON x.key = y.key AND x.listing_id < y.listing_id AND x.source <> y.source)"""
+# Every pair of different sources that one organiser has, or that takes place in one city or online within two days of a start or
+# one of a deadline: others cannot reach 75 points, as different organisers of the view share one word of three.
+PAIRS = """u AS (SELECT x.listing_id AS i, y.listing_id AS j, x.source AS si, y.source AS sj FROM L x JOIN L y ON x.organizer = y.organizer UNION ALL
+  SELECT x.listing_id, y.listing_id, x.source, y.source FROM L x JOIN L y ON x.city_key = y.city_key AND (abs(epoch(x.start_ts) - epoch(y.start_ts)) <= 172800 OR abs(epoch(x.deadline_ts) - epoch(y.deadline_ts)) <= 86400) UNION ALL
+  SELECT x.listing_id, y.listing_id, x.source, y.source FROM L x JOIN L y ON x.mode = y.mode AND x.mode = 'online' AND (abs(epoch(x.start_ts) - epoch(y.start_ts)) <= 172800 OR abs(epoch(x.deadline_ts) - epoch(y.deadline_ts)) <= 86400)),
+pairs AS (SELECT DISTINCT i AS a, j AS b FROM u WHERE i < j AND si <> sj)"""
 
 
-@query(f"{CTE}, {BLOCKS} SELECT a, b FROM pairs")
-def candidate_pairs(spark, sf_dir):
-    return dedupe.candidate_pairs(listings(spark, sf_dir))
+def _duplicates(spark, sf_dir):
+    df = listings(spark, sf_dir)
+    return dedupe.scored_pairs(df, dedupe.candidate_pairs(df)).where("duplicate")
 
 
 JACC = "CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(ta), list_distinct(tb))) / len(list_distinct(list_concat(ta, tb))) END"
 SIM = f"""CASE WHEN ka = '' OR kb = '' THEN 0.0 WHEN ka = kb THEN 1.0 WHEN len(ta) > 0 AND array_to_string(ta, ' ') = array_to_string(tb, ' ') THEN 0.97
   WHEN length(ka) >= 4 AND (contains(ka, kb) OR contains(kb, ka)) THEN 0.9 WHEN {JACC} = 0 THEN 0.0
   ELSE least(1.0, greatest({JACC}, greatest(0.0, 1 - least(levenshtein(ka, kb), 6) / greatest(length(ka), length(kb))) * 0.9)) END"""
-SCORED = f"""s AS (SELECT a, b, x.organizer AS oa, y.organizer AS ob, x.city_key = y.city_key AS place, abs(epoch(x.start_ts) - epoch(y.start_ts)) / 86400.0 AS sd, abs(epoch(x.deadline_ts) - epoch(y.deadline_ts)) / 86400.0 AS dd,
+SCORED = f"""s AS (SELECT a, b, x.organizer AS oa, y.organizer AS ob, x.city_key = y.city_key OR (x.mode = 'online' AND y.mode = 'online') AS place, abs(epoch(x.start_ts) - epoch(y.start_ts)) / 86400.0 AS sd, abs(epoch(x.deadline_ts) - epoch(y.deadline_ts)) / 86400.0 AS dd,
   {nk("regexp_replace(x.title, '[-'']', '', 'g')")} AS ka, {nk("regexp_replace(y.title, '[-'']', '', 'g')")} AS kb, {tokens_sql("x.title")} AS ta, {tokens_sql("y.title")} AS tb
   FROM pairs JOIN L x ON x.listing_id = a JOIN L y ON y.listing_id = b),
 z AS (SELECT a, b, {SIM} AS sim, oa = ob AS same_org, place, sd, dd FROM s),
@@ -485,11 +484,15 @@ pts AS (SELECT a, b, sim, CASE WHEN sim >= 0.9 THEN 50 WHEN sim >= 0.75 THEN 35
   + CASE WHEN sd <= 2 THEN 20 WHEN dd <= 1 THEN 15 ELSE 0 END AS points FROM z)"""
 
 
-@query(f"{CTE}, {BLOCKS}, {SCORED} SELECT a, b, round(sim, 6) AS title_sim, CAST(points AS INTEGER) AS points, points >= 75 AS duplicate FROM pts")
+@query(f"{CTE}, {PAIRS}, {SCORED} SELECT a, b FROM pts WHERE points >= 75")
+def candidate_pairs(spark, sf_dir):
+    """Of the candidates, the pairs that are the same event: none of all pairs may be missing."""
+    return _duplicates(spark, sf_dir).select("a", "b")
+
+
+@query(f"{CTE}, {PAIRS}, {SCORED} SELECT a, b, round(sim, 6) AS title_sim, CAST(points AS INTEGER) AS points, points >= 75 AS duplicate FROM pts WHERE points >= 75")
 def pair_score(spark, sf_dir):
-    df = listings(spark, sf_dir).withColumn("organizer", F.replace("organizer", F.lit("#"), F.lit("")))
-    found = dedupe.scored_pairs(df, dedupe.candidate_pairs(listings(spark, sf_dir)))
-    return found.select("a", "b", F.round("title_sim", 6).alias("title_sim"), F.col("points").cast("int").alias("points"), "duplicate")
+    return _duplicates(spark, sf_dir).select("a", "b", F.round("title_sim", 6).alias("title_sim"), F.col("points").cast("int").alias("points"), "duplicate")
 
 
 @query()
@@ -526,16 +529,20 @@ def reconcile_fields(spark, sf_dir):
     return merge.reconcile(merge.reports(_events(spark, sf_dir), "event_id", list(FIELDS)))
 
 
-@query(f"""{CTE}, {RECONCILED} SELECT event_id, deadline, precision, source FROM (SELECT {EVENT} AS event_id, CAST(deadline_ts AS VARCHAR) AS deadline, deadline_precision AS precision, L.source,
-  row_number() OVER (PARTITION BY {EVENT} ORDER BY CASE WHEN deadline_precision = 'instant' THEN 0 ELSE 1 END, -{TRUST.replace("source", "L.source")}, listing_id) AS r
+@query(f"""{CTE}, {RECONCILED} SELECT event_id, deadline, precision, confidence, source FROM (SELECT {EVENT} AS event_id, CAST(deadline_ts AS VARCHAR) AS deadline, deadline_precision AS precision, L.source,
+  deadline_confidence AS confidence,
+  row_number() OVER (PARTITION BY {EVENT} ORDER BY CASE deadline_confidence WHEN 'verified' THEN 0 WHEN 'source_confirmed' THEN 1 WHEN 'partially_verified' THEN 2 WHEN 'inferred' THEN 3 ELSE 4 END, -{TRUST.replace("source", "L.source")}, listing_id) AS r
   FROM L JOIN w ON w.event_id = {EVENT} AND w.field = 'deadline_ts' AND w.n = 1 AND w.value = CAST(deadline_ts AS VARCHAR)) WHERE r = 1""")
 def deadline_meta(spark, sf_dir):
     return merge.deadline_meta(_events(spark, sf_dir), "event_id")
 
 
-@query(f"{CTE} SELECT event_id, string_agg(t, ',' ORDER BY t) AS themes FROM (SELECT DISTINCT {EVENT} AS event_id, unnest(themes) AS t FROM L) GROUP BY event_id")
+@query(f"""{CTE}, t AS (SELECT {EVENT} AS event_id, last_verified_at, listing_id, CASE WHEN listing_id % 3 = 0 THEN [] ELSE themes END AS th FROM L),
+newest AS (SELECT event_id, arg_max(th, row(last_verified_at, listing_id)) AS own FROM t GROUP BY event_id), u AS (SELECT event_id, string_agg(v, ',' ORDER BY v) AS every FROM (SELECT DISTINCT event_id, unnest(th) AS v FROM t) GROUP BY event_id)
+SELECT event_id, CASE WHEN len(own) > 0 THEN array_to_string(own, ',') ELSE coalesce(every, '') END AS themes FROM newest LEFT JOIN u USING (event_id)""")
 def merged_themes(spark, sf_dir):
-    return merge.merged_lists(_events(spark, sf_dir), "event_id", "themes").withColumn("themes", F.array_join("themes", ","))
+    some = _events(spark, sf_dir).withColumn("themes", F.when(F.col("listing_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.col("themes")))
+    return merge.merged_lists(some, "event_id", "themes").withColumn("themes", F.array_join("themes", ","))
 
 
 @query(f"""{CTE}, o AS (SELECT listing_id, title, mode, last_verified_at AS first_seen FROM L WHERE listing_id % 3 <> 0), n AS (SELECT listing_id, upper(title) AS title, city_key AS mode, now AS first_seen FROM L WHERE listing_id % 2 = 0)
@@ -607,14 +614,14 @@ def detail_override(spark, sf_dir):
     return enrich.with_details(listings(spark, sf_dir), details, "listing_id", ["organizer", "prize_amount"]).select("listing_id", "organizer", "prize_amount", "confidence")
 
 
-GEO = """SELECT CAST(s_nationkey AS VARCHAR) AS place_key, CASE s_suppkey % 4 WHEN 0 THEN 'country' WHEN 1 THEN 'city' WHEN 2 THEN 'venue' ELSE 'else' END AS feature, CAST(s_suppkey AS DOUBLE) AS latitude, CAST(s_suppkey % 90 AS DOUBLE) AS longitude FROM supplier"""
-BEST_GEO = f"""SELECT place_key, feature, latitude, longitude FROM (SELECT *, row_number() OVER (PARTITION BY place_key ORDER BY CASE feature WHEN 'venue' THEN 0 WHEN 'city' THEN 3 WHEN 'country' THEN 5 ELSE 6 END, latitude) AS r FROM ({GEO})) WHERE r = 1"""
+GEO = """SELECT CAST(s_nationkey AS VARCHAR) AS place_key, CASE s_suppkey % 4 WHEN 0 THEN 'country' WHEN 1 THEN 'city' WHEN 2 THEN 'village' ELSE 'suburb' END AS feature, CAST(s_suppkey % 97 AS DOUBLE) AS latitude, CAST(s_suppkey % 90 AS DOUBLE) AS longitude FROM supplier"""
+BEST_GEO = f"""SELECT place_key, feature, latitude, longitude FROM (SELECT *, row_number() OVER (PARTITION BY place_key ORDER BY CASE feature WHEN 'city' THEN 0 WHEN 'village' THEN 2 WHEN 'suburb' THEN 6 ELSE 8 END, latitude, longitude) AS r FROM ({GEO}) WHERE latitude BETWEEN -90 AND 90 AND NOT (latitude = 0 AND longitude = 0)) WHERE r = 1"""
 
 
 def _geocodes(spark, sf_dir):
     n = F.col("s_suppkey") % 4
-    feature = F.when(n == 0, "country").when(n == 1, "city").when(n == 2, "venue").otherwise("else")
-    return tables(spark, sf_dir, "supplier")[0].select(F.col("s_nationkey").cast("string").alias("place_key"), feature.alias("feature"), F.col("s_suppkey").cast("double").alias("latitude"), (F.col("s_suppkey") % 90).cast("double").alias("longitude"))
+    feature = F.when(n == 0, "country").when(n == 1, "city").when(n == 2, "village").otherwise("suburb")
+    return tables(spark, sf_dir, "supplier")[0].select(F.col("s_nationkey").cast("string").alias("place_key"), feature.alias("feature"), (F.col("s_suppkey") % 97).cast("double").alias("latitude"), (F.col("s_suppkey") % 90).cast("double").alias("longitude"))
 
 
 @query(BEST_GEO)
