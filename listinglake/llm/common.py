@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from listinglake.operators.order import written as written
+
 #: Bytes of the word class [^\x00-\x2F\x3A-\x60\x7B-\x7F], A-Z lower-cased; every other byte becomes a space.
 #: Bytes from 0x80 belong to multi-byte characters, which are word characters, so UTF-8 can be cut bytewise.
 WORD_TABLE = bytes(
@@ -69,21 +69,5 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, or else one in its warehouse."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/listinglake")
-    return sc.getCheckpointDir()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: lost executors then cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
