@@ -20,111 +20,125 @@ from pyspark.sql import types as T
 from listinglake.llm.common import WORD_TABLE, table, utf8, words_of
 
 WORD = re.compile(rb"[^ ]+")
-#: Bytes of benchmark text in one automaton; more text makes further automata, used one after another.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in one automaton, which take about 130 times as much memory on the driver while it is built and 10
+#: times as much in a task; more text makes further automata, used one after another.
+BLOCK_BYTES = 4 << 20
 SLICE = 1000
 
 
 class SuffixAutomaton:
     """Generalised suffix automaton of word sequences.
 
-    ``window``: words of a window. An item with fewer words is one window of its own. States keep the items of their
-    windows only, so memory follows the total number of item words.
+    ``window``: words of a window. An item with fewer words is one window of its own. It is built with dictionaries and
+    kept as arrays: transitions sorted by state and word, and the items of each state's window, so that what travels to
+    the tasks is some 30 bytes for each transition.
     """
 
     def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
         self.window, self.vocabulary = window, {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        nxt: list[dict[int, int]] = [{}]
+        link, length = [-1], [0]
+
+        def split(p: int, w: int, q: int) -> int:
+            clone = len(nxt)
+            nxt.append(dict(nxt[q]))
+            link.append(link[q])
+            length.append(length[p] + 1)
+            link[q] = clone
+            while p >= 0 and nxt[p].get(w) == q:
+                nxt[p][w] = clone
+                p = link[p]
+            return clone
+
+        def extend(last: int, w: int) -> int:
+            if w in nxt[last]:
+                q = nxt[last][w]
+                return q if length[q] == length[last] + 1 else split(last, w, q)
+            new = len(nxt)
+            nxt.append({})
+            link.append(0)
+            length.append(length[last] + 1)
+            p = last
+            while p >= 0 and w not in nxt[p]:
+                nxt[p][w] = new
+                p = link[p]
+            if p >= 0:
+                q = nxt[p][w]
+                link[new] = q if length[q] == length[p] + 1 else split(p, w, q)
+            return new
+
         coded = [(item, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]) for item, words in items if words]
         ends: list[tuple[int, int]] = []
-        short: list[tuple[int, list[int]]] = []
         for item, ids in coded:
             last = 0
             for w in ids:
-                last = self._extend(last, w)
+                last = extend(last, w)
                 ends.append((last, item))
-            if len(ids) < window:
-                short.append((item, ids))
+        short = [(item, ids) for item, ids in coded if len(ids) < window]
         self.shortest = min([window, *(len(ids) for _, ids in short)])
-        self._mark(ends, short)
+        self._mark(nxt, link, length, ends, short)
         v = max(1, len(self.vocabulary))
+        size = sum(map(len, nxt))
+        self.keys = np.fromiter((s * v + w for s, own in enumerate(nxt) for w in sorted(own)), dtype=np.int64, count=size)
+        self.targets = np.fromiter((own[w] for own in nxt for w in sorted(own)), dtype=np.int32, count=size)
+        self.link, self.length = np.array(link, dtype=np.int32), np.array(length, dtype=np.int32)
         self.pairs = np.unique(np.array([a * v + b for _, ids in coded for a, b in zip(ids, ids[1:], strict=False)], dtype=np.int64))
 
-    def _extend(self, last: int, w: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if w in nxt[last]:
-            q = nxt[last][w]
-            return q if length[q] == length[last] + 1 else self._split(last, w, q)
-        new = len(nxt)
-        nxt.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        p = last
-        while p >= 0 and w not in nxt[p]:
-            nxt[p][w] = new
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][w]
-            link[new] = q if length[q] == length[p] + 1 else self._split(p, w, q)
-        return new
-
-    def _split(self, p: int, w: int, q: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        clone = len(nxt)
-        nxt.append(dict(nxt[q]))
-        link.append(link[q])
-        length.append(length[p] + 1)
-        link[q] = clone
-        while p >= 0 and nxt[p].get(w) == q:
-            nxt[p][w] = clone
-            p = link[p]
-        return clone
-
-    def _mark(self, ends: list[tuple[int, int]], short: list[tuple[int, list[int]]]) -> None:
-        """items: of the states whose suffix of ``window`` words is their own; top: a state's way to such a state."""
-        n = len(self.next)
-        self.items: list[set[int]] = [set() for _ in range(n)]
+    def _mark(self, nxt: list[dict[int, int]], link: list[int], length: list[int], ends: list[tuple[int, int]], short: list[tuple[int, list[int]]]) -> None:
+        """The items of the states whose suffix of ``window`` words is their own; top: a state's way to such a state."""
+        n = len(nxt)
+        items: list[set[int]] = [set() for _ in range(n)]
         for s, item in ends:
-            self.items[s].add(item)
-        down = sorted(range(n), key=self.length.__getitem__, reverse=True)
+            items[s].add(item)
+        down = sorted(range(n), key=length.__getitem__, reverse=True)
+        top = list(range(n))
         for s in down:
-            if s and self.length[self.link[s]] >= self.window:
-                self.items[self.link[s]] |= self.items[s]
-        self.top = list(range(n))
+            if s and length[link[s]] >= self.window:
+                items[link[s]] |= items[s]
+                items[s] = set()
         for s in reversed(down):
-            if s and self.length[self.link[s]] >= self.window:
-                self.top[s] = self.top[self.link[s]]
-        self.short: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+            if s and length[link[s]] >= self.window:
+                top[s] = top[link[s]]
+        held = [sorted(x) if length[s] >= self.window else [] for s, x in enumerate(items)]
+        self.first = np.cumsum([0, *map(len, held)])
+        self.items = np.fromiter((i for x in held for i in x), dtype=np.int64, count=int(self.first[-1]))
+        self.top = np.array(top, dtype=np.int32)
+        self.short: dict[int, list[tuple[int, int]]] = {}
         for item, ids in short:
             s = 0
             for w in ids:
-                s = self.next[s][w]
-            self.short[s].append((len(ids), item))
-        self.shorter = [-1] * n
+                s = nxt[s][w]
+            self.short.setdefault(s, []).append((len(ids), item))
+        shorter = [-1] * n
         for s in reversed(down):
-            up = self.link[s]
-            self.shorter[s] = s if self.short[s] else self.shorter[up] if up >= 0 else -1
+            shorter[s] = s if s in self.short else shorter[link[s]] if link[s] >= 0 else -1
+        self.shorter = np.array(shorter, dtype=np.int32)
+
+    def step(self, s: int, w: int) -> int:
+        """The state behind a word, or -1."""
+        key = s * len(self.vocabulary) + w
+        at = int(self.keys.searchsorted(key))
+        return int(self.targets[at]) if at < len(self.keys) and self.keys[at] == key else -1
 
-    def stream(self, ids: list[int]) -> Iterator[tuple[int, int, int, set[int]]]:
+    def stream(self, ids: list[int]) -> Iterator[tuple[int, int, int, list[int]]]:
         """For each hit: end position (exclusive), words of the window, longest match there, its items."""
-        nxt, link, length, s, n = self.next, self.link, self.length, 0, 0
+        s, n = 0, 0
         for i, w in enumerate(ids, 1):
-            while s and w not in nxt[s]:
-                s = link[s]
-                n = length[s]
-            s = nxt[s].get(w, 0)
-            n = n + 1 if s else 0
+            while (t := self.step(s, w)) < 0 and s:
+                s = int(self.link[s])
+                n = int(self.length[s])
+            s, n = (t, n + 1) if t > 0 else (0, 0)
             if n >= self.window:
-                yield i, self.window, n, self.items[self.top[s]]
-            u = self.shorter[s]
+                own = int(self.top[s])
+                yield i, self.window, n, self.items[self.first[own] : self.first[own + 1]].tolist()
+            u = int(self.shorter[s])
             while u >= 0:
                 for m, item in self.short[u]:
                     if n >= m:
-                        yield i, m, n, {item}
-                u = self.shorter[link[u]] if u else -1
+                        yield i, m, n, [item]
+                u = int(self.shorter[self.link[u]]) if u else -1
 
-    def hits(self, docs: list[list[bytes]]) -> Iterator[tuple[int, int, int, int, set[int]]]:
+    def hits(self, docs: list[list[bytes]]) -> Iterator[tuple[int, int, int, int, list[int]]]:
         """Document number, start and end word, longest match, items. Only stretches whose every word pair occurs in some item are streamed."""
         sizes = np.array([len(d) for d in docs], dtype=np.int64)
         ids = np.fromiter((x for d in docs for x in map(self.vocabulary.get, d, repeat(-1))), dtype=np.int64, count=int(sizes.sum()))
