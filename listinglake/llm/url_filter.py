@@ -31,11 +31,19 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """A regular expression on the lower-cased url. Every url that it fits holds all ``literals`` as whole tokens."""
+    """A regular expression on the lower-cased url.
+
+    ``tokens``: alternatives; every url that the pattern fits holds all words of one of them as whole tokens, which is
+    what the index goes by. So each alternative needs a word.
+    """
 
     pattern: str
     verdict: str
-    literals: tuple[str, ...]
+    tokens: tuple[str, ...]
+
+    def __post_init__(self) -> None:
+        if not self.tokens or not all(re.fullmatch(f"{TOKEN}( {TOKEN})*", t) for t in self.tokens):
+            raise ValueError(f"each alternative needs tokens: {self.pattern}")
 
 
 HOST_RULES = (
@@ -48,14 +56,22 @@ HOST_RULES = (
 
 #: In falling priority: the first that fits decides.
 PATTERN_RULES = (
-    PatternRule(r"^https?://blog\.[^/?#]*/[a-z]+/[0-9]+\.html$", "allow", ("blog", "html")),
-    PatternRule(r"[?&]utm_source=(feed|rss|mail)(&|$)", "block", ("utm", "source")),
-    PatternRule(r"[?&]page=[0-9]+&ref=", "block", ("page", "ref")),
+    PatternRule(r"^https?://blog\.[^/?#]*/[a-z]+/[0-9]+\.html$", "allow", ("blog html",)),
+    PatternRule(r"[?&]utm_source=(feed|rss|mail)(&|$)", "block", ("utm source feed", "utm source rss", "utm source mail")),
+    PatternRule(r"[?&]page=[0-9]+&ref=", "block", ("page ref",)),
     PatternRule(r"^https?://m\.[^/?#]*/[a-z]+/[0-9]+(/|$)", "block", ("m",)),
     PatternRule(r"#top$", "allow", ("top",)),
-    PatternRule(r"[?&](session|sid|phpsessid)=[0-9a-f]{8,}", "block", ()),
-    PatternRule(r"/(casino|viagra|porn)/", "block", ()),
-    PatternRule(r"^https?://www\.[^/?#]*\.example\.[a-z]+/login(/|\?|$)", "block", ("www", "example", "login")),
+    PatternRule(r"[?&](session|sid|phpsessid)=[0-9a-f]{8,}", "block", ("session", "sid", "phpsessid")),
+    PatternRule(r"/(casino|viagra|porn)/", "block", ("casino", "viagra", "porn")),
+    PatternRule(r"^https?://www\.[^/?#]*\.example\.[a-z]+/login(/|\?|$)", "block", ("www example login",)),
+    PatternRule(r"^https?://(ads?|adserver|banners?)\.", "block", ("ad", "ads", "adserver", "banner", "banners")),
+    PatternRule(r"/(cart|checkout|basket)(/|\?|$)", "block", ("cart", "checkout", "basket")),
+    PatternRule(r"/wp-(login|admin)\b", "block", ("wp login", "wp admin")),
+    PatternRule(r"[?&]replytocom=[0-9]+", "block", ("replytocom",)),
+    PatternRule(r"/calendar/[0-9]{4}/[0-9]{2}(/|$)", "block", ("calendar",)),
+    PatternRule(r"\.(zip|exe|apk|iso)(\?|#|$)", "block", ("zip", "exe", "apk", "iso")),
+    PatternRule(r"/(print|amp)(/|\?|$)", "block", ("print", "amp")),
+    PatternRule(r"^https?://docs\.[^/?#]*/", "allow", ("docs",)),
 )
 
 
@@ -66,17 +82,6 @@ def host_and_path(url_col: str) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), upper, lower), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def host_rule(host: Column, path: Column, rules: tuple[HostRule, ...]) -> tuple[Column, Column]:
-    """Text and verdict of the longest rule that fits, else null."""
-    text = verdict = None
-    for r in sorted(rules, key=lambda r: (-len(r.text), r.text)):
-        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
-        text = F.when(fits, r.text) if text is None else text.when(fits, r.text)
-        verdict = F.when(fits, r.verdict) if verdict is None else verdict.when(fits, r.verdict)
-    none = F.lit(None).cast("string")
-    return (none, none) if text is None else (text, verdict)
-
-
 def token_counts(urls: DataFrame, url_col: str, wanted: set[str]) -> dict[str, int]:
     """How many urls hold each wanted token, over all rows; as many counts as the rules have literals."""
     if not wanted:
@@ -86,49 +91,70 @@ def token_counts(urls: DataFrame, url_col: str, wanted: set[str]) -> dict[str, i
     return {r["token"]: r["count"] for r in found}
 
 
-def rule_index(rules: list[tuple[int, PatternRule]], counts: dict[str, int]) -> tuple[dict[str, list[tuple[int, str]]], list[tuple[int, str]]]:
-    """Rules under their rarest literal; those without a literal are candidates for every url."""
+def rule_index(rules: list[tuple[int, PatternRule]], counts: dict[str, int]) -> dict[str, list[tuple[int, str]]]:
+    """Number and pattern of each rule, under the rarest token of each of its alternatives."""
     by_token: dict[str, list[tuple[int, str]]] = defaultdict(list)
-    always: list[tuple[int, str]] = []
     for k, r in rules:
-        slot = by_token[min(r.literals, key=lambda t: (counts.get(t, 0), t))] if r.literals else always
-        slot.append((k, r.pattern))
-    return dict(by_token), always
-
-
-def pattern_verdicts(
-    urls: DataFrame, rules: tuple[PatternRule, ...], *, url_col: str = "url", out_col: str = "pattern_rule", block_rules: int = 50_000
+        for t in {min(words.split(), key=lambda t: (counts.get(t, 0), t)) for words in r.tokens}:
+            by_token[t].append((k, r.pattern))
+    return dict(by_token)
+
+
+def host_index(rules: tuple[HostRule, ...]) -> dict[str, list[tuple[str, str, str]]]:
+    """Path, text and verdict of the rules of each host, the longest path first."""
+    by_host: dict[str, list[tuple[str, str, str]]] = defaultdict(list)
+    for r in sorted(rules, key=lambda r: (-len(r.path), r.path)):
+        by_host[r.host].append((r.path, r.text, r.verdict))
+    return dict(by_host)
+
+
+def longest_rule(index: dict[str, list[tuple[str, str, str]]], host: str, path: str) -> tuple[str, str] | None:
+    """Text and verdict of the longest rule of the host or of a domain above it whose path the url's starts with."""
+    best = None
+    while host:
+        for start, text, verdict in index.get(host, ()):
+            if path.startswith(start):
+                if best is None or (len(text), best[0]) > (len(best[0]), text):
+                    best = (text, verdict)
+                break
+        host = host.partition(".")[2]
+    return best
+
+
+def applied(
+    urls: DataFrame, patterns: tuple[PatternRule, ...], hosts: tuple[HostRule, ...], names: dict[str, str], *, block_rules: int = 50_000
 ) -> DataFrame:
-    """Adds the position of the first pattern rule that fits each url (null: none fits, or the url is null).
+    """Fills the columns of the first fitting pattern's number (``pattern``) and of the longest host rule's text and verdict (``rule``, ``verdict``).
 
-    A url's tokens fetch candidate rules from the index, and only those run. The index travels with the tasks; rules
-    beyond ``block_rules`` form further blocks that run one after another over all rows, so that its size stays bound.
-    Repeated rows and extra columns stay as they are; ``out_col`` must be a new name.
+    ``names``: the names of these columns and of ``url``, ``host`` and ``path``. A url's tokens fetch candidate patterns
+    from the index, and only those run; its host and the domains above it fetch host rules. The indexes travel with the
+    tasks; rules beyond ``block_rules`` form further blocks that run one after another over all rows, so that their size
+    stays bound.
     """
-    if out_col in urls.columns:
-        raise ValueError(f"{out_col} exists")
-    counts = token_counts(urls, url_col, {t for r in rules for t in r.literals})
-    out = urls.withColumn(out_col, F.lit(None).cast("int"))
-    for at in range(0, len(rules), block_rules):
-        index, always = rule_index(list(enumerate(rules[at : at + block_rules], at)), counts)
-        u, o = out.columns.index(url_col), out.columns.index(out_col)
-
-        def run(batches: Iterator[pa.RecordBatch], index=index, always=always, u=u, o=o) -> Iterator[pa.RecordBatch]:
+    counts = token_counts(urls, names["url"], {t for r in patterns for words in r.tokens for t in words.split()})
+    place = {k: urls.columns.index(v) for k, v in names.items()}
+    out = urls
+    for at in range(0, max(len(patterns), len(hosts), 1), block_rules):
+        by_token, by_host = rule_index(list(enumerate(patterns[at : at + block_rules], at)), counts), host_index(hosts[at : at + block_rules])
+
+        def run(batches: Iterator[pa.RecordBatch], by_token=by_token, by_host=by_host) -> Iterator[pa.RecordBatch]:
             token, compiled = re.compile(TOKEN), {}
             for batch in batches:
-                best = batch.column(o).to_pylist()
-                for i, url in enumerate(batch.column(u).to_pylist()):
-                    if url is None or best[i] is not None:
+                first, rule, verdict, url, host, path = (batch.column(place[k]).to_pylist() for k in ("pattern", "rule", "verdict", "url", "host", "path"))
+                for i, u in enumerate(url):
+                    found = longest_rule(by_host, host[i], path[i])
+                    if found and (rule[i] is None or (len(found[0]), rule[i]) > (len(rule[i]), found[0])):
+                        rule[i], verdict[i] = found
+                    if u is None or first[i] is not None:
                         continue
-                    low = url.translate(LOWER)
-                    cands = list(always)
-                    for t in set(token.findall(low)):
-                        cands += index.get(t, ())
-                    for k, p in sorted(cands):
+                    low = u.translate(LOWER)
+                    for k, p in sorted({x for t in set(token.findall(low)) for x in by_token.get(t, ())}):
                         if (compiled.get(p) or compiled.setdefault(p, re.compile(p))).search(low):
-                            best[i] = k
+                            first[i] = k
                             break
-                yield batch.set_column(o, batch.schema.field(o), pa.array(best, pa.int32()))
+                for k, v, kind in (("pattern", first, pa.int32()), ("rule", rule, pa.string()), ("verdict", verdict, pa.string())):
+                    batch = batch.set_column(place[k], batch.schema.field(place[k]), pa.array(v, kind))
+                yield batch
 
         out = out.mapInArrow(run, out.schema)
     return out
@@ -144,8 +170,9 @@ def filter_urls(
     *,
     url_col: str = "url",
     default: str = "allow",
+    block_rules: int = 50_000,
 ) -> DataFrame:
-    """Adds host, path, rule, pattern_rule and verdict to each row.
+    """Adds host, path, rule, pattern_rule (its number) and verdict to each row.
 
     The longest host rule that fits decides, else the first pattern rule, else ``default``. Null and malformed urls
     have an empty host and path and get the default unless a pattern fits. No row is lost or merged; an empty table
@@ -154,12 +181,12 @@ def filter_urls(
     new = ("host", "path", "rule", "pattern_rule", "verdict")
     base = pages.drop(*[c for c in pages.columns if c in new and c != url_col])
     host, path = host_and_path(url_col)
-    tagged = pattern_verdicts(base, pattern_rules, url_col=url_col).withColumns({"host": host, "path": path})
-    text, verdict = host_rule(F.col("host"), F.col("path"), host_rules)
-    by_pattern = F.lit(None).cast("string")
-    for k, r in enumerate(pattern_rules):
-        by_pattern = F.when(F.col("pattern_rule") == k, r.verdict) if k == 0 else by_pattern.when(F.col("pattern_rule") == k, r.verdict)
-    return tagged.withColumns({"rule": text, "verdict": F.coalesce(verdict, by_pattern, F.lit(default))})
+    none = F.lit(None).cast("string")
+    base = base.withColumns({"host": host, "path": path, "rule": none, "pattern_rule": F.lit(None).cast("int"), "verdict": none})
+    names = {"url": url_col, "host": "host", "path": "path", "pattern": "pattern_rule", "rule": "rule", "verdict": "verdict"}
+    out = applied(base, pattern_rules, host_rules, names, block_rules=block_rules)
+    by_pattern = F.get(F.array(*[F.lit(r.verdict) for r in pattern_rules]).cast("array<string>"), F.col("pattern_rule"))
+    return out.withColumn("verdict", F.coalesce("verdict", by_pattern, F.lit(default)))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,16 +137,25 @@ def test_banded_distance_is_the_edit_distance(seed):
             assert near_dedup.banded_distance(np.array(a), np.array(b), limit) == min(row[-1], limit + 1)
 
 
-def test_shards_are_even_and_gapless(spark):
-    rows = [(i % 90, None if i % 17 == 0 else "é" * (i % 50), "src0" if i % 3 else f"src{i % 7}", i % 40) for i in range(1000)]
-    docs = frame(spark, rows, "doc_id long, text string, source string, n_chars long", 7)
+def test_shards_are_runs_of_the_curve(spark):
+    """Against the same order in plain Python: ranks of whole values, percentiles, curve index, then even runs."""
+    rows = [(i % 90, None if i % 17 == 0 else "é" * (i % 50), None if i % 29 == 0 else f"https://example.org/source-{'abcdefghij'[i * i % 10]}", i % 40) for i in range(1000)]
+    docs = frame(spark, rows, "doc_id long, text string, source string, n_chars long", 7).withColumns({"part": F.lit(1), "at": F.lit("x"), "value": F.lit(2)})
     got = sharding.hilbert_shards(docs, ["source", "n_chars"]).toPandas()
-    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got.itertuples()) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _, _ in rows)
+    values = Counter(s for _, _, s, _ in rows if s)
+    below, bins = 0, {None: 0}
+    for v in sorted(values):
+        bins[v] = below * 32 // sum(values.values())
+        below += values[v]
+    assert len(bins) == 7 and len(set(bins.values())) == 6
+    cuts = np.unique([sorted(n for *_, n in rows)[-(-k * len(rows) // 32) - 1] for k in range(1, 32)])
+    coords = np.array([[bins[s], np.searchsorted(cuts, n, side="right")] for _, _, s, n in rows])
+    keyed = sorted((int(h), i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1, *map(int, c)) for (i, t, _, _), c, h in zip(rows, coords, sharding.hilbert_index(coords, 5), strict=True))
+    got = got.sort_values(["shard", "slot"])
+    assert list(got[["hilbert", "doc_id", "text_crc32", "size", "q_0", "q_1"]].itertuples(index=False, name=None)) == keyed
     sizes = got.groupby("shard").size()
     assert list(sizes.index) == list(range(16)) and sizes.max() - sizes.min() <= 1
     assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard")["slot"])
-    spread = got.groupby("shard")["q_1"].agg(lambda x: x.max() - x.min()).mean()
-    assert spread < got["q_1"].max()
     assert sharding.hilbert_shards(docs.limit(0), ["source"]).count() == 0
 
 
@@ -432,16 +441,26 @@ def test_url_rules_equal_trying_all(spark):
     import re
 
     urls = [None, "", "no url", "http://", "HTTP://Blog.A.example.com/en/77.html", "https://x.com/EN/1", "https://a.net/de/8?q#f", "http://m.q.org/es/1/", "http://notexample.com/en/7", "x://a?page=1&ref=2", "http://u:p@h.org:80/es/"]
+    urls += ["http://a.b/cart", "http://ads.x.io/y", "http://x.io/a.zip?b", "http://x.io/?sid=0123456789", "http://x/porn/1", "http://x/wp-admin/", "http://docs.x/en", "http://x/?utm_source=rss", "http://x.net/calendar/2020/01"]
     urls += [f"http://{h}.example.{t}/{l}/{n}{e}" for h in ("blog", "m", "www") for t in ("com", "net", "org") for l in ("en", "de", "es") for n in (7, 81) for e in ("", ".html", "/", "?utm_source=feed", "?page=2&ref=x", "#top")]
     pages = spark.createDataFrame([(i % 50, u, "x") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    def longest(host, path):
+        fits = [r for r in url_filter.HOST_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: len(r.text)) if fits else None
+
     for block in (2, 50_000):
-        got = url_filter.pattern_verdicts(pages, url_filter.PATTERN_RULES, block_rules=block).collect()
+        got = url_filter.filter_urls(pages, block_rules=block).collect()
         assert len(got) == len(urls)
         for r in got:
             low = (r["url"] or "").translate(url_filter.LOWER)
             fits = [k for k, p in enumerate(url_filter.PATTERN_RULES) if r["url"] is not None and re.search(p.pattern, low)]
             assert r["pattern_rule"] == (fits[0] if fits else None)
-            assert all(set(url_filter.PATTERN_RULES[k].literals) <= set(re.findall(url_filter.TOKEN, low)) for k in fits)
+            assert all(any(set(t.split()) <= set(re.findall(url_filter.TOKEN, low)) for t in url_filter.PATTERN_RULES[k].tokens) for k in fits)
+            rule = longest(r["host"], r["path"])
+            assert r["rule"] == (rule and rule.text)
+            assert r["verdict"] == (rule.verdict if rule else url_filter.PATTERN_RULES[fits[0]].verdict if fits else "allow")
+    with pytest.raises(ValueError):
+        url_filter.PatternRule("x", "block", ())
     by = {r["url"]: r for r in url_filter.filter_urls(pages).collect()}
     assert (by[None]["host"], by[None]["path"], by[None]["rule"]) == ("", "", None)
     assert by["HTTP://Blog.A.example.com/en/77.html"]["rule"] == "example.com/en/7" and by["https://x.com/EN/1"]["rule"] is None
@@ -453,6 +472,9 @@ def test_licenses_on_odd_rows(spark):
     docs = frame(spark, [(1, None), (2, ""), (3, "MIT License mit-license"), (3, "MIT License mit-license"), (4, "license apache")]).withColumn("matches", F.lit(1))
     got = [(r["doc_id"], r["n_words"], [(m["start"], m["label"]) for m in r["matches"]]) for r in licenses.scan_licenses(docs).collect()]
     assert sorted(got) == [(1, 0, []), (2, 0, []), (3, 4, [(0, "mit"), (2, "mit")]), (3, 4, [(0, "mit"), (2, "mit")]), (4, 2, [])]
+    clashing = frame(spark, [(1, "released under the mit license")]).withColumns({c: F.lit(c) for c in ("_words", "_places", "_fetched", "_sound", "row")})
+    (row,) = licenses.scan_licenses(clashing).collect()
+    assert [row[c] for c in ("_words", "_places", "_fetched", "_sound", "row")] == ["_words", "_places", "_fetched", "_sound", "row"] and len(row["matches"]) == 2
     plan = licenses.scan_licenses(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
