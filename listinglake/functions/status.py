@@ -66,6 +66,38 @@ def grade(deadline: Column, conflict: Column, confidence: Column, kind: Column,
     )
 
 
+def grade_reason(deadline: Column, conflict: Column, confidence: Column, kind: Column, precision: Column, source: Column, populated: Column) -> Column:
+    """Why ``grade`` is what it is."""
+    trust = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SOURCE_TRUST.items() for x in kv]), source), F.lit(0))
+    return (
+        F.when(F.coalesce(conflict, F.lit(False)), "sources disagree about the deadline")
+        .when(deadline.isNull(), F.when(populated >= 6, "no deadline is published").otherwise("very little is published"))
+        .when(confidence == "inferred", "deadline inferred from the submission deadline")
+        .when((confidence == "unknown") | (kind == "unknown"), "deadline text is ambiguous")
+        .when((trust >= 4) & (precision == "instant") & (confidence == "verified"), F.concat(F.lit("deadline is a field of "), source))
+        .when(trust >= 4, F.concat(F.lit("deadline published without a time by "), source))
+        .otherwise(F.concat(F.lit("deadline read from a page of "), source))
+    )
+
+
+def populated_fields(*columns: str) -> Column:
+    """How many of the columns have a value."""
+    return sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
+
+
+def shown_in_zone(ts: Column, precision: Column, zone: str) -> Column:
+    """An instant on a zone's clock; a date without a time is the same day everywhere."""
+    bare = F.concat(F.date_format(ts, "d MMMM yyyy"), F.lit(" — time not specified"))
+    local = F.upper(F.date_format(F.from_utc_timestamp(ts, zone), "hh:mm a"))
+    return F.when(ts.isNull(), "Not specified").when(precision == "date_only", bare).otherwise(F.concat(F.date_format(F.from_utc_timestamp(ts, zone), "d MMMM yyyy"), F.lit(", "), local))
+
+
+def zone_label(named: Column, offset_minutes: Column) -> Column:
+    """The source's own zone name; where it only says a shift, India's and UTC's are named."""
+    plain = named.isNull() | named.rlike(r"^UTC[+-]\d{2}:?\d{2}$")
+    return F.when(plain & (offset_minutes == 330), "IST").when(plain & (offset_minutes == 0), "UTC").otherwise(named)
+
+
 def next_check(deadline: Column, start: Column, status: Column, now: Column) -> Column:
     """When to look again: the nearer the deadline, the sooner."""
     hours = lambda n: now + F.expr(f"INTERVAL '{n}' HOUR")

@@ -178,6 +178,16 @@ def eligibility(text: Column, longest: int = 320) -> Column:
     return F.trim(F.substr(said, F.instr(F.lower(said), "eligib"), F.lit(longest)))
 
 
+# Words of a schedule.
+SCHEDULE_WORDS = ("deadline", "register", "registration", "submit", "submission", "schedule", "important dates", "timeline", "apply", "starts", "ends", "closes")
+
+
+def schedule_blocks(text: Column, most: int = 120) -> Column:
+    """The blocks between empty lines that hold a word of a schedule and a digit; without any, the beginning of the text."""
+    blocks = F.filter(F.transform(F.split(text, r"\n{2,}"), lambda b: F.trim(b)), lambda b: b.rlike("[0-9]") & F.exists(F.array(*map(F.lit, SCHEDULE_WORDS)), lambda w: F.contains(F.lower(b), w)))
+    return F.when(F.size(blocks) > 0, F.array_join(F.slice(blocks, 1, most), "\n")).otherwise(F.substring(text, 1, 20_000))
+
+
 def display_name(s: Column) -> Column:
     return F.initcap(F.translate(s, "-", " "))
 

@@ -96,3 +96,11 @@ def zone_offset(ts: Column, zone: Column) -> Column:
 def date_conflict(a: Column, b: Column) -> Column:
     """Whether two instants are more than a day apart."""
     return F.coalesce(F.abs(F.unix_seconds(a.cast("timestamp")) - F.unix_seconds(b.cast("timestamp"))) > 86_400, F.lit(False))
+
+
+def run_rows(records: DataFrame, key: list[str], at: Column, ok: Column) -> DataFrame:
+    """A log row for each run: its records, accepted and rejected ones, seconds from the first to the last and an error where some were rejected."""
+    counted = records.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"), F.round((F.max(F.unix_micros(at.cast("timestamp"))) - F.min(F.unix_micros(at.cast("timestamp")))) / 1e6).alias("seconds")
+    )
+    return counted.withColumn("error", F.when(F.col("rejected") > 0, "rejected records"))

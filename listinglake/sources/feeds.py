@@ -9,9 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listinglake.functions import text as tx
+from listinglake.operators import milestones
 
 #: What every source gives; further columns are allowed.
-RAW_COLUMNS = ["source", "source_record_id", "title", "organizer", "url", "location_text", "mode", "deadline_text", "start_text", "end_text", "prize_amount", "prize_currency", "themes"]
+RAW_COLUMNS = [
+    "source", "source_record_id", "title", "organizer", "url", "location_text", "mode", "deadline_text", "start_text", "end_text", "prize_amount", "prize_currency", "themes",
+    "description", "city", "state", "country", "opens_at", "deadline", "start", "end", "submission_deadline", "deadline_confidence", "team_size_min", "team_size_max", "eligibility",
+    "technologies", "prize_details", "free_or_paid", "registration_fee", "field_conflicts",
+]
+KINDS = {
+    "prize_amount": "decimal(18,2)", "registration_fee": "decimal(18,2)", "themes": "array<string>", "technologies": "array<string>", "team_size_min": "int", "team_size_max": "int",
+    "field_conflicts": "array<struct<field:string,values:array<string>,resolved_from:string,note:string>>",
+}
+#: Year of dates that name none.
+YEAR = 1998
 
 FEED_A = "data struct<data:array<struct<id:long,title:string,details:string,public_url:string,region:string,end_date:string,isPaid:boolean,organisation:struct<name:string>,regnRequirements:struct<start_regn_dt:string,end_regn_dt:string,min_team_size:int,max_team_size:int>,address_with_country_logo:struct<city:string,state:string,country:struct<name:string>>,filters:array<struct<name:string,type:string>>,required_skills:array<struct<skill:string>>,prizes:array<struct<rank:string,cash:double,currency:string>>,payment_services:array<struct<amount:double,required:boolean>>>>>, _corrupt_record string"
 FEED_B = "hackathons array<struct<id:long,title:string,displayed_location:struct<icon:string,location:string>,open_state:string,url:string,submission_period_dates:string,themes:array<struct<id:long,name:string>>,prize_amount:string,organization_name:string>>, _corrupt_record string"
@@ -32,8 +43,49 @@ class SourceSpec:
 def raw(df: DataFrame, source: str, **columns: Column) -> DataFrame:
     """The raw listing columns, null where a source has no value."""
     null = F.lit(None)
-    kinds = {"prize_amount": "decimal(18,2)", "themes": "array<string>"}
-    return df.select(F.lit(source).alias("source"), *[columns.get(c, null).cast(kinds.get(c, "string")).alias(c) for c in RAW_COLUMNS[1:]])
+    return df.select(F.lit(source).alias("source"), *[columns.get(c, null).cast(KINDS.get(c, "string")).alias(c) for c in RAW_COLUMNS[1:]])
+
+
+def first_dates(df: DataFrame, key: str, text_col: str, year: int = YEAR) -> DataFrame:
+    """df with ``said``: a map of the first date of each kind that a text names, for a key that is unique."""
+    found = milestones.extract_milestones(df.select(key, text_col), key, text_col, year).where("kind != 'unknown'")
+    first = found.groupBy("id", "kind").agg(F.min(F.struct("segment", "position", "iso"))["iso"].alias("iso"))
+    maps = first.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "iso"))).alias("said"))
+    return df.join(maps, df[key] == maps["id"], "left").drop("id")
+
+
+def window_end(df: DataFrame, key: str, text_col: str, year: int = YEAR) -> DataFrame:
+    """(id, submission_deadline): the last date of a range's text."""
+    found = milestones.extract_milestones(df.select(key, text_col), key, text_col, year)
+    return found.groupBy("id").agg(F.max(F.struct("segment", "position", "iso"))["iso"].alias("submission_deadline"))
+
+
+def page_deadline(pages: DataFrame, key: str, html_col: str = "html", year: int = YEAR) -> DataFrame:
+    """(id, submission_deadline, confidence): the first date of a page's lines that speak of a deadline."""
+    lines = F.filter(F.split(tx.html_text(F.col(html_col)), r"\v+"), lambda x: F.contains(F.lower(x), F.lit("deadline")))
+    said = pages.select(key, F.array_join(lines, "\n").alias("said"))
+    found = milestones.extract_milestones(said, key, "said", year)
+    return found.groupBy("id").agg(F.min(F.struct("segment", "position", "iso"))["iso"].alias("submission_deadline"), F.lit("verified").alias("confidence"))
+
+
+def end_conflict(structured: Column, told: Column, source: str) -> Column:
+    """A conflict of the event's end where the field and the text differ by more than a day; the field is kept."""
+    values = F.array(structured, told)
+    one = F.struct(F.lit("hackathon_end").alias("field"), values.alias("values"), F.lit(source).alias("resolved_from"), F.lit("The field and the description name different dates.").alias("note"))
+    far = F.abs(F.unix_seconds(F.try_to_timestamp(structured)) - F.unix_seconds(F.try_to_timestamp(told))) > 86_400
+    return F.when(far, F.array(one))
+
+
+def prize_lines(prizes: Column) -> Column:
+    """Rank and amount of every prize, a part each."""
+    said = lambda p: F.concat(F.coalesce(p["rank"], F.lit("Prize")), F.lit(":"), F.coalesce(F.concat(F.lit(" "), F.coalesce(p["currency"], F.lit("")), F.format_number(F.when(p["cash"] > 0, p["cash"]), 0)), F.lit("")))
+    return F.nullif(F.array_join(F.transform(prizes, said), " | "), F.lit(""))
+
+
+def fee_total(payments: Column) -> Column:
+    """Sum of the amounts that are given; null where none is."""
+    given = F.filter(F.transform(payments, lambda p: p["amount"]), lambda x: x.isNotNull())
+    return F.when(F.size(given) > 0, F.aggregate(given, F.lit(0.0), lambda s, x: s + x))
 
 
 def cash_prizes(prizes: Column) -> tuple[Column, Column]:
@@ -45,38 +97,63 @@ def cash_prizes(prizes: Column) -> tuple[Column, Column]:
 
 def feed_a(df: DataFrame) -> DataFrame:
     i = df.select(F.explode("data.data").alias("i")).where("i.id is not null and i.title is not null")
+    i = i.withColumns({"key": F.col("i.id"), "description": F.substring(tx.html_text(F.col("i.details")), 1, 6000)})
+    # The description names the event's days, which the payload does not; once for each record id.
+    told = first_dates(i.select("key", "description").dropDuplicates(["key"]), "key", "description").select("key", "said")
+    i = i.join(told, "key", "left")
+    iso = lambda c: milestones.strict_date(F.col(c), YEAR)
+    end, told_end = iso("i.end_date"), F.element_at("said", F.lit("hackathon_end"))
+    fee = fee_total(F.col("i.payment_services"))
+    of = lambda kind: F.filter("i.filters", lambda f: f["type"] == kind)
     amount, currency = cash_prizes(F.col("i.prizes"))
     spoken = tx.prize(tx.html_text(F.col("i.details")))
     place = F.concat_ws(", ", "i.address_with_country_logo.city", "i.address_with_country_logo.state", "i.address_with_country_logo.country.name")
-    domains = F.array_distinct(F.transform(F.filter("i.filters", lambda f: f["type"] == "domain"), lambda f: F.lower(f["name"])))
+    domains = F.array_distinct(F.transform(of("domain"), lambda f: F.lower(f["name"])))
     return raw(
         i, "unstop", source_record_id=F.col("i.id"), title=F.trim("i.title"), organizer=F.col("i.organisation.name"), url=tx.http_only(F.col("i.public_url")), location_text=place,
-        mode=F.when(F.lower("i.region") == "online", "online").when(F.col("i.region").isNotNull(), "offline"), deadline_text=F.col("i.regnRequirements.end_regn_dt"),
+        mode=F.when(F.lower("i.region").isin("online", "offline", "hybrid"), F.lower("i.region")).otherwise("unknown"), deadline_text=F.col("i.regnRequirements.end_regn_dt"),
         start_text=F.col("i.regnRequirements.start_regn_dt"), end_text=F.col("i.end_date"), prize_amount=F.coalesce(amount.cast("decimal(18,2)"), spoken["amount"]),
-        prize_currency=F.coalesce(currency, spoken["currency"]), themes=domains,
+        prize_currency=F.coalesce(currency, spoken["currency"]), themes=domains, description=F.col("description"), city=F.col("i.address_with_country_logo.city"),
+        state=F.col("i.address_with_country_logo.state"), country=F.col("i.address_with_country_logo.country.name"), opens_at=iso("i.regnRequirements.start_regn_dt"),
+        deadline=iso("i.regnRequirements.end_regn_dt"), start=F.element_at("said", F.lit("hackathon_start")), end=F.coalesce(end, told_end), deadline_confidence=F.when(iso("i.regnRequirements.end_regn_dt").isNotNull(), "verified"),
+        team_size_min=F.col("i.regnRequirements.min_team_size"), team_size_max=F.col("i.regnRequirements.max_team_size"), eligibility=F.nullif(F.array_join(F.transform(of("eligible"), lambda f: f["name"]), ", "), F.lit("")),
+        technologies=F.array_distinct(F.array_compact(F.transform("i.required_skills", lambda s: s["skill"]))), prize_details=F.coalesce(prize_lines(F.col("i.prizes")), F.when(spoken.isNotNull(), F.lit("from the description"))),
+        free_or_paid=F.when(fee > 0, "paid").when(~F.col("i.isPaid"), "free").otherwise("unknown"), registration_fee=fee, field_conflicts=end_conflict(end, told_end, "unstop"),
     )
 
 
 def feed_b(df: DataFrame) -> DataFrame:
     h = df.select(F.explode("hackathons").alias("h")).where("h.id is not null and h.title is not null")
+    h = h.withColumns({"key": F.col("h.id"), "span": F.col("h.submission_period_dates")})
+    ends = window_end(h.select("key", "span").dropDuplicates(["key"]), "key", "span")
+    h = h.join(ends, h["key"] == ends["id"], "left").drop("id")
     place = F.col("h.displayed_location.location")
+    online = F.coalesce((F.col("h.displayed_location.icon") == "globe") | F.lower(place).rlike("online|worldwide"), F.lit(False))
+    parts = F.split(place, ",")
     digits = F.regexp_extract(F.regexp_replace("h.prize_amount", "<[^>]*>", ""), r"([\d,]+(?:\.\d+)?)", 1)
     return raw(
         h, "devpost", source_record_id=F.col("h.id"), title=F.trim("h.title"), organizer=F.col("h.organization_name"), url=tx.http_only(F.col("h.url")), location_text=place,
-        mode=F.when(F.lower(place) == "online", "online").when(place.isNotNull(), "offline"), deadline_text=F.col("h.submission_period_dates"),
+        mode=F.when(online, "online").otherwise("offline"), deadline_text=F.col("h.submission_period_dates"), submission_deadline=F.col("submission_deadline"),
+        deadline=F.col("submission_deadline"), deadline_confidence=F.when(F.col("submission_deadline").isNotNull(), "inferred"), free_or_paid=F.lit("free"),
+        city=F.when(~online, F.nullif(F.trim(F.get(parts, 0)), F.lit(""))), state=F.when(~online, F.nullif(F.trim(F.array_join(F.slice(parts, 2, 9), ",")), F.lit(""))),
+        prize_currency=F.element_at(tx._lookup(tx.refdata.CURRENCY_SIGNS), F.regexp_extract("h.prize_amount", "([$€£₹¥])", 1)), prize_details=F.nullif(F.trim(F.regexp_replace("h.prize_amount", "<[^>]*>", "")), F.lit("")),
         prize_amount=F.nullif(F.try_to_number(F.regexp_replace(digits, ",", ""), F.lit("999999999999.99")), F.lit(0)), themes=F.transform("h.themes", lambda t: F.lower(t["name"])),
     )
 
 
 def feed_c(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Events in a script's JSON: upcoming and past ones. Malformed scripts give none."""
+    """Events in a script's JSON: upcoming and past ones, else the first of its lists whose items have a slug and a start. Malformed scripts give none."""
     bodies = pages.select(F.explode(F.regexp_extract_all(html_col, F.lit(r"(?is)<script[^>]*>\s*(\{.*?\})\s*</script>"), F.lit(1))).alias("body"))
     lists = [F.coalesce(F.from_json(F.get_json_object("body", f"$.props.{k}"), EVENT_C), F.array().cast(EVENT_C)) for k in ("upcomingEvents", "pastEvents")]
-    e = bodies.select(F.explode(F.concat(*lists)).alias("e")).where("e.slug is not null and e.startsAt is not null")
+    named = F.concat(*lists)
+    # Of other layouts every array in the props is tried.
+    other = F.filter(F.transform(F.map_values(F.from_json(F.get_json_object("body", "$.props"), "map<string,string>")), lambda v: F.from_json(v, EVENT_C)), lambda v: F.exists(v, lambda x: x["slug"].isNotNull() & x["startsAt"].isNotNull()))
+    e = bodies.select(F.explode(F.when(F.size(named) > 0, named).otherwise(F.coalesce(F.get(other, 0), F.array().cast(EVENT_C)))).alias("e")).where("e.slug is not null and e.startsAt is not null")
     return raw(
         e, "mlh", source_record_id=F.coalesce("e.id", "e.slug"), title=F.trim("e.name"), url=tx.http_only(F.coalesce("e.websiteUrl", "e.url")),
         location_text=F.concat_ws(", ", "e.venueAddress.city", "e.venueAddress.state", "e.venueAddress.country"),
         mode=F.when(F.lower("e.formatType").isin("digital", "online"), "online").when(F.lower("e.formatType") == "hybrid", "hybrid").otherwise("offline"), start_text=F.col("e.startsAt"), end_text=F.col("e.endsAt"),
+        start=milestones.strict_date(F.col("e.startsAt"), YEAR), end=milestones.strict_date(F.col("e.endsAt"), YEAR), city=F.col("e.venueAddress.city"), state=F.col("e.venueAddress.state"), country=F.col("e.venueAddress.country"),
     )
 
 
@@ -95,16 +172,25 @@ def card_list(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def event_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Free-form pages: the first JSON-LD event, else meta tags, else labelled text."""
+    """Free-form pages, one for each url: the first JSON-LD event, else meta tags and headings, else what the text says under labels."""
+    pages = pages.withColumns({"_key": F.coalesce(tx.url_identity(F.col(url_col)), F.col(url_col)), "_body": tx.html_text(F.col(html_col))})
+    told = first_dates(pages.where("_key is not null").groupBy("_key").agg(F.min("_body").alias("_body")), "_key", "_body").select("_key", "said")
+    pages = pages.join(told, "_key", "left")
     node, meta = F.get(tx.json_ld_events(F.col(html_col)), F.lit(0)), tx.html_meta(F.col(html_col))
-    body = tx.html_text(F.col(html_col))
+    body = F.col("_body")
+    heading = F.nullif(F.trim(F.regexp_replace(F.regexp_extract(html_col, r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", "")), F.lit(""))
+    dated = lambda p, kind: F.coalesce(milestones.strict_date(get(p), YEAR), F.element_at("said", F.lit(kind)))
+    size = tx.team_size(F.col("_body"))
     get = lambda p: F.get_json_object(node, p)
-    title = F.coalesce(get("$.name"), F.element_at(meta, "og:title"), tx.html_title(F.col(html_col)))
+    title = F.coalesce(get("$.name"), F.element_at(meta, "og:title"), heading, tx.html_title(F.col(html_col)))
     got = tx.prize(body)
     return raw(
-        pages, "organizer_website", source_record_id=F.coalesce(tx.url_identity(F.col(url_col)), F.col(url_col)), title=F.trim(title), organizer=get("$.organizer.name"), url=tx.canonical_url(F.col(url_col)),
+        pages, "organizer_website", source_record_id=F.col("_key"), title=F.trim(title), organizer=F.coalesce(get("$.organizer.name"), F.element_at(meta, "og:site_name"), F.element_at(meta, "author")), url=tx.canonical_url(F.col(url_col)),
         location_text=F.coalesce(get("$.location.name"), get("$.location.address.addressLocality")), start_text=get("$.startDate"), end_text=get("$.endDate"),
-        mode=F.when(F.lower(body).rlike("\\bhybrid\\b"), "hybrid").when(F.lower(body).rlike("\\b(online|virtual)\\b"), "online").otherwise("unknown"),
+        mode=F.when(F.lower(body).rlike("\\bhybrid\\b"), "hybrid").when(F.lower(body).rlike("\\b(online|virtual)\\b"), "online").when(F.lower(body).rlike("\\b(venue|in person|on site)\\b"), "offline").otherwise("unknown"),
+        deadline=F.element_at("said", F.lit("registration_deadline")), opens_at=F.element_at("said", F.lit("registration_opens")), submission_deadline=F.coalesce(F.element_at("said", F.lit("project_submission_deadline")), F.element_at("said", F.lit("submission_deadline"))),
+        start=dated("$.startDate", "hackathon_start"), end=dated("$.endDate", "hackathon_end"), deadline_confidence=F.when(F.element_at("said", F.lit("registration_deadline")).isNotNull(), "source_confirmed"),
+        team_size_min=size["least"], team_size_max=size["most"], eligibility=tx.eligibility(body), technologies=tx.keyword_tags(body, tx.refdata.TECH_KEYWORDS),
         prize_amount=got["amount"], prize_currency=got["currency"], themes=tx.keyword_tags(body, tx.refdata.THEME_KEYWORDS),
     )
 
