@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from listinglake.operators.order import earlier, parts
+
 
 def latest_records(batch: DataFrame) -> DataFrame:
     """The latest retrieval of each (source, source_record_id) in a batch."""
@@ -32,21 +36,36 @@ def ingest_stream(stream: DataFrame, read: Callable[[], DataFrame | None], write
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def fresh_records(stream: DataFrame, late: str = "1 day") -> DataFrame:
+    """A stream's retrievals, each once: repeats of a record's retrieval within ``late`` are dropped, and state older than that is forgotten."""
+    return stream.withWatermark("retrieved_at", late).dropDuplicatesWithinWatermark(["source", "source_record_id", "retrieved_at"])
+
+
 HEALTH = "source string, started timestamp, consecutive_failures int"
 
 
+def failures_after(good: int | None, bad: list[int], runs: list[tuple[int, bool]]) -> tuple[int | None, list[int]]:
+    """Time of the latest success, and the failures after it, once further runs (time, ok) are known, whatever their order."""
+    good = max([t for t, ok in runs if ok] + ([] if good is None else [good]), default=None)
+    return good, sorted(t for t in {*bad, *[t for t, ok in runs if not ok]} if good is None or t > good)
+
+
 def health_stream(runs: DataFrame) -> DataFrame:
-    """After every batch each touched source's failures in a row. ``runs``: source, started, ok."""
+    """After every batch each touched source's failures in a row. ``runs``: source, started, ok.
+
+    A run that arrives late counts where its start belongs: the state is the latest success and the failures after it.
+    """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("started")
-        for ok in rows["ok"]:
-            failures = 0 if ok else failures + 1
-        state.update((failures,))
-        yield pd.DataFrame({"source": [key[0]], "started": [rows["started"].max()], "consecutive_failures": [failures]})
+        good, bad, last = state.get if state.exists else (None, [], None)
+        rows = pd.concat(list(frames))
+        times = [int(t.value // 1000) for t in rows["started"]]
+        good, bad = failures_after(good, bad, list(zip(times, rows["ok"].astype(bool), strict=True)))
+        last = max([*times, *([] if last is None else [last])])
+        state.update((good, bad, last))
+        yield pd.DataFrame({"source": [key[0]], "started": [pd.Timestamp(last, unit="us")], "consecutive_failures": [len(bad)]})
 
-    return runs.groupBy("source").applyInPandasWithState(update, HEALTH, "failures int", "update", GroupStateTimeout.NoTimeout)
+    return runs.groupBy("source").applyInPandasWithState(update, HEALTH, "good long, bad array<long>, last long", "update", GroupStateTimeout.NoTimeout)
 
 
 def gate(times: list, last, seconds: float) -> tuple[list[bool], object]:
@@ -59,29 +78,62 @@ def gate(times: list, last, seconds: float) -> tuple[list[bool], object]:
     return kept, last
 
 
-def interval_gate(events: DataFrame, key: str, seconds: float, bucket: Column | None = None) -> DataFrame:
-    """Events of a key that come ``seconds`` or more after the last one kept; greedy from the first.
+def gated(times: np.ndarray, last: int | None, step: int) -> np.ndarray:
+    """The places of the sorted times that are kept, found by leaps of ``step``."""
+    out, at = [], 0 if last is None else int(np.searchsorted(times, last + step))
+    while at < len(times):
+        out.append(at)
+        at = int(np.searchsorted(times, times[at] + step))
+    return np.array(out, dtype=np.int64)
+
 
-    Batch form. A key's events pass through one task as Arrow batches in time order (sorted by Spark, which spills);
-    what is held is one timestamp, so no key is ever gathered in memory.
+def with_bursts(events: DataFrame, key: str, seconds: float) -> DataFrame:
+    """events with ``burst``: rows of a key without a gap of ``seconds`` or more. An event behind such a gap is kept whatever came before.
+
+    Rows lie in even parts of one order by key and time; a part's first row is compared with the last one of the part before.
     """
-    schema = events.schema
     names = events.columns
-    at_key, at_time = names.index(key), names.index("ts")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = object(), None
-        for pdf in batches:
-            keep = []
-            for k, t in zip(pdf.iloc[:, at_key], pdf.iloc[:, at_time], strict=True):
-                if k != current:
-                    current, last = k, None
-                (passes,), last = gate([t], last, seconds)
-                keep.append(passes)
-            yield pdf[keep]
-
     rows = events.where(F.col(key).isNotNull() & F.col("ts").isNotNull())
-    return rows.repartition(F.col(key)).sortWithinPartitions(key, "ts", *[c for c in names if c not in (key, "ts")]).mapInPandas(run, schema)
+    placed = parts(rows.select(F.col(key).alias("k"), F.col("ts").alias("t"), F.struct(*names).alias("row")), ["k", "t", "row"])
+    ends = placed.groupBy("part").agg(F.max(F.struct("at", "k", "t")).alias("end"))
+    line = Window.orderBy("part")  # of a row for each task
+    before = ends.select("part", F.lag("end.k").over(line).alias("k_before"), F.lag("end.t").over(line).alias("t_before"))
+    within = Window.partitionBy("part").orderBy("at")
+    prev_k, prev_t = F.coalesce(F.lag("k").over(within), F.col("k_before")), F.coalesce(F.lag("t").over(within), F.col("t_before"))
+    gap = (F.unix_micros(F.col("t").cast("timestamp")) - F.unix_micros(prev_t.cast("timestamp"))) >= int(seconds * 1_000_000)
+    new = F.when(prev_k.isNull() | (prev_k != F.col("k")) | gap, 1).otherwise(0)
+    flagged = placed.join(F.broadcast(before), "part").withColumn("new", new)
+    starts = earlier(flagged.groupBy("part").agg(F.sum("new").alias("n")), start=F.sum("n"))
+    burst = F.coalesce("start", F.lit(0)) + F.sum("new").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    return flagged.join(F.broadcast(starts), "part").withColumn("burst", burst).select("burst", "t", "row")
+
+
+def interval_gate(events: DataFrame, key: str, seconds: float) -> DataFrame:
+    """Events of a key that come ``seconds`` or more after the last one kept; greedy from the first.
+
+    Batch form. A key's history falls into bursts at its gaps of ``seconds`` or more, and bursts are independent, so
+    that a busy key is spread over many tasks. Bursts pass as sorted Arrow batches; what is held is one instant.
+    """
+    step, schema = int(seconds * 1_000_000), events.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = None, None
+        for b in batches:
+            group, t = b.column(0).to_numpy(), b.column(1).cast(pa.timestamp("us")).cast(pa.int64()).to_numpy()
+            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)] if len(group) else []
+            kept = []
+            for a, z in zip(cuts, cuts[1:]):
+                if group[a] != current:
+                    current, last = group[a], None
+                found = gated(t[a:z], last, step)
+                if len(found):
+                    last = int(t[a + found[-1]])
+                    kept.append(a + found)
+            rows = b.column(2).take(pa.array(np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays(rows.flatten(), names=schema.names)
+
+    bursts = with_bursts(events, key, seconds)
+    return bursts.repartition("burst").sortWithinPartitions("burst", "t", "row").mapInArrow(run, schema)
 
 
 def gate_stream(events: DataFrame, key: str, seconds: float) -> DataFrame:

@@ -79,3 +79,54 @@ def test_statuses_flip_as_time_passes(spark, tmp_path):
     run(jobs.status_transitions(stream), "flips", "append")
     flips = [(r["listing_id"], r["old_status"], r["new_status"]) for r in spark.table("flips").orderBy("listing_id", "at").collect()]
     assert flips == [(1, "upcoming", "open"), (1, "open", "closed"), (2, "open", "closed"), (2, "closed", "open")]
+
+
+def test_late_runs_count_where_they_belong(spark, tmp_path):
+    """The later half of the runs comes first."""
+    rows = [(i, f"s{i % 3}", T0 + timedelta(minutes=i), (i * 7) % 11 < 3, 1.0) for i in range(90)]
+    runs = spark.createDataFrame(rows, "run_id long, source string, started timestamp, ok boolean, duration double")
+    for k, part in enumerate(("run_id >= 60", "run_id < 30", "run_id >= 30 and run_id < 60")):
+        runs.where(part).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(runs.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run(jobs.health_stream(stream.select("source", "started", "ok")).withColumn("seen", F.current_timestamp()), "late_health", "update")
+    got = {r["source"]: r["f"] for r in spark.table("late_health").groupBy("source").agg(F.max_by("consecutive_failures", "seen").alias("f")).collect()}
+    assert got == {r["source"]: r["consecutive_failures"] for r in stats.source_health(runs).collect()}
+
+
+def test_failures_after_in_any_order():
+    runs = [(t, t % 4 == 1) for t in range(11)]
+    for cut in range(12):
+        good, bad = jobs.failures_after(*jobs.failures_after(None, [], runs[cut:]), runs[:cut])
+        assert (good, bad) == (9, [10])
+    assert jobs.failures_after(None, [], [(3, False), (1, False)]) == (None, [1, 3])
+
+
+def test_repeated_retrievals_are_dropped(spark, tmp_path):
+    rows = [("a", str(i % 5), T0 + timedelta(hours=i % 10), i) for i in range(40)]
+    records = spark.createDataFrame(rows, "source string, source_record_id string, retrieved_at timestamp, n long")
+    records.coalesce(1).write.parquet(str(tmp_path / "in"))
+    run(jobs.fresh_records(spark.readStream.schema(records.schema).parquet(str(tmp_path / "in"))), "fresh", "append")
+    assert spark.table("fresh").count() == 10
+
+
+def test_interval_gate_over_many_parts(spark):
+    rows = [(k, T0 + timedelta(seconds=(i * i * 37 + k) % 9000 if k else i * 11), i) for k in (0, 1, 2) for i in range(300)]
+    rows += [(1, T0, 999), (None, T0, 1), (3, None, 2)]
+    events = spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long").repartition(5)
+    got = {(r["user_id"], r["event_id"]) for r in jobs.interval_gate(events, "user_id", 60.0).collect()}
+    want, last = set(), {}
+    for k, t, e in sorted(r for r in rows if r[0] is not None and r[1] is not None):
+        if k not in last or (t - last[k]).total_seconds() >= 60:
+            want.add((k, e))
+            last[k] = t
+    assert got == want
+    assert jobs.interval_gate(events.limit(0), "user_id", 60.0).count() == 0
+
+
+def test_running_failures_equal_plain_counting(spark):
+    rows = [(i, f"s{i * i % 3}", T0 + timedelta(minutes=i * 7 % 50), i % 5 == 0) for i in range(200)]
+    got = {r["run_id"]: r["failures"] for r in stats.running_failures(spark.createDataFrame(rows, "run_id long, source string, started timestamp, ok boolean").repartition(6)).collect()}
+    want, held = {}, {}
+    for i, s, _, ok in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        want[i] = held[s] = 0 if ok else held.get(s, 0) + 1
+    assert got == want
