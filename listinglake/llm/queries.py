@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listinglake.llm import cross_entropy, decontamination, licenses, merkle, near_dedup, packing, pseudonyms, quality, sharding, suffix_dedup, url_filter
+from listinglake.llm import cross_entropy, decontamination, lexical, licenses, merkle, mixing, near_dedup, packing, pseudonyms, quality, sharding, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": packing.op9_packing,
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_merkle": merkle.op11_merkle,
+        "op12_search": lexical.op12_search,
+        "op13_mixing": mixing.op13_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": licenses.oracle(), "op10_url_filter": url_filter.oracle(), "op11_merkle": merkle.oracle()}
+    return {
+        "op2_licenses": licenses.oracle(),
+        "op10_url_filter": url_filter.oracle(),
+        "op11_merkle": merkle.oracle(),
+        "op12_search": lexical.oracle(),
+        "op13_mixing": mixing.oracle(),
+    }
