@@ -25,9 +25,13 @@ from listinglake.llm.common import table
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, bucket int, sequence_id long, offset long, ids_crc32 long"
 SLICE = 512
+#: Characters of a run of blanks above which tiktoken's pattern matcher may use up its stack (at some 950,000 it does).
+LONG_BLANKS = 100_000
 #: Fixed value: the pre-token pattern of byte-level vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+BLANKS = re.compile(r"\s+")
+
 
 def byte_ranks(spec: dict) -> dict[bytes, int] | None:
     """Bytes and id of each token of a plain byte-level BPE file whose merges stand in the order of their ids; else None."""
@@ -50,7 +54,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     """Gives a text's ids as the tokenizer file does.
 
     Plain byte-level BPE files are run by tiktoken, which gives the same ids in a third of the time; texts with an
-    added token's characters, and files of other kinds, are run by tokenizers.
+    added token's characters or with a very long run of blanks, and files of other kinds, are run by tokenizers.
     """
     from tokenizers import Tokenizer
 
@@ -63,7 +67,8 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
     fast = tiktoken.Encoding(Path(path).name, pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     added = re.compile("|".join(re.escape(x["content"]) for x in spec.get("added_tokens", [])) or r"(?!)")
-    return lambda text: slow(text) if added.search(text) else fast(text)
+    blank = lambda text: len(text) > LONG_BLANKS and any(m.end() - m.start() > LONG_BLANKS for m in BLANKS.finditer(text))
+    return lambda text: slow(text) if blank(text) or added.search(text) else fast(text)
 
 
 def piece_lengths(n: int, max_len: int) -> list[int]:
