@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import warnings
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
@@ -33,10 +34,10 @@ HINT = re.compile(r"[0-9@=]")
 #: In order of rank: where matches overlap, the earlier kind wins.
 PATTERNS: dict[str, re.Pattern[str]] = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    "secret": re.compile(r"(?i)(?<![a-z0-9])(?:token|secret|api[_-]?key|password)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([a-z0-9_\-]{12,})"),
+    "secret": re.compile(r"(?i)(?<![a-z0-9])(?:token|secret|api[_-]?key|password)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([a-z0-9_\-]{12,})|(?<![A-Za-z0-9])(?-i:AKIA|ASIA|sk-)([A-Za-z0-9]{16,})(?![A-Za-z0-9])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ip": re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"),
-    "date": re.compile(r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4})(?![/-]?\d)"),
+    "date": re.compile(r"(?<![\d/.-])(?:\d{4}(?:-\d{2}-|/\d{2}/)\d{2}|\d{2}(?:/\d{2}/|\.\d{2}\.|-\d{2}-)\d{4})(?![/-]?\d)"),
     "card": re.compile(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"),
     "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
@@ -144,7 +145,8 @@ def email(f: Feistel, m: re.Match, back: bool) -> str | None:
 
 
 def secret(f: Feistel, m: re.Match, back: bool) -> str | None:
-    value, at = m[1], m.start(1) - m.start()
+    group = 1 if m[1] else 2
+    value, at = m[group], m.start(group) - m.start()
     if not any(c.isdigit() for c in value):
         return None
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
@@ -176,22 +178,27 @@ def ip(f: Feistel, m: re.Match, back: bool) -> str | None:
     return ".".join(str(v + low[len(p)]) for v, p in zip(new, parts, strict=True))
 
 
+def moved(f: Feistel, d: date, back: bool) -> date:
+    common, x = (LAST_DAY - FIRST_DAY).days + 1, d.toordinal() - 1
+    if FIRST_DAY <= d <= LAST_DAY:
+        return FIRST_DAY + timedelta(f.permute((d - FIRST_DAY).days, common, "date", back))
+    early = FIRST_DAY.toordinal() - 1
+    x = f.permute(x if x < early else x - common, date.max.toordinal() - common, "day", back)
+    return date.fromordinal((x if x < early else x + common) + 1)
+
+
 def day(f: Feistel, m: re.Match, back: bool) -> str | None:
-    """Year first, or day first where that is a calendar date, else month first."""
-    sep = m[0][4] if not m[0][4].isdigit() else m[0][2]
+    """Year first, or day first where that is a calendar date, else month first; what is read month first moves on until its day shows that again."""
+    year_first = not m[0][4].isdigit()
+    sep = m[0][4 if year_first else 2]
     x = [int(p) for p in m[0].split(sep)]
-    for order in ((0, 1, 2),) if sep == "-" else ((2, 1, 0), (2, 0, 1)):
+    for order in ((0, 1, 2),) if year_first else ((2, 1, 0), (2, 0, 1)):
         try:
-            d = date(*(x[k] for k in order))
+            new = moved(f, date(*(x[k] for k in order)), back)
         except ValueError:
             continue
-        common, x = (LAST_DAY - FIRST_DAY).days + 1, d.toordinal() - 1
-        if FIRST_DAY <= d <= LAST_DAY:
-            new = FIRST_DAY + timedelta(f.permute((d - FIRST_DAY).days, common, "date", back))
-        else:
-            early = FIRST_DAY.toordinal() - 1
-            x = f.permute(x if x < early else x - common, date.max.toordinal() - common, "day", back)
-            new = date.fromordinal((x if x < early else x + common) + 1)
+        while order == (2, 0, 1) and new.day <= 12:
+            new = moved(f, new, back)
         y, mo, dd = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
         return sep.join({(0, 1, 2): (y, mo, dd), (2, 1, 0): (dd, mo, y), (2, 0, 1): (mo, dd, y)}[order])
     return None
@@ -270,7 +277,7 @@ def card_readings(text: str) -> Iterator[re.Match]:
         found = []
         for i, (a, _) in enumerate(groups):
             digits, sizes = 0, []
-            for x, b in groups[i:]:
+            for x, b in groups[i : i + 19]:
                 digits += b - x
                 sizes.append(str(b - x))
                 if digits > 19:
@@ -367,8 +374,12 @@ KEY_SETTING = "spark.listinglake.pseudonyms.secret"
 
 
 def session_key(spark: SparkSession) -> bytes:
-    """The key that the caller has set in the session, or else a random one, which stays in the session to turn its pseudonyms back."""
+    """The key that the caller has set in the session, or else a random one, which stays in the session to turn its pseudonyms back.
+
+    What a random key has replaced cannot be linked or turned back once the session has ended, so a warning tells of it.
+    """
     if not spark.conf.get(KEY_SETTING, None):
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms of a random key are lost with this session", stacklevel=2)
         spark.conf.set(KEY_SETTING, os.urandom(32).hex())
     return bytes.fromhex(spark.conf.get(KEY_SETTING))
 
