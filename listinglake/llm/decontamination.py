@@ -7,12 +7,14 @@ longest suffix that occurs in some item, and a length of ``window`` or more mark
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, nullcontext
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,7 @@ from listinglake.llm.common import WORD_TABLE, table, utf8, words_of
 
 WORD = re.compile(rb"[^ ]+")
 #: Bytes of benchmark text in one automaton, which take about 130 times as much memory on the driver while it is built and 10
-#: times as much in a task; more text makes further automata, used one after another.
+#: times as much in a task; more text makes further automata, of which a task holds one at a time.
 BLOCK_BYTES = 4 << 20
 SLICE = 1000
 
@@ -100,28 +102,37 @@ class SuffixAutomaton:
             if s and length[link[s]] >= self.window:
                 top[s] = top[link[s]]
         held = [sorted(x) if length[s] >= self.window else [] for s, x in enumerate(items)]
-        self.first = np.cumsum([0, *map(len, held)])
-        self.items = np.fromiter((i for x in held for i in x), dtype=np.int64, count=int(self.first[-1]))
         self.top = np.array(top, dtype=np.int32)
-        self.short: dict[int, list[tuple[int, int]]] = {}
+        # Short items by the state where they end: words and group of each length. Groups are numbered behind the states.
+        ended: dict[tuple[int, int], set[int]] = {}
         for item, ids in short:
             s = 0
             for w in ids:
                 s = nxt[s][w]
-            self.short.setdefault(s, []).append((len(ids), item))
+            ended.setdefault((s, len(ids)), set()).add(item)
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        for (s, m), own in sorted(ended.items()):
+            self.short.setdefault(s, []).append((m, len(held)))
+            held.append(sorted(own))
+        self.first = np.cumsum([0, *map(len, held)])
+        self.items = np.fromiter((i for x in held for i in x), dtype=np.int64, count=int(self.first[-1]))
         shorter = [-1] * n
         for s in reversed(down):
             shorter[s] = s if s in self.short else shorter[link[s]] if link[s] >= 0 else -1
         self.shorter = np.array(shorter, dtype=np.int32)
 
+    def items_of(self, groups: set[int]) -> list[int]:
+        """The items of groups, distinct and sorted."""
+        return np.unique(np.concatenate([self.items[self.first[g] : self.first[g + 1]] for g in groups])).tolist()
+
     def step(self, s: int, w: int) -> int:
         """The state behind a word, or -1."""
         key = s * len(self.vocabulary) + w
         at = int(self.keys.searchsorted(key))
         return int(self.targets[at]) if at < len(self.keys) and self.keys[at] == key else -1
 
-    def stream(self, ids: list[int]) -> Iterator[tuple[int, int, int, list[int]]]:
-        """For each hit: end position (exclusive), words of the window, longest match there, its items."""
+    def stream(self, ids: list[int]) -> Iterator[tuple[int, int, int, int]]:
+        """For each hit: end position (exclusive), words of the window, longest match there, the group of its items."""
         s, n = 0, 0
         for i, w in enumerate(ids, 1):
             while (t := self.step(s, w)) < 0 and s:
@@ -129,17 +140,16 @@ class SuffixAutomaton:
                 n = int(self.length[s])
             s, n = (t, n + 1) if t > 0 else (0, 0)
             if n >= self.window:
-                own = int(self.top[s])
-                yield i, self.window, n, self.items[self.first[own] : self.first[own + 1]].tolist()
+                yield i, self.window, n, int(self.top[s])
             u = int(self.shorter[s])
             while u >= 0:
-                for m, item in self.short[u]:
+                for m, group in self.short[u]:
                     if n >= m:
-                        yield i, m, n, [item]
+                        yield i, m, n, group
                 u = int(self.shorter[self.link[u]]) if u else -1
 
-    def hits(self, docs: list[list[bytes]]) -> Iterator[tuple[int, int, int, int, list[int]]]:
-        """Document number, start and end word, longest match, items. Only stretches whose every word pair occurs in some item are streamed."""
+    def hits(self, docs: list[list[bytes]]) -> Iterator[tuple[int, int, int, int, int]]:
+        """Document number, start and end word, longest match, group of items. Only stretches whose every word pair occurs in some item are streamed."""
         sizes = np.array([len(d) for d in docs], dtype=np.int64)
         ids = np.fromiter((x for d in docs for x in map(self.vocabulary.get, d, repeat(-1))), dtype=np.int64, count=int(sizes.sum()))
         first = np.concatenate([[0], np.cumsum(sizes)])
@@ -155,8 +165,8 @@ class SuffixAutomaton:
         long = end - start >= self.shortest
         for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True):
             doc = int(np.searchsorted(first, a, side="right")) - 1
-            for i, m, n, items in self.stream(ids[a:b].tolist()):
-                yield doc, a + i - m - int(first[doc]), a + i - int(first[doc]), n, items
+            for i, m, n, group in self.stream(ids[a:b].tolist()):
+                yield doc, a + i - m - int(first[doc]), a + i - int(first[doc]), n, group
 
 
 def merged(bounds: list[int]) -> list[int]:
@@ -181,13 +191,37 @@ def without(text: str, bounds: list[int]) -> str:
     return b"".join([*kept, data[last:]]).decode("utf-8", "surrogatepass")
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """The items with id and words, in blocks of about ``block_bytes`` by a hash of the id; one block at a time is here."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).dropna()
-    n = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
-    for k in range(n):
-        block = items if n == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
-        yield [(r["i"], words_of(r["t"])) for r in block.toLocalIterator()]
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """The items with id and words, in blocks of about ``block_bytes``; one block at a time is here.
+
+    A longer item is cut into pieces that have window - 1 words in common, so that every window lies in a piece.
+    """
+    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).dropna()
+    held, size, most = [], 0, max(window, block_bytes // 2)
+    for r in items.toLocalIterator():
+        words = words_of(r["t"])
+        for at in range(0, max(1, len(words) - window + 1), most):
+            piece = words[at : at + most + window - 1]
+            held.append((r["i"], piece))
+            size += sum(map(len, piece)) + len(piece)
+            if size >= block_bytes:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def shared_automata(spark: SparkSession, blocks: Iterable[list[tuple[int, list[bytes]]]], window: int) -> list[Broadcast]:
+    """An automaton for each block, built one after another; the driver keeps files, not the automata."""
+    return [spark.sparkContext.broadcast(SuffixAutomaton(b, window)) for b in blocks]
+
+
+@contextmanager
+def one_at_a_time(shared: list[Broadcast], k: int) -> Iterator[SuffixAutomaton]:
+    """An automaton from its file; where there are several, it is forgotten after use."""
+    yield shared[k].value
+    if len(shared) > 1:
+        vars(shared[k]).pop("_value", None)
 
 
 def decontaminate(
@@ -210,8 +244,9 @@ def decontaminate(
     text of contaminated documents loses its hit ranges.
 
     Null and empty texts have no words and are clean. Items without id or words are not looked for; repeated items
-    and rows change nothing. The automaton is built on the driver from ``block_bytes`` of item text at most (a longer
-    single item goes alone); further blocks run over the documents in turn. Columns of those names are replaced.
+    and rows change nothing. An automaton is built on the driver from ``block_bytes`` of item text at most (of a longer
+    item cut into pieces, ``longest`` is that of a piece); all automata are used by one Python stage, one at a time for
+    each batch of documents, loaded from its broadcast file. Columns of those names are replaced.
     """
     new = ["n_words", "n_hit", "longest", "items", "bounds", "contaminated"]
     out = docs.drop(*[c for c in docs.columns if c in new])
@@ -221,29 +256,44 @@ def decontaminate(
     names = out.columns
     where = {c: names.index(c) for c in (text_col, "n_words", "longest", "items", "bounds")}
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
-    for block in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton: SuffixAutomaton = shared.value
-            for whole in batches:
-                for at in range(0, whole.num_rows, SLICE):
-                    batch = whole.slice(at, SLICE)
-                    words = [words_of(t) for t in batch.column(where[text_col]).to_pylist()]
-                    longest = batch.column(where["longest"]).to_pylist()
-                    items = batch.column(where["items"]).to_pylist()
-                    bounds = batch.column(where["bounds"]).to_pylist()
-                    for d, a, b, n, found in automaton.hits(words):
-                        longest[d] = max(longest[d], n)
-                        items[d] = sorted({*items[d], *found})
-                        bounds[d] = bounds[d] + [a, b] if not bounds[d] or bounds[d][-1] < a or bounds[d][-2] > a else bounds[d][:-1] + [max(b, bounds[d][-1])]
-                    cols = {"n_words": [len(w) for w in words], "longest": longest, "items": items, "bounds": [merged(x) for x in bounds]}
-                    for c, v in cols.items():
-                        field = batch.schema.field(where[c])
-                        batch = batch.set_column(where[c], field, pa.array(v, field.type))
-                    yield batch
-
-        out = out.mapInArrow(run, schema)
+    shared = shared_automata(docs.sparkSession, benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes), window)
+
+    def judged(docs: list[list[bytes]], longest: list[int], items: list[list[int]], bounds: list[list[int]], automaton: SuffixAutomaton) -> None:
+        """Adds an automaton's findings; a document's items are looked up once."""
+        groups: dict[int, set[int]] = {}
+        for d, a, b, n, group in automaton.hits(docs):
+            longest[d] = max(longest[d], n)
+            groups.setdefault(d, set()).add(group)
+            own = bounds[d]
+            if own and own[-2] <= a <= own[-1]:
+                own[-1] = max(own[-1], b)
+            else:
+                own += [a, b]
+        for d, own in groups.items():
+            items[d] = sorted({*items[d], *automaton.items_of(own)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            texts = whole.column(where[text_col])
+            sizes = np.zeros(whole.num_rows, dtype=np.int64)
+            longest, items, bounds = [0] * len(sizes), [[] for _ in sizes], [[] for _ in sizes]
+            for k in range(max(1, len(shared))):
+                with one_at_a_time(shared, k) if shared else nullcontext() as automaton:
+                    for at in range(0, len(sizes), SLICE):
+                        words = [words_of(t) for t in texts.slice(at, SLICE).to_pylist()]
+                        sizes[at : at + SLICE] = [len(w) for w in words]
+                        if automaton is not None:
+                            part = slice(at, at + SLICE)
+                            long, found, ranges = longest[part], items[part], bounds[part]
+                            judged(words, long, found, ranges, automaton)
+                            longest[part], items[part], bounds[part] = long, found, ranges
+            cols = {"n_words": sizes, "longest": longest, "items": items, "bounds": [merged(x) for x in bounds]}
+            for c, v in cols.items():
+                field = whole.schema.field(where[c])
+                whole = whole.set_column(where[c], field, pa.array(v, field.type))
+            yield whole
+
+    out = out.mapInArrow(run, schema)
     # Each bound less what came before it: over start, end, start, end … this sums the lengths.
     out = out.withColumn("n_hit", F.expr("aggregate(bounds, 0L, (s, x) -> x - s)"))
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.col("n_words") * coverage - 1e-9))
