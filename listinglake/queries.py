@@ -497,9 +497,7 @@ def pair_score(spark, sf_dir):
 
 @query()
 def duplicate_groups(spark, sf_dir):
-    df = listings(spark, sf_dir)
-    edges = dedupe.scored_pairs(df, dedupe.candidate_pairs(df)).where("duplicate").select("a", "b")
-    return dedupe.group_duplicates(df.select(F.col("listing_id").alias("id")), edges)
+    return dedupe.duplicate_groups(listings(spark, sf_dir))
 
 
 @query("SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS group_id, count(*) OVER (PARTITION BY text) AS copies FROM documents")
