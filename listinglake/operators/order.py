@@ -4,24 +4,42 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
     """Write df to the folder that all machines share and read it again: lost executors then cost no recomputation.
 
-    The folder is the session's checkpoint folder, or else one in its warehouse.
+    The folder is the session's checkpoint folder. Where none is set, a local session uses its warehouse, and a session
+    on a cluster fails: its machines would write to disks that the others do not see. ``drop_written`` removes the tables.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/listinglake")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/listinglake")
     path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of this process that are still there.
+WRITTEN: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Removes the tables that operators have written in between, once no result that reads them is needed any more; their number."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(WRITTEN)
+    while WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def parts(df: DataFrame, order: list[str]) -> DataFrame:
     """df sorted into even ranges, with ``part`` and ``at``, the place within the part; no key is held together."""
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
@@ -40,3 +58,13 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     starts = earlier(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")), start=F.sum("n"))
     # A row for each task.
     return placed.join(F.broadcast(starts), "part").withColumn("at", F.col("at") + F.coalesce("start", F.lit(0))).drop("part", "start")
+
+
+def running(df: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """df with the sum of value over the rows of a group up to this one; group columns are not null. Even parts, so no group is held together."""
+    placed = parts(df.withColumn("_value", value), [*group, *order])
+    held = placed.groupBy("part", *group).agg(F.sum("_value").alias("_held"))
+    earlier_parts = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    before = written(held.select("part", *group, F.coalesce(F.sum("_held").over(earlier_parts), F.lit(0)).alias("_before")))
+    within = F.sum("_value").over(Window.partitionBy("part", *group).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("_within", within).join(before, ["part", *group]).withColumn(name, F.col("_within") + F.col("_before")).drop("part", "at", "_value", "_within", "_before")

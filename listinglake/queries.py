@@ -709,11 +709,13 @@ def zone_offsets(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     from listinglake import queries_detail as queries_detail  # registers further ones
+    from listinglake import queries_jobs as queries_jobs
 
     return {k: f for k, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     from listinglake import queries_detail as queries_detail
+    from listinglake import queries_jobs as queries_jobs
 
     return {k: sql for k, (_, sql) in FOUND.items() if sql}
