@@ -200,3 +200,14 @@ def split_list(c: Column) -> Column:
 def clean_json(c: Column) -> Column:
     """JSON text of a column without NUL characters and invalid UTF-8."""
     return F.make_valid_utf8(F.regexp_replace(F.to_json(c), r"\\u0000", ""))
+
+
+def picked_spans(spans: Column) -> Column:
+    """Of candidate spans, array of struct(start, length, …), those that a pass from left to right keeps: the earliest, of one start the longest; what overlaps a kept one is dropped.
+
+    Of spans that agree in start and length the smallest by the other fields is kept. Spans without length are dropped, null gives null.
+    """
+    order = F.array_sort(F.transform(F.filter(spans, lambda x: x["length"] > 0), lambda x: F.struct(x["start"].alias("start"), (-x["length"]).alias("order"), x.alias("span"))))
+    kept = F.filter(order, lambda x: F.lit(False))  # an empty array of the same type
+    fits = lambda acc, x: F.coalesce(F.try_element_at(acc, F.lit(-1))["start"] - F.try_element_at(acc, F.lit(-1))["order"] <= x["start"], F.lit(True))
+    return F.transform(F.aggregate(order, kept, lambda acc, x: F.when(fits(acc, x), F.array_append(acc, x)).otherwise(acc)), lambda x: x["span"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listinglake.operators.order import earlier, parts, written
+from listinglake.operators.order import earlier, parts, running, written
 
 
 def source_health(runs: DataFrame) -> DataFrame:
@@ -55,3 +55,25 @@ def last_start(runs: DataFrame) -> DataFrame:
 
 def last_runs(runs: DataFrame, n: int = 25) -> DataFrame:
     return runs.orderBy(F.desc("started"), F.desc("run_id")).limit(n)
+
+
+def paired_runs(log: DataFrame, counts: tuple[str, ...] = ()) -> DataFrame:
+    """Runs from a log to which each appends a row when it starts and one when it finishes.
+
+    ``log``: source, at, entry (orders rows of one instant), kind ("start" or "finish"), error (null: none) and counts,
+    both of finish rows. Result: source, run (from 1), started, finished, seconds, status, error and counts.
+    A finish belongs to the latest start before it, which is the number of starts so far of its source, and the first such
+    finish counts. A start that another one follows without a finish is "interrupted", the source's last one still "running".
+    Finishes before any start, and rows without source, are left out.
+
+    The number is a running sum over even parts of one order, so a source that logs a third of all rows is spread.
+    """
+    known = log.where("source is not null")
+    numbered_ = running(known, ["source"], ["at", "entry"], (F.col("kind") == "start").cast("long"), "run").where("run > 0")
+    last = written(numbered_.groupBy("source").agg(F.max("run").alias("last_run")))
+    finish = F.struct("at", "entry", F.col("error"), *[F.col(c) for c in counts])
+    runs = numbered_.groupBy("source", "run").agg(F.min(F.when(F.col("kind") == "start", F.col("at"))).alias("started"), F.min(F.when(F.col("kind") == "finish", finish)).alias("f"))
+    runs = runs.join(last, "source")
+    status = F.when(F.col("f").isNull(), F.when(F.col("run") == F.col("last_run"), "running").otherwise("interrupted")).when(F.col("f.error").isNull(), "ok").otherwise("failed")
+    seconds = (F.unix_micros(F.col("f.at").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / 1e6
+    return runs.select("source", "run", "started", F.col("f.at").alias("finished"), seconds.alias("seconds"), status.alias("status"), F.col("f.error").alias("error"), *[F.col(f"f.{c}").alias(c) for c in counts])

@@ -1,5 +1,8 @@
+import random
+from contextlib import contextmanager
 from datetime import datetime, timedelta
 
+import pytest
 from listinglake.operators import stats
 from listinglake.streaming import jobs
 from pyspark.sql import functions as F
@@ -93,12 +96,50 @@ def test_late_runs_count_where_they_belong(spark, tmp_path):
     assert got == {r["source"]: r["consecutive_failures"] for r in stats.source_health(runs).collect()}
 
 
-def test_failures_after_in_any_order():
-    runs = [(t, t % 4 == 1) for t in range(11)]
-    for cut in range(12):
-        good, bad = jobs.failures_after(*jobs.failures_after(None, [], runs[cut:]), runs[:cut])
-        assert (good, bad) == (9, [10])
-    assert jobs.failures_after(None, [], [(3, False), (1, False)]) == (None, [1, 3])
+def test_a_source_that_fails_for_a_year_keeps_little_state(spark, tmp_path):
+    """Daily batches of failures; what is kept one by one is what a late success can still precede."""
+    weeks = [[(i, "s", T0 + timedelta(hours=6 * i), False, 1.0) for i in range(w * 28, w * 28 + 28)] for w in range(6)]
+    weeks.append([(1000, "s", T0 + timedelta(hours=6 * 166, minutes=1), True, 1.0), (1001, "t", T0 + timedelta(days=41), False, 1.0)])
+    schema = "run_id long, source string, started timestamp, ok boolean, duration double"
+    for k, rows in enumerate(weeks):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = jobs.health_stream(stream).writeStream.format("memory").queryName("year").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    seen = [r["consecutive_failures"] for r in spark.table("year").where("source = 's'").collect()]
+    assert sorted(seen) == [1, 28, 56, 84, 112, 140, 168]  # the late success leaves one failure
+    kept = spark.read.format("statestore").option("path", str(tmp_path / "ck")).option("stateVarName", "failures").load()
+    assert kept.count() <= 10
+
+
+def test_only_touched_buckets_are_read_and_written(spark, tmp_path):
+    path, schema = str(tmp_path / "snapshot"), "source string, source_record_id string, retrieved_at timestamp, title string"
+    base = spark.createDataFrame([("a", str(i), T0, f"t{i}") for i in range(2000)], schema)
+    assert jobs.upsert_buckets(base, path, 64) == 64
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "snapshot").rglob("*.parquet")}
+    before = files()
+    some = spark.createDataFrame([("a", str(i), T0 + timedelta(days=1), "new") for i in range(9)] + [("b", "1", T0, "b")], schema)
+    n = jobs.upsert_buckets(some, path, 64)
+    after = files()
+    assert 1 <= n <= 10 and len({p.parent for p in before.items() ^ after.items() for p in [p[0]]}) == n
+    assert jobs.upsert_buckets(some, path, 64) == 0 and files() == after  # a replay
+    stale = spark.createDataFrame([("a", "3", T0 - timedelta(days=1), "stale")], schema)
+    assert jobs.upsert_buckets(stale, path, 64) == 0
+    got = {(r["source"], r["source_record_id"]): r["title"] for r in spark.read.parquet(path).collect()}
+    assert got == {("a", str(i)): "new" if i < 9 else f"t{i}" for i in range(2000)} | {("b", "1"): "b"}
+
+
+def test_bucketed_ingest_stream(spark, tmp_path):
+    schema = "source string, source_record_id string, retrieved_at timestamp, title string"
+    first = [("a", "1", T0, "old"), ("a", "2", T0 + timedelta(days=2), "two")]
+    later = [("a", "1", T0 + timedelta(days=1), "new"), ("a", "2", T0, "stale"), ("b", "1", T0, "b")]
+    for k, rows in enumerate((first, later)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = jobs.ingest_buckets(stream, str(tmp_path / "snapshot"), str(tmp_path / "ck"), 8)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    assert {(r["source"], r["source_record_id"]): r["title"] for r in spark.read.parquet(str(tmp_path / "snapshot")).collect()} == {("a", "1"): "new", ("a", "2"): "two", ("b", "1"): "b"}
 
 
 def test_repeated_retrievals_are_dropped(spark, tmp_path):
@@ -123,6 +164,46 @@ def test_interval_gate_over_many_parts(spark):
     assert jobs.interval_gate(events.limit(0), "user_id", 60.0).count() == 0
 
 
+@contextmanager
+def parts_of(spark, n):
+    """So many parts, however small."""
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("gap, step", [(1, 3600.0), (700, 3600.0), (40, 60.0), (10, 10.0)])
+def test_a_steady_key_is_spread_over_parts(spark, gap, step):
+    """One key without a gap, far more rows than a part; from many rows an interval to one."""
+    n = 6000
+    events = spark.range(n).select(F.lit("k").alias("user_id"), (F.lit(T0).cast("timestamp") + F.make_dt_interval(secs=F.col("id") * gap)).alias("ts"), F.col("id").alias("event_id")).repartition(7)
+    with parts_of(spark, 16):
+        got = sorted(r["event_id"] for r in jobs.interval_gate(events, "user_id", step).collect())
+        placed = jobs.parts(events.select(F.col("user_id").alias("k"), F.col("ts").alias("t"), F.struct("event_id").alias("row")), ["k", "t", "row"])
+        assert placed.select("part").distinct().count() == 16
+    leap = -(-int(step) // gap)
+    assert got == list(range(0, n, leap))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_gate_of_random_keys_over_small_parts(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), T0 + timedelta(seconds=rng.choice([rng.randrange(400), rng.randrange(9000)])), i) for i in range(500)]
+    events = spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long").repartition(3)
+    with parts_of(spark, 24):
+        got = {r["event_id"] for r in jobs.interval_gate(events, "user_id", 90.0).collect()}
+    want, last = set(), {}
+    for k, t, e in sorted(r for r in rows if r[0] is not None):
+        if k not in last or (t - last[k]).total_seconds() >= 90:
+            want.add(e)
+            last[k] = t
+    assert got == want
+
+
 def test_running_failures_equal_plain_counting(spark):
     rows = [(i, f"s{i * i % 3}", T0 + timedelta(minutes=i * 7 % 50), i % 5 == 0) for i in range(200)]
     got = {r["run_id"]: r["failures"] for r in stats.running_failures(spark.createDataFrame(rows, "run_id long, source string, started timestamp, ok boolean").repartition(6)).collect()}
