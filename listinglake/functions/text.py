@@ -76,13 +76,37 @@ def http_only(url: Column) -> Column:
     return F.when(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https"), url)
 
 
+#: Elements whose content is no visible text, and those behind which, or at which, a line ends.
+HIDDEN = ("script", "style", "noscript", "template", "svg", "iframe")
+LINE_ENDS = ("p", "li", "ul", "ol", "div", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "section", "article", "header", "footer")
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def piece_pattern(possessive: str = "+") -> str:
+    """What a page consists of, from left to right: comments, hidden elements with their content, tags whose quoted attributes may hold any character, declarations, text, and a lone "<".
+
+    ``possessive``: the mark that forbids going back, where the engine knows one.
+    """
+    inside = rf"""(?:[^'">]+{possessive}|"[^"]*{possessive}"|'[^']*{possessive}')*{possessive}"""
+    hidden = "|".join(rf"<{name}\b{inside}>.*?</{name}\s*>" for name in HIDDEN)
+    return rf"(?is)<!--.*?-->|{hidden}|</?[a-z]{inside}>|<[!?][^>]*>|[^<]+|<"
+
+
+def html_pieces(html: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(piece_pattern()), F.lit(0))
+
+
+LINE_END = rf"(?is)^<(?:br|hr)\b[^a-z]*>$|^<(?:br|hr)\s.*>$|^</(?:{'|'.join(LINE_ENDS)})\s*>$"
+
+
 def html_text(html: Column) -> Column:
-    """Visible text: no scripts or styles, a line per block element, entities read, white space collapsed."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|noscript|template|svg|iframe)\b.*?</\1\s*>", "")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>|<hr\s*/?>|</(p|li|ul|ol|div|h[1-6]|tr|td|th|section|article|header|footer)\s*>", "\n")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    """Visible text: no comments, no hidden elements, a line per block element, entities read, white space collapsed. Null gives the empty text.
+
+    The page is cut into its pieces first, so that what a comment, a script or a quoted attribute holds is never taken for a tag.
+    """
+    shown = F.transform(html_pieces(html), lambda x: F.when(~F.startswith(x, F.lit("<")) | (x == "<"), x).when(x.rlike(LINE_END), "\n").otherwise(""))
+    t = F.array_join(shown, "")
+    for entity, char in ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(char))
     t = F.regexp_replace(t, "[ \\t\\u00a0]+", " ")
     return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
@@ -93,31 +117,47 @@ def html_title(html: Column) -> Column:
     return F.when(found != "", found)
 
 
+def attribute(tag: Column, *names: str) -> Column:
+    """Value of a tag's first attribute of these names, without its quotes; empty where there is none."""
+    said = F.regexp_extract(tag, rf"""(?is)[\s"'/](?:{'|'.join(names)})\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.regexp_replace(said, r"""^["']|["']$""", "")
+
+
 def html_meta(html: Column) -> Column:
-    """Map of meta names to contents, the first of a name; name, property and itemprop count alike."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
-    entries = F.transform(
-        tags,
-        lambda t: F.struct(
-            F.lower(F.regexp_extract(t, r"""(?is)\b(?:name|property|itemprop)\s*=\s*["']([^"']*)["']""", 1)).alias("key"),
-            F.regexp_extract(t, r"""(?is)\bcontent\s*=\s*["']([^"']*)["']""", 1).alias("value"),
-        ),
-    )
+    """Map of meta names to contents, the first of a name; name, property and itemprop count alike. Tags in comments and scripts are none."""
+    tags = F.filter(html_pieces(html), lambda x: x.rlike(r"(?i)^<meta\b"))
+    entries = F.transform(tags, lambda t: F.struct(F.lower(attribute(t, "name", "property", "itemprop")).alias("key"), attribute(t, "content").alias("value")))
     known = F.filter(entries, lambda e: e["key"] != "")
     keys = F.array_distinct(F.transform(known, lambda e: e["key"]))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter(known, lambda e: e["key"] == k)[0]["value"]))
 
 
-def json_ld_events(html: Column) -> Column:
-    """Array of JSON texts of schema.org Event nodes: script bodies, members of arrays and of @graph."""
-    bodies = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    lists = F.transform(
-        bodies,
-        lambda b: F.coalesce(
-            F.from_json(b, "array<string>"), F.from_json(F.get_json_object(b, "$['@graph']"), "array<string>"), F.array(b)
-        ),
+def registration_link(html: Column) -> Column:
+    """Target of a page's first link whose target or text speaks of registering, else the page's base; null without either. Links in comments and scripts are none."""
+    shown = F.array_join(F.filter(html_pieces(html), lambda x: ~x.rlike(rf"(?i)^<(?:!|\?|(?:{'|'.join(HIDDEN)})\b)")), "")
+    anchors = F.regexp_extract_all(shown, F.lit(r"""(?is)<a\b(?:[^'">]++|"[^"]*+"|'[^']*+')*+>.*?</a\s*>"""), F.lit(0))
+    pairs = F.transform(
+        anchors,
+        lambda a: F.struct(attribute(F.regexp_extract(a, r"""(?is)^<a\b(?:[^'">]++|"[^"]*+"|'[^']*+')*+>""", 0), "href").alias("href"), F.lower(F.regexp_replace(a, "(?s)<[^>]*>", "")).alias("text")),
     )
-    return F.filter(F.flatten(lists), lambda n: F.lower(F.coalesce(F.get_json_object(n, "$['@type']"), F.lit(""))).rlike(r'^(event|\[.*"event".*\])$'))
+    asks = F.filter(pairs, lambda p: (p["href"] != "") & (F.lower(p["href"]).rlike("regist(er|ration)|apply|sign ?up|submit") | p["text"].rlike("register|apply|sign ?up|join")))
+    base = F.regexp_extract(shown, r"""(?is)(<base\b[^>]*>)""", 1)
+    return F.coalesce(F.get(asks, 0)["href"], F.nullif(attribute(base, "href"), F.lit("")))
+
+
+def json_ld_events(html: Column, depth: int = 4) -> Column:
+    """Array of JSON texts of schema.org Event nodes in a page's scripts, in the order of the page.
+
+    Arrays and ``@graph``s are opened where they lie within one another, up to ``depth`` deep; a node with a graph stands before the graph's nodes.
+    """
+    scripts = F.filter(html_pieces(html), lambda x: x.rlike(r"(?is)^<script\b[^>]*application/ld\+json"))
+    nodes = F.transform(scripts, lambda x: F.regexp_extract(x, r"(?is)^<script\b[^>]*>(.*)</script\s*>$", 1))
+    for _ in range(depth):
+        within = lambda n: F.coalesce(F.from_json(F.get_json_object(n, "$['@graph']"), "array<string>"), F.array().cast("array<string>"))
+        # A node whose graph was opened stays as itself, without the graph.
+        bare = lambda n: F.when(F.size(within(n)) > 0, F.to_json(F.map_filter(F.from_json(n, "map<string,string>"), lambda k, _: k != "@graph"))).otherwise(n)
+        nodes = F.flatten(F.transform(nodes, lambda n: F.coalesce(F.from_json(n, "array<string>"), F.concat(F.array(bare(n)), within(n)))))
+    return F.filter(nodes, lambda n: F.lower(F.coalesce(F.get_json_object(n, "$['@type']"), F.lit(""))).rlike(r'^(event|\[.*"event".*\])$'))
 
 
 def keyword_tags(text: Column, words: tuple[str, ...]) -> Column:
@@ -198,8 +238,8 @@ def split_list(c: Column) -> Column:
 
 
 def clean_json(c: Column) -> Column:
-    """JSON text of a column without NUL characters and invalid UTF-8."""
-    return F.make_valid_utf8(F.regexp_replace(F.to_json(c), r"\\u0000", ""))
+    """JSON text of a column without NUL characters and invalid UTF-8. A backslash that a text spells out is written twice, and what follows it stays."""
+    return F.make_valid_utf8(F.regexp_replace(F.to_json(c), r"(?<!\\)((?:\\\\)*)\\u0000", "$1"))
 
 
 def picked_spans(spans: Column) -> Column:

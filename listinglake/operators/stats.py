@@ -68,12 +68,12 @@ def paired_runs(log: DataFrame, counts: tuple[str, ...] = ()) -> DataFrame:
 
     The number is a running sum over even parts of one order, so a source that logs a third of all rows is spread.
     """
-    known = log.where("source is not null")
-    numbered_ = running(known, ["source"], ["at", "entry"], (F.col("kind") == "start").cast("long"), "run").where("run > 0")
+    known = log.where("source is not null").withColumnRenamed("at", "logged")
+    numbered_ = running(known, ["source"], ["logged", "entry"], (F.col("kind") == "start").cast("long"), "run").where("run > 0")
     last = written(numbered_.groupBy("source").agg(F.max("run").alias("last_run")))
-    finish = F.struct("at", "entry", F.col("error"), *[F.col(c) for c in counts])
-    runs = numbered_.groupBy("source", "run").agg(F.min(F.when(F.col("kind") == "start", F.col("at"))).alias("started"), F.min(F.when(F.col("kind") == "finish", finish)).alias("f"))
+    finish = F.struct("logged", "entry", F.col("error"), *[F.col(c) for c in counts])
+    runs = numbered_.groupBy("source", "run").agg(F.min(F.when(F.col("kind") == "start", F.col("logged"))).alias("started"), F.min(F.when(F.col("kind") == "finish", finish)).alias("f"))
     runs = runs.join(last, "source")
     status = F.when(F.col("f").isNull(), F.when(F.col("run") == F.col("last_run"), "running").otherwise("interrupted")).when(F.col("f.error").isNull(), "ok").otherwise("failed")
-    seconds = (F.unix_micros(F.col("f.at").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / 1e6
-    return runs.select("source", "run", "started", F.col("f.at").alias("finished"), seconds.alias("seconds"), status.alias("status"), F.col("f.error").alias("error"), *[F.col(f"f.{c}").alias(c) for c in counts])
+    seconds = (F.unix_micros(F.col("f.logged").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / 1e6
+    return runs.select("source", "run", "started", F.col("f.logged").alias("finished"), seconds.alias("seconds"), status.alias("status"), F.col("f.error").alias("error"), *[F.col(f"f.{c}").alias(c) for c in counts])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from listinglake import refdata
 from listinglake.functions import geo, status, text
-from listinglake.operators import enrich, facets, merge, milestones, places, search, stats
+from listinglake.operators import enrich, facets, links, merge, milestones, places, search, stats
 from listinglake.plans.listings import NOW, listings, tables
 from listinglake.queries import CTE, EVENT, HERE, LAT, LIVE, LON, PLACES, PROVENANCE, RANK, RUNS, P, _events, _places, _provenance, _runs, all_matches, at, over_listings, query
 from listinglake.sources import feeds
@@ -74,11 +74,7 @@ def places_count(spark, sf_dir):
 def sibling_links(spark, sf_dir):
     """Of each link the event's other links."""
     (lineitem,) = tables(spark, sf_dir, "lineitem")
-    link = lineitem.select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("link"), F.col("l_suppkey").alias("source"))
-    other = link.select("event_id", F.col("link").alias("link_y"), F.col("source").alias("source_y"))
-    met = link.join(other, "event_id").withColumn("own", (F.col("link") == F.col("link_y")) & (F.col("source") == F.col("source_y")))
-    seen = met.groupBy("event_id", "link", "source").agg(F.count_if(~F.col("own")).alias("others"), F.min(F.when(~F.col("own"), F.col("source_y"))).alias("least_source"))
-    return seen.drop("source")
+    return links.sibling_links(lineitem.select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("link"), F.col("l_suppkey").alias("source")))
 
 
 AUDIT = f"""a AS (SELECT {EVENT} AS event_id, string_agg(concat(source, ':', source_record_id), ',' ORDER BY source, source_record_id) AS snapshots, count(*) AS n, max(last_verified_at) AS checked FROM L

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from listinglake.operators import crawl, merge
+from listinglake.functions import text
+from listinglake.operators import crawl, merge, stats
 from listinglake.operators.order import written
 from listinglake.plans.listings import listings, tables
-from listinglake.queries import CTE, FOUND, PAIRS, SCORED, nk, query
+from listinglake.queries import CTE, FOUND, PAIRS, SCORED, URL_ID, nk, query
 
 RECURSIVE = CTE.replace("WITH", "WITH RECURSIVE", 1)
 
@@ -75,3 +76,74 @@ def two_crawls(spark, sf_dir):
     slugs = crawl.event_slugs(two, crawl.event_slugs(one))
     return two.join(slugs, "event_id").select("listing_id", "event_id", "action", "slug")
 
+
+
+# ---- gates and runs
+
+FOUND["interval_gate"] = (
+    FOUND["interval_gate"][0],
+    """WITH RECURSIVE e AS (SELECT user_id, ts, min(event_id) AS event_id FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
+    u AS (SELECT user_id, ts AS t, ts AS own, CAST(NULL AS TIMESTAMP) AS asks FROM e UNION ALL SELECT user_id, ts + INTERVAL 1 HOUR, NULL, ts FROM e),
+    n AS (SELECT user_id, asks AS ts, next_ts FROM (SELECT *, min(own) OVER (PARTITION BY user_id ORDER BY t, asks IS NULL ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_ts FROM u) WHERE asks IS NOT NULL AND next_ts IS NOT NULL),
+    g AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id UNION ALL SELECT n.user_id, next_ts FROM g JOIN n ON n.user_id = g.user_id AND n.ts = g.ts)
+    SELECT e.user_id, e.ts, e.event_id FROM e JOIN g ON e.user_id = g.user_id AND e.ts = g.ts""",
+)
+
+
+@query("""WITH r AS (SELECT user_id % 5 AS source, ts AS logged, event_id AS entry, event_type IN ('view', 'click') AS starts, CASE WHEN event_type = 'error' THEN concat('exit ', event_id % 3) END AS error, value FROM events WHERE event_type <> 'signup'),
+n AS (SELECT *, count(*) FILTER (WHERE starts) OVER (PARTITION BY source ORDER BY logged, entry) AS run FROM r),
+g AS (SELECT source, run, min(logged) FILTER (WHERE starts) AS started, min(logged) FILTER (WHERE NOT starts) AS finished, arg_min(coalesce(error, ''), row(logged, entry)) FILTER (WHERE NOT starts) AS error, arg_min(value, row(logged, entry)) FILTER (WHERE NOT starts) AS records FROM n WHERE run > 0 GROUP BY ALL)
+SELECT CAST(source AS BIGINT) AS source, run, started, finished, epoch_us(finished) / 1e6 - epoch_us(started) / 1e6 AS seconds, nullif(error, '') AS error, records,
+ CASE WHEN finished IS NULL THEN CASE WHEN run = max(run) OVER (PARTITION BY source) THEN 'running' ELSE 'interrupted' END WHEN error = '' THEN 'ok' ELSE 'failed' END AS status FROM g""".replace("epoch_us(finished) / 1e6 - epoch_us(started) / 1e6", "(epoch_us(finished) - epoch_us(started)) / 1e6"))
+def paired_runs(spark, sf_dir):
+    """Runs by their start and finish rows: how long they took, what failed them, which were interrupted and which still run."""
+    (events,) = tables(spark, sf_dir, "events")
+    log = events.where("event_type != 'signup'").select(
+        (F.col("user_id") % 5).alias("source"), F.col("ts").alias("at"), F.col("event_id").alias("entry"), F.when(F.col("event_type").isin("view", "click"), "start").otherwise("finish").alias("kind"),
+        F.when(F.col("event_type") == "error", F.concat(F.lit("exit "), (F.col("event_id") % 3).cast("string"))).alias("error"), F.col("value").alias("records"),
+    )
+    return stats.paired_runs(log, ("records",))
+
+
+# ---- spans
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_partkey % 40 AS s, CAST(l_quantity AS INTEGER) % 9 AS l, l_linenumber AS n FROM lineitem),
+o AS (SELECT l_orderkey, list({'s': s, 'e': s + l, 'k': CAST(n AS VARCHAR)} ORDER BY s, -l, n) FILTER (WHERE l > 0) AS spans FROM s GROUP BY l_orderkey)
+SELECT l_orderkey, coalesce(list_reduce(list_concat([{'s': CAST(0 AS BIGINT), 'e': CAST(0 AS BIGINT), 'k': ''}], spans), lambda a, x: CASE WHEN x.s >= a.e THEN {'s': x.s, 'e': x.e, 'k': concat(a.k, ',', x.k)} ELSE a END).k, '') AS picked FROM o""")
+def span_picks(spark, sf_dir):
+    """Of an order's overlapping spans those that a pass from left to right keeps."""
+    (lineitem,) = tables(spark, sf_dir, "lineitem")
+    span = F.struct((F.col("l_partkey") % 40).cast("int").alias("start"), (F.col("l_quantity").cast("int") % 9).alias("length"), F.col("l_linenumber").alias("n"))
+    picked = text.picked_spans(F.col("spans"))
+    held = lineitem.groupBy("l_orderkey").agg(F.collect_list(span).alias("spans"))
+    return held.select("l_orderkey", F.array_join(F.transform(picked, lambda x: F.concat(F.lit(","), x["n"].cast("string"))), "").alias("picked"))
+
+
+# ---- pages
+
+PIECES = "regexp_extract_all(coalesce(html, ''), '" + text.piece_pattern("").replace("'", "''") + "', 0)"
+_shown = f"array_to_string(list_transform({PIECES}, lambda x: CASE WHEN NOT starts_with(x, '<') OR x = '<' THEN x WHEN regexp_matches(x, '{text.LINE_END}') THEN chr(10) ELSE '' END), '')"
+for _entity, _char in text.ENTITIES:
+    _shown = f"replace({_shown}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
+BODY = rf"trim(regexp_replace(regexp_replace({_shown}, '[ \t\x{{00a0}}]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'))"
+FOUND["html_text"] = (FOUND["html_text"][0], f"SELECT page_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, {BODY} AS t FROM pages)")
+
+
+def _attribute(tag: str, names: str) -> str:
+    quoted = rf"""regexp_extract({tag}, '(?is)[\s"''/](?:{names})\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1)"""
+    return f"""regexp_replace({quoted}, '^["'']|["'']$', '', 'g')"""
+
+
+FOUND["html_meta"] = (
+    FOUND["html_meta"][0],
+    rf"""WITH m AS (SELECT page_id, unnest(list_filter({PIECES}, lambda x: regexp_matches(x, '(?i)^<meta\b'))) AS tag FROM pages), k AS (SELECT page_id, row_number() OVER () AS n, lower({_attribute("tag", "name|property|itemprop")}) AS key, {_attribute("tag", "content")} AS value FROM m)
+    SELECT page_id, key, arg_min(value, n) AS value FROM k WHERE key <> '' GROUP BY page_id, key""",
+)
+HEADING = "nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), '')"
+MODE = r"CASE WHEN regexp_matches(lower(t), '\bhybrid\b') THEN 'hybrid' WHEN regexp_matches(lower(t), '\b(online|virtual)\b') THEN 'online' WHEN regexp_matches(lower(t), '\b(venue|in person|on site)\b') THEN 'offline' ELSE 'unknown' END"
+FOUND["event_pages"] = (
+    FOUND["event_pages"][0],
+    f"""SELECT coalesce(CASE WHEN length({URL_ID}) >= 9 THEN {URL_ID} END, url) AS source_record_id, trim(coalesce({HEADING}, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''))) AS title, canonical AS url, {MODE} AS mode
+    FROM (SELECT *, {BODY} AS t FROM pages) p JOIN ({FOUND["canonical_url"][1]}) c USING (page_id)""",
+)

@@ -15,14 +15,12 @@ from listinglake.operators import milestones
 RAW_COLUMNS = [
     "source", "source_record_id", "title", "organizer", "url", "location_text", "mode", "deadline_text", "start_text", "end_text", "prize_amount", "prize_currency", "themes",
     "description", "city", "state", "country", "opens_at", "deadline", "start", "end", "submission_deadline", "deadline_confidence", "team_size_min", "team_size_max", "eligibility",
-    "technologies", "prize_details", "free_or_paid", "registration_fee", "field_conflicts",
+    "technologies", "prize_details", "free_or_paid", "registration_fee", "field_conflicts", "registration_url",
 ]
 KINDS = {
     "prize_amount": "decimal(18,2)", "registration_fee": "decimal(18,2)", "themes": "array<string>", "technologies": "array<string>", "team_size_min": "int", "team_size_max": "int",
     "field_conflicts": "array<struct<field:string,values:array<string>,resolved_from:string,note:string>>",
 }
-#: Year of dates that name none.
-YEAR = 1998
 
 FEED_A = "data struct<data:array<struct<id:long,title:string,details:string,public_url:string,region:string,end_date:string,isPaid:boolean,organisation:struct<name:string>,regnRequirements:struct<start_regn_dt:string,end_regn_dt:string,min_team_size:int,max_team_size:int>,address_with_country_logo:struct<city:string,state:string,country:struct<name:string>>,filters:array<struct<name:string,type:string>>,required_skills:array<struct<skill:string>>,prizes:array<struct<rank:string,cash:double,currency:string>>,payment_services:array<struct<amount:double,required:boolean>>>>>, _corrupt_record string"
 FEED_B = "hackathons array<struct<id:long,title:string,displayed_location:struct<icon:string,location:string>,open_state:string,url:string,submission_period_dates:string,themes:array<struct<id:long,name:string>>,prize_amount:string,organization_name:string>>, _corrupt_record string"
@@ -35,7 +33,7 @@ class SourceSpec:
 
     name: str
     read: Callable[[SparkSession, str], DataFrame]
-    normalize: Callable[[DataFrame], DataFrame]
+    normalize: Callable[..., DataFrame]  # (payloads, year of the retrieval) -> raw listings
     enabled: bool = True
     note: str = ""
 
@@ -46,7 +44,7 @@ def raw(df: DataFrame, source: str, **columns: Column) -> DataFrame:
     return df.select(F.lit(source).alias("source"), *[columns.get(c, null).cast(KINDS.get(c, "string")).alias(c) for c in RAW_COLUMNS[1:]])
 
 
-def first_dates(df: DataFrame, key: str, text_col: str, year: int = YEAR) -> DataFrame:
+def first_dates(df: DataFrame, key: str, text_col: str, year: int | None = None) -> DataFrame:
     """df with ``said``: a map of the first date of each kind that a text names, for a key that is unique."""
     found = milestones.extract_milestones(df.select(key, text_col), key, text_col, year).where("kind != 'unknown'")
     first = found.groupBy("id", "kind").agg(F.min(F.struct("segment", "position", "iso"))["iso"].alias("iso"))
@@ -54,13 +52,13 @@ def first_dates(df: DataFrame, key: str, text_col: str, year: int = YEAR) -> Dat
     return df.join(maps, df[key] == maps["id"], "left").drop("id")
 
 
-def window_end(df: DataFrame, key: str, text_col: str, year: int = YEAR) -> DataFrame:
+def window_end(df: DataFrame, key: str, text_col: str, year: int | None = None) -> DataFrame:
     """(id, submission_deadline): the last date of a range's text."""
     found = milestones.extract_milestones(df.select(key, text_col), key, text_col, year)
     return found.groupBy("id").agg(F.max(F.struct("segment", "position", "iso"))["iso"].alias("submission_deadline"))
 
 
-def page_deadline(pages: DataFrame, key: str, html_col: str = "html", year: int = YEAR) -> DataFrame:
+def page_deadline(pages: DataFrame, key: str, html_col: str = "html", year: int | None = None) -> DataFrame:
     """(id, submission_deadline, confidence): the first date of a page's lines that speak of a deadline."""
     lines = F.filter(F.split(tx.html_text(F.col(html_col)), r"\v+"), lambda x: F.contains(F.lower(x), F.lit("deadline")))
     said = pages.select(key, F.array_join(lines, "\n").alias("said"))
@@ -95,13 +93,14 @@ def cash_prizes(prizes: Column) -> tuple[Column, Column]:
     return F.when(F.size(paid) > 0, total), F.get(paid, F.lit(0))["currency"]
 
 
-def feed_a(df: DataFrame) -> DataFrame:
+def feed_a(df: DataFrame, year: int | None = None) -> DataFrame:
+    """A row for each listing. ``year``: that of the retrieval, for dates that name none. Of a description the first 6,000 characters are kept, as in all feeds of this kind."""
     i = df.select(F.explode("data.data").alias("i")).where("i.id is not null and i.title is not null")
     i = i.withColumns({"key": F.col("i.id"), "description": F.substring(tx.html_text(F.col("i.details")), 1, 6000)})
     # The description names the event's days, which the payload does not; once for each record id.
-    told = first_dates(i.select("key", "description").dropDuplicates(["key"]), "key", "description").select("key", "said")
+    told = first_dates(i.select("key", "description").dropDuplicates(["key"]), "key", "description", year).select("key", "said")
     i = i.join(told, "key", "left")
-    iso = lambda c: milestones.strict_date(F.col(c), YEAR)
+    iso = lambda c: milestones.strict_date(F.col(c), year)
     end, told_end = iso("i.end_date"), F.element_at("said", F.lit("hackathon_end"))
     fee = fee_total(F.col("i.payment_services"))
     of = lambda kind: F.filter("i.filters", lambda f: f["type"] == kind)
@@ -122,10 +121,11 @@ def feed_a(df: DataFrame) -> DataFrame:
     )
 
 
-def feed_b(df: DataFrame) -> DataFrame:
+def feed_b(df: DataFrame, year: int | None = None) -> DataFrame:
+    """A row for each listing; the end of its submission period is inferred to be its deadline."""
     h = df.select(F.explode("hackathons").alias("h")).where("h.id is not null and h.title is not null")
     h = h.withColumns({"key": F.col("h.id"), "span": F.col("h.submission_period_dates")})
-    ends = window_end(h.select("key", "span").dropDuplicates(["key"]), "key", "span")
+    ends = window_end(h.select("key", "span").dropDuplicates(["key"]), "key", "span", year)
     h = h.join(ends, h["key"] == ends["id"], "left").drop("id")
     place = F.col("h.displayed_location.location")
     online = F.coalesce((F.col("h.displayed_location.icon") == "globe") | F.lower(place).rlike("online|worldwide"), F.lit(False))
@@ -141,7 +141,7 @@ def feed_b(df: DataFrame) -> DataFrame:
     )
 
 
-def feed_c(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def feed_c(pages: DataFrame, year: int | None = None, html_col: str = "html") -> DataFrame:
     """Events in a script's JSON: upcoming and past ones, else the first of its lists whose items have a slug and a start. Malformed scripts give none."""
     bodies = pages.select(F.explode(F.regexp_extract_all(html_col, F.lit(r"(?is)<script[^>]*>\s*(\{.*?\})\s*</script>"), F.lit(1))).alias("body"))
     lists = [F.coalesce(F.from_json(F.get_json_object("body", f"$.props.{k}"), EVENT_C), F.array().cast(EVENT_C)) for k in ("upcomingEvents", "pastEvents")]
@@ -153,33 +153,36 @@ def feed_c(pages: DataFrame, html_col: str = "html") -> DataFrame:
         e, "mlh", source_record_id=F.coalesce("e.id", "e.slug"), title=F.trim("e.name"), url=tx.http_only(F.coalesce("e.websiteUrl", "e.url")),
         location_text=F.concat_ws(", ", "e.venueAddress.city", "e.venueAddress.state", "e.venueAddress.country"),
         mode=F.when(F.lower("e.formatType").isin("digital", "online"), "online").when(F.lower("e.formatType") == "hybrid", "hybrid").otherwise("offline"), start_text=F.col("e.startsAt"), end_text=F.col("e.endsAt"),
-        start=milestones.strict_date(F.col("e.startsAt"), YEAR), end=milestones.strict_date(F.col("e.endsAt"), YEAR), city=F.col("e.venueAddress.city"), state=F.col("e.venueAddress.state"), country=F.col("e.venueAddress.country"),
+        start=milestones.strict_date(F.col("e.startsAt"), year), end=milestones.strict_date(F.col("e.endsAt"), year), city=F.col("e.venueAddress.city"), state=F.col("e.venueAddress.state"), country=F.col("e.venueAddress.country"),
     )
 
 
-def card_list(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """One listing per challenge card."""
+def card_list(pages: DataFrame, year: int | None = None, html_col: str = "html") -> DataFrame:
+    """One listing per challenge card; its deadline is typed where the text behind the label is a date."""
     cards = pages.select(F.explode(F.regexp_extract_all(html_col, F.lit(r'(?is)<div[^>]*class="[^"]*challenge-card[^"]*"[^>]*>(.*?)(?=<div[^>]*class="[^"]*challenge-card|$)'), F.lit(1))).alias("card"))
     body = tx.html_text(F.col("card"))
     link = F.regexp_extract("card", r'(?is)<a[^>]*href="([^"]+)"', 1)
     title = F.trim(tx.html_text(F.regexp_extract("card", r"(?is)<(?:h\d|span)[^>]*title[^>]*>(.*?)</(?:h\d|span)>", 1)))
-    got = tx.prize(body)
+    got, told = tx.prize(body), F.nullif(F.trim(F.regexp_extract(body, r"(?i)(?:ends on|closes on|deadline)\s*:?\s*([^\n]+)", 1)), F.lit(""))
+    deadline = milestones.strict_date(told, year)
     return raw(
         cards.where(link != ""), "hackerearth", source_record_id=link, title=F.nullif(title, F.lit("")), url=tx.http_only(link),
-        mode=F.when(F.lower(body).rlike("offline|venue"), "offline").otherwise("online"), deadline_text=F.nullif(F.regexp_extract(body, r"(?i)(?:ends on|closes on|deadline)\s*:?\s*([^\n]+)", 1), F.lit("")),
+        mode=F.when(F.lower(body).rlike("offline|venue"), "offline").otherwise("online"), deadline_text=told, deadline=deadline, deadline_confidence=F.when(deadline.isNotNull(), "source_confirmed"),
         prize_amount=got["amount"], prize_currency=got["currency"],
     )
 
 
-def event_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def event_pages(pages: DataFrame, year: int | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Free-form pages, one for each url: the first JSON-LD event, else meta tags and headings, else what the text says under labels."""
     pages = pages.withColumns({"_key": F.coalesce(tx.url_identity(F.col(url_col)), F.col(url_col)), "_body": tx.html_text(F.col(html_col))})
-    told = first_dates(pages.where("_key is not null").groupBy("_key").agg(F.min("_body").alias("_body")), "_key", "_body").select("_key", "said")
+    told = first_dates(pages.where("_key is not null").groupBy("_key").agg(F.min("_body").alias("_body")), "_key", "_body", year).select("_key", "said")
     pages = pages.join(told, "_key", "left")
-    node, meta = F.get(tx.json_ld_events(F.col(html_col)), F.lit(0)), tx.html_meta(F.col(html_col))
+    # Read once for all the fields that are taken from them.
+    pages = pages.withColumns({"_node": F.get(tx.json_ld_events(F.col(html_col)), F.lit(0)), "_meta": tx.html_meta(F.col(html_col)), "_link": tx.registration_link(F.col(html_col))})
+    node, meta = F.col("_node"), F.col("_meta")
     body = F.col("_body")
     heading = F.nullif(F.trim(F.regexp_replace(F.regexp_extract(html_col, r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", "")), F.lit(""))
-    dated = lambda p, kind: F.coalesce(milestones.strict_date(get(p), YEAR), F.element_at("said", F.lit(kind)))
+    dated = lambda p, kind: F.coalesce(milestones.strict_date(get(p), year), F.element_at("said", F.lit(kind)))
     size = tx.team_size(F.col("_body"))
     get = lambda p: F.get_json_object(node, p)
     title = F.coalesce(get("$.name"), F.element_at(meta, "og:title"), heading, tx.html_title(F.col(html_col)))
@@ -191,7 +194,7 @@ def event_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html")
         deadline=F.element_at("said", F.lit("registration_deadline")), opens_at=F.element_at("said", F.lit("registration_opens")), submission_deadline=F.coalesce(F.element_at("said", F.lit("project_submission_deadline")), F.element_at("said", F.lit("submission_deadline"))),
         start=dated("$.startDate", "hackathon_start"), end=dated("$.endDate", "hackathon_end"), deadline_confidence=F.when(F.element_at("said", F.lit("registration_deadline")).isNotNull(), "source_confirmed"),
         team_size_min=size["least"], team_size_max=size["most"], eligibility=tx.eligibility(body), technologies=tx.keyword_tags(body, tx.refdata.TECH_KEYWORDS),
-        prize_amount=got["amount"], prize_currency=got["currency"], themes=tx.keyword_tags(body, tx.refdata.THEME_KEYWORDS),
+        prize_amount=got["amount"], prize_currency=got["currency"], themes=tx.keyword_tags(body, tx.refdata.THEME_KEYWORDS), registration_url=F.col("_link"),
     )
 
 
