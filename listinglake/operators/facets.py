@@ -36,6 +36,12 @@ def freshness(df: DataFrame) -> DataFrame:
     return df.rollup("source").agg(F.max("last_verified_at").alias("last_verified")).select(F.coalesce("source", F.lit("(all)")).alias("source"), "last_verified")
 
 
+def freshness_line(df: DataFrame) -> DataFrame:
+    """The latest check of all and the sources it is over, in one row; each source is a row before the list is made."""
+    each = df.where("source is not null").groupBy("source").agg(F.max("last_verified_at").alias("t"))
+    return each.agg(F.max("t").alias("last_verified"), F.array_sort(F.collect_list("source")).alias("sources"))
+
+
 def top_places(df: DataFrame, places: DataFrame, now: Column, n: int = 8) -> DataFrame:
     """Open and total counts of listings that are not closed. ``places``: city_key, place."""
     live = df.withColumn("status", live_status(F.col("deadline_ts"), F.col("opens_ts"), now)).where("status != 'closed'")

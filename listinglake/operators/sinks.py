@@ -37,6 +37,29 @@ def replace_rows(target: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFr
     return target.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
 
 
+def provenance_or_title(rows: DataFrame, listings: DataFrame) -> DataFrame:
+    """Provenance (event_id, field, value, source, confidence) with a ``title`` row for each (event, source) of ``listings`` that has none.
+
+    ``listings``: event_id, source, title. Of several listings of one source the smallest title stands; without a title there is no row.
+    """
+    bare = listings.where("title is not null").groupBy("event_id", "source").agg(F.min("title").alias("value"))
+    without = bare.join(rows.select("event_id", "source").distinct(), ["event_id", "source"], "left_anti")
+    return rows.unionByName(without.select("event_id", F.lit("title").alias("field"), "value", "source", F.lit("source_confirmed").alias("confidence")))
+
+
+def geocode_cache(cache: DataFrame, answers: DataFrame) -> DataFrame:
+    """The cache (key, latitude, longitude, found) after further answers (key, latitude, longitude); an empty answer is kept, so that it is not asked again.
+
+    An answer with coordinates replaces what is cached; an empty one enters only where nothing is cached yet. Of several answers for a
+    key one with coordinates goes first, then the smallest.
+    """
+    answered = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    best = answers.where("key is not null").groupBy("key").agg(F.min(F.when(answered, F.struct("latitude", "longitude"))).alias("a"))
+    asked = best.select("key", F.col("a.latitude").alias("latitude"), F.col("a.longitude").alias("longitude"), F.col("a").isNotNull().alias("found"))
+    news = asked.join(cache.select("key"), "key", "left_anti").unionByName(asked.where("found").join(cache.select("key"), "key", "left_semi"))
+    return merge_upsert(cache, news, ["key"])
+
+
 def place_upsert(places: DataFrame, updates: DataFrame) -> DataFrame:
     """State, country and metro: new before old; coordinates: old before new."""
     old, new = places.alias("o"), updates.alias("n")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listinglake.functions import text
-from listinglake.operators import crawl, merge, stats
+from listinglake.operators import crawl, facets, merge, sinks, stats
 from listinglake.operators.order import written
 from listinglake.plans.listings import listings, tables
-from listinglake.queries import CTE, FOUND, PAIRS, SCORED, URL_ID, nk, query
+from listinglake.queries import CTE, EVENT, FOUND, PAIRS, SCORED, URL_ID, _events, nk, over_listings, query
 
 RECURSIVE = CTE.replace("WITH", "WITH RECURSIVE", 1)
 
@@ -147,3 +147,59 @@ FOUND["event_pages"] = (
     f"""SELECT coalesce(CASE WHEN length({URL_ID}) >= 9 THEN {URL_ID} END, url) AS source_record_id, trim(coalesce({HEADING}, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''))) AS title, canonical AS url, {MODE} AS mode
     FROM (SELECT *, {BODY} AS t FROM pages) p JOIN ({FOUND["canonical_url"][1]}) c USING (page_id)""",
 )
+
+
+# ---- sinks
+
+LINK = "source, source_record_id, title, mode, deadline_ts, last_verified_at AS retrieved_at, listing_id % 7 AS first_seen"
+
+
+@query(f"""{CTE}, o AS (SELECT {LINK} FROM L WHERE listing_id % 3 <> 0), n AS (SELECT source, source_record_id, concat(title, ' II') AS title, mode, deadline_ts + INTERVAL 1 DAY AS deadline_ts, last_verified_at + INTERVAL 2 DAY AS retrieved_at, listing_id % 5 AS first_seen FROM L WHERE listing_id % 2 = 0)
+SELECT source, source_record_id, coalesce(n.title, o.title) AS title, coalesce(n.mode, o.mode) AS mode, CASE WHEN n.source IS NULL THEN o.deadline_ts ELSE n.deadline_ts END AS deadline_ts, coalesce(n.retrieved_at, o.retrieved_at) AS retrieved_at,
+  CASE WHEN o.source IS NULL THEN n.first_seen ELSE o.first_seen END AS first_seen FROM o FULL OUTER JOIN n USING (source, source_record_id)""".replace("WHEN n.source IS NULL", "WHEN n.title IS NULL").replace("WHEN o.source IS NULL", "WHEN o.title IS NULL"))
+def upsert_links(spark, sf_dir):
+    """Listing links with a list of columns that a new retrieval refreshes, nulls included, and one that stays."""
+    df = listings(spark, sf_dir).withColumn("retrieved_at", F.col("last_verified_at"))
+    columns = ["source", "source_record_id", "title", "mode", "deadline_ts", "retrieved_at"]
+    old = df.where("listing_id % 3 != 0").select(*columns, (F.col("listing_id") % 7).alias("first_seen"))
+    later = df.withColumns({"title": F.concat("title", F.lit(" II")), "deadline_ts": F.col("deadline_ts") + F.expr("INTERVAL 1 DAY"), "retrieved_at": F.col("retrieved_at") + F.expr("INTERVAL 2 DAY")})
+    new = later.where("listing_id % 2 = 0").select(*columns, (F.col("listing_id") % 5).alias("first_seen"))
+    return sinks.merge_upsert(old, new, ["source", "source_record_id"], keep=("first_seen",))
+
+
+@query("""SELECT coalesce(n.s_suppkey, o.s_suppkey) AS place_key, coalesce(n.s_name, o.s_name) AS name, CASE WHEN n.s_suppkey IS NOT NULL THEN n.nation ELSE o.nation END AS nation FROM (SELECT s_suppkey, s_name, s_nationkey AS nation FROM supplier WHERE s_suppkey % 3 <> 0) o
+  FULL OUTER JOIN (SELECT s_suppkey, upper(s_name) AS s_name, CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey + 1 END AS nation FROM supplier WHERE s_suppkey % 2 = 0) n ON n.s_suppkey = o.s_suppkey""")
+def seed_registry(spark, sf_dir):
+    """The registry seeded again: every column of a seeded place is the seed's, also where that is null."""
+    place = tables(spark, sf_dir, "supplier")[0].select(F.col("s_suppkey").alias("place_key"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    seed = place.where("place_key % 2 = 0").select("place_key", F.upper("name").alias("name"), F.when(F.col("place_key") % 4 != 0, F.col("nation") + 1).alias("nation"))
+    return sinks.merge_upsert(place.where("place_key % 3 != 0"), seed, ["place_key"])
+
+
+@query("""WITH c AS (SELECT c_name AS key, CASE WHEN c_custkey % 10 <> 0 THEN c_nationkey * 1.5 END AS latitude, CASE WHEN c_custkey % 10 <> 0 THEN c_nationkey * 2.5 END AS longitude, c_custkey % 10 <> 0 AS found FROM customer WHERE c_custkey % 2 = 0),
+a AS (SELECT c_name AS key, max(CASE WHEN c_custkey % 9 <> 0 THEN c_nationkey * 1.25 END) AS latitude, max(CASE WHEN c_custkey % 9 <> 0 THEN c_nationkey * 2.25 END) AS longitude FROM customer WHERE c_custkey % 3 = 0 GROUP BY c_name)
+SELECT key, CASE WHEN a.latitude IS NOT NULL THEN a.latitude ELSE c.latitude END AS latitude, CASE WHEN a.latitude IS NOT NULL THEN a.longitude ELSE c.longitude END AS longitude, coalesce(a.latitude IS NOT NULL OR c.found, false) AS found FROM c FULL OUTER JOIN a USING (key)""")
+def geocode_cache(spark, sf_dir):
+    """Answers of a geocoder put into its cache; half of them repeated by an empty one, some empty alone."""
+    customer = tables(spark, sf_dir, "customer")[0].withColumnRenamed("c_name", "key")
+    at = lambda known, la, lo: {"latitude": F.when(known, F.col("c_nationkey") * la).cast("double"), "longitude": F.when(known, F.col("c_nationkey") * lo).cast("double")}
+    known, answered = F.col("c_custkey") % 10 != 0, F.col("c_custkey") % 9 != 0
+    cache = customer.where("c_custkey % 2 = 0").withColumns(at(known, 1.5, 2.5)).select("key", "latitude", "longitude", known.alias("found"))
+    asked = customer.where("c_custkey % 3 = 0")
+    answers = asked.withColumns(at(answered, 1.25, 2.25)).select("key", "latitude", "longitude")
+    return sinks.geocode_cache(cache, answers.union(asked.withColumns(at(F.lit(False), 0.0, 0.0)).select("key", "latitude", "longitude")))
+
+
+@query(f"""{CTE}, p AS (SELECT {EVENT} AS event_id, 'mode' AS field, max(mode) AS value, source, 'verified' AS confidence FROM L WHERE listing_id % 3 = 0 GROUP BY {EVENT}, source), t AS (SELECT {EVENT} AS event_id, 'title' AS field, min(title) AS value, source, 'source_confirmed' AS confidence FROM L GROUP BY {EVENT}, source)
+SELECT * FROM p UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.event_id = t.event_id AND p.source = t.source)""")
+def default_provenance(spark, sf_dir):
+    """A title row for every event and source without provenance."""
+    df = _events(spark, sf_dir)
+    rows = df.where("listing_id % 3 = 0").groupBy("event_id", "source").agg(F.max("mode").alias("value"))
+    held = rows.select("event_id", F.lit("mode").alias("field"), "value", "source", F.lit("verified").alias("confidence"))
+    return sinks.provenance_or_title(held, df.select("event_id", "source", "title"))
+
+
+@over_listings("SELECT max(last_verified_at) AS last_verified, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM L")
+def freshness_line(df):
+    return facets.freshness_line(df).withColumn("sources", F.array_join("sources", ","))
