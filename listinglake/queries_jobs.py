@@ -9,6 +9,7 @@ from listinglake.operators import crawl, facets, merge, sinks, stats
 from listinglake.operators.order import written
 from listinglake.plans.listings import listings, tables
 from listinglake.queries import CTE, EVENT, FOUND, PAIRS, SCORED, URL_ID, _events, nk, over_listings, query
+from listinglake.sources import feeds
 
 RECURSIVE = CTE.replace("WITH", "WITH RECURSIVE", 1)
 
@@ -203,3 +204,56 @@ def default_provenance(spark, sf_dir):
 @over_listings("SELECT max(last_verified_at) AS last_verified, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM L")
 def freshness_line(df):
     return facets.freshness_line(df).withColumn("sources", F.array_join("sources", ","))
+
+
+# ---- feeds
+
+
+def _payloads(spark, sf_dir):
+    """Payloads of the first feed's shape: a page for each customer, a listing for each order, a prize for each line."""
+    orders, lineitem = tables(spark, sf_dir, "orders", "lineitem")
+    key, day = F.col("o_orderkey"), lambda n: F.date_add(F.col("o_orderdate").cast("date"), n)
+    prizes = lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").cast("string").alias("rank"), (F.col("l_linenumber") % 3 * 100).cast("double").alias("cash"), F.lit("INR").alias("currency"))).alias("prizes"))
+    told = F.when(key % 2 == 0, F.concat(F.lit("<p>Hackathon ends on "), F.date_format(day(F.lit(6)), "d MMMM yyyy"), F.lit("</p>"))).otherwise("<p>Soon</p>")
+    named = lambda name, kind: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"))
+    item = F.struct(
+        key.alias("id"), F.when(key % 11 != 0, F.concat(F.lit(" Event "), key.cast("string"))).alias("title"), told.alias("details"), F.concat(F.lit("https://e.example/"), key.cast("string")).alias("public_url"),
+        F.element_at(F.array(F.lit("online"), F.lit("Offline"), F.lit("moon")), (key % 3 + 1).cast("int")).alias("region"), F.when(key % 5 != 0, F.date_format(day((key % 4 + 5).cast("int")), "yyyy-MM-dd")).alias("end_date"), (key % 2 == 1).alias("isPaid"),
+        F.struct(F.lit("Org").alias("name")).alias("organisation"),
+        F.struct(F.date_format(day(F.lit(-9)), "d MMM yyyy").alias("start_regn_dt"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T23:59:00+05:30")).alias("end_regn_dt"), (key % 3 + 1).cast("int").alias("min_team_size"), F.lit(5).alias("max_team_size")).alias("regnRequirements"),
+        F.struct(F.concat(F.lit("City "), (key % 7).cast("string")).alias("city"), F.lit("State").alias("state"), F.struct(F.lit("Land").alias("name")).alias("country")).alias("address_with_country_logo"),
+        F.array(named("Students", "eligible"), named("AI", "domain"), named("ai", "domain"), named("Graduates", "eligible")).alias("filters"), F.array(F.struct(F.lit("Python").alias("skill")), F.struct(F.lit("Python").alias("skill")), F.struct(F.lit(None).cast("string").alias("skill"))).alias("required_skills"),
+        F.coalesce("prizes", F.array().cast("array<struct<rank:string,cash:double,currency:string>>")).alias("prizes"),
+        F.when(key % 4 != 0, F.array(F.struct((key % 4 * 10).cast("double").alias("amount"), F.lit(True).alias("required")), F.struct(F.lit(None).cast("double").alias("amount"), F.lit(False).alias("required")))).otherwise(F.array(F.struct(F.lit(None).cast("double").alias("amount"), F.lit(False).alias("required")))).alias("payment_services"),
+    )
+    each = orders.join(prizes, key == F.col("l_orderkey"), "left").select("o_custkey", item.alias("i"))
+    return each.groupBy("o_custkey").agg(F.collect_list("i").alias("data")).select(F.struct("data").alias("data"))
+
+
+FEED = """p AS (SELECT l_orderkey, sum(l_linenumber % 3 * 100) AS prize FROM lineitem GROUP BY l_orderkey),
+f AS (SELECT CAST(o_orderkey AS VARCHAR) AS source_record_id, concat('Event ', o_orderkey) AS title, CASE o_orderkey % 3 WHEN 0 THEN 'online' WHEN 1 THEN 'offline' ELSE 'unknown' END AS mode, strftime(o_orderdate - INTERVAL 9 DAY, '%Y-%m-%d') AS opens_at,
+ concat(strftime(o_orderdate, '%Y-%m-%d'), 'T23:59:00+05:30') AS deadline, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate + to_days(CAST(o_orderkey % 4 + 5 AS INTEGER)), '%Y-%m-%d') WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate + INTERVAL 6 DAY, '%Y-%m-%d') END AS "end",
+ o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0 AND abs(o_orderkey % 4 - 1) > 1 AS clash, CASE WHEN prize > 0 THEN CAST(prize AS DECIMAL(18,2)) END AS prize_amount, CASE WHEN prize > 0 THEN 'INR' END AS prize_currency, 'ai' AS themes, 'Python' AS technologies, 'Students, Graduates' AS eligibility,
+ CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey % 4 * 10 AS DECIMAL(18,2)) END AS registration_fee, CASE WHEN o_orderkey % 4 <> 0 THEN 'paid' WHEN o_orderkey % 2 = 0 THEN 'free' ELSE 'unknown' END AS free_or_paid, CAST(o_orderkey % 3 + 1 AS INTEGER) AS team_size_min,
+ concat('City ', o_orderkey % 7) AS city, 'State' AS state, 'Land' AS country, 'Org' AS organizer FROM orders LEFT JOIN p ON l_orderkey = o_orderkey WHERE o_orderkey % 11 <> 0)"""
+
+
+@query(f"WITH {FEED} SELECT * FROM f")
+def feed_rows(spark, sf_dir):
+    """Raw listings of a nested feed: typed dates, prize and fee sums, filters by kind, an end that field and text name differently."""
+    rows = feeds.feed_a(_payloads(spark, sf_dir), 1998)
+    said = ["source_record_id", "title", "mode", "opens_at", "deadline", "end", "prize_amount", "prize_currency", "eligibility", "registration_fee", "free_or_paid", "team_size_min", "city", "state", "country", "organizer"]
+    return rows.select(*said, F.coalesce(F.size("field_conflicts") > 0, F.lit(False)).alias("clash"), F.array_join("themes", ",").alias("themes"), F.array_join("technologies", ",").alias("technologies"))
+
+
+TOLD = " UNION ALL ".join(
+    f"""SELECT source_record_id, '{c}' AS field, CAST("{c}" AS VARCHAR) AS value, {"CASE WHEN clash THEN 'partially_verified' ELSE 'verified' END" if c == "end" else "'verified'"} AS confidence FROM f WHERE "{c}" IS NOT NULL"""
+    for c in feeds.TOLD
+    if c not in ("start", "submission_deadline")
+)
+
+
+@query(f"WITH {FEED} SELECT 'unstop' AS source, * FROM ({TOLD})")
+def feed_provenance(spark, sf_dir):
+    """Where every field of the feed's listings comes from, and how sure it is."""
+    return feeds.listing_provenance(feeds.feed_a(_payloads(spark, sf_dir), 1998))

@@ -218,6 +218,27 @@ SOURCES = {
 }
 
 
+#: Fields whose origin is told, and those of them that are read from a text rather than from a field of the payload.
+TOLD = ("title", "organizer", "mode", "city", "state", "country", "opens_at", "deadline", "start", "end", "submission_deadline", "prize_amount", "eligibility", "registration_fee")
+STRUCTURED = ("unstop", "devpost", "mlh")
+
+
+def listing_provenance(raw_listings: DataFrame) -> DataFrame:
+    """(source, source_record_id, field, value, confidence) of every non-empty field of raw listings.
+
+    A deadline has the confidence that its feed gives it. Other fields are "verified" where the publisher's payload has them as fields, and
+    "source_confirmed" where they are read from a page; a start is always read from text but in feeds that name it, an end
+    in conflict is "partially_verified".
+    """
+    fields = [F.col(c).cast("string").alias(c) for c in TOLD]
+    clash = F.coalesce(F.exists("field_conflicts", lambda c: c["field"] == "hackathon_end"), F.lit(False)).alias("_clash")
+    wide = raw_listings.select("source", "source_record_id", F.coalesce("deadline_confidence", F.lit("unknown")).alias("_sure"), clash, F.col("start_text").isNotNull().alias("_dated"), *fields)
+    long = wide.unpivot(["source", "source_record_id", "_sure", "_clash", "_dated"], [*TOLD], "field", "value").where("value is not null and value != ''")
+    by_page = ~F.col("source").isin(*STRUCTURED) | ((F.col("field") == "start") & ((F.col("source") == "unstop") | ~F.col("_dated")))
+    confidence = F.when(F.col("field").isin("deadline", "submission_deadline"), F.col("_sure")).when((F.col("field") == "end") & F.col("_clash"), "partially_verified").when(by_page, "source_confirmed").otherwise("verified")
+    return long.select("source", "source_record_id", "field", "value", confidence.alias("confidence"))
+
+
 def all_listings(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
