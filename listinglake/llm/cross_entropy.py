@@ -19,10 +19,16 @@ from pyspark.sql import functions as F
 from listinglake.llm.common import STEP, mix64, table, words_of, written
 
 STRENGTH = 4.0
-#: Characters of a slice of documents; parts, by their keys' first bits, in which the slices' counts are added up.
+#: Characters of a slice of documents; least number of first bits of the keys by which parts are told apart, in which the slices'
+#: counts are added up. More slices have more parts, so that a part is as large whatever the corpus.
 SLICE_CHARS, PART_BITS = 8_000_000, 12
 
 
+def part_bits(slices: int) -> int:
+    """A slice has a million keys or so, and a part should have no more of all slices."""
+    return max(PART_BITS, min(30, int(slices).bit_length()))
+
+
 class Coded:
     """Of a slice's documents: the counts of words, of words before and of bigrams, each under a key of 62 hash bits and two for its kind."""
 
@@ -107,6 +113,7 @@ def scored(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_c
     ident, text = F.col(f"c{at_id}").cast("long"), F.col(f"c{at_text}").cast("string")
     slices = (base.agg(F.sum(F.length(text))).first()[0] or 0) // SLICE_CHARS + 1
     dealt = lambda x: F.pmod(x, F.lit(slices)).cast("int")
+    bits = part_bits(slices)
     slice_of = dealt(F.when(ident.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(ident)))
     chosen = target.select(F.col(f"`{id_col}`").cast("long").alias("id")).dropna().distinct()
     both = base.select(slice_of.alias("slice"), ident.alias("id"), text.alias("text"), F.lit(False).alias("chosen")).union(
@@ -114,20 +121,18 @@ def scored(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_c
     )
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.arange(1, 1 << PART_BITS, dtype=np.uint64) << np.uint64(64 - PART_BITS)
         for at, rows in runs(batches, 0):
             marked = set(rows.filter(rows["chosen"])["id"].to_pylist())
             rows = rows.filter(pa.compute.invert(rows["chosen"]))
             coded = Coded(rows["text"].to_pylist())
             weight = np.repeat(np.array([float(i in marked) for i in rows["id"].to_pylist()]), coded.sizes)
             keys = coded.keys[coded.order]
-            bounds = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+            some, starts = np.unique(keys >> np.uint64(64 - bits), return_index=True)
             n, n_target = coded.counts()[coded.order], coded.counts(weight)[coded.order]
-            some = np.flatnonzero(np.diff(bounds))
             cols = [[], [], []]
-            for part in some.tolist():
-                x = slice(bounds[part], bounds[part + 1])
-                for c, v in zip(cols, (np.diff(keys[x], prepend=np.uint64(part) << np.uint64(64 - PART_BITS)), n[x], n_target[x]), strict=True):
+            for part, a, b in zip(some.tolist(), starts.tolist(), [*starts.tolist()[1:], len(keys)], strict=True):
+                x = slice(a, b)
+                for c, v in zip(cols, (np.diff(keys[x], prepend=np.uint64(part) << np.uint64(64 - bits)), n[x], n_target[x]), strict=True):
                     c.append(packed(v))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), at, dtype=np.int32)), *[pa.array(c, pa.binary()) for c in cols]],
@@ -137,7 +142,7 @@ def scored(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_c
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["slice", "part", "n", "n_target", "words", "total", "total_target"]
         for part, rows in runs(batches, 0):
-            first = np.uint64(part) << np.uint64(64 - PART_BITS)
+            first = np.uint64(part) << np.uint64(64 - bits)
             own = [first + np.cumsum(unpacked(b)) for b in rows["keys"].to_pylist()]
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])])
             keys, n, n_target = np.concatenate(own), *[np.concatenate([unpacked(b) for b in rows[c].to_pylist()]).astype(np.int64) for c in ("n", "n_target")]

@@ -175,6 +175,8 @@ def test_cross_entropy_keeps_every_word_and_bigram(spark, monkeypatch):
     docs = [(i, prose(rng, rng.choice([0, 1, 40, 200]), 30_000)) for i in range(300)] + [(300, None), (None, "w1 w2 w1"), (5, "w1 w2 unseen")]
     target = spark.createDataFrame([(i,) for i in range(0, 300, 4)] + [(0,), (None,)], "doc_id long")
     monkeypatch.setattr(cross_entropy, "SLICE_CHARS", 10_000)
+    monkeypatch.setattr(cross_entropy, "PART_BITS", 2)
+    assert cross_entropy.part_bits(1) == 2 and cross_entropy.part_bits(1 << 20) == 21
     clashing = frame(spark, docs).withColumns({c: F.lit("x") for c in ("ce_diff", "slice", "part", "c0", "_target", "id")})
     rows = cross_entropy.scored(clashing, target)
     assert rows.columns == ["doc_id", "text", "slice", "part", "c0", "_target", "id", "n_words", "h_target", "h_background", "ce_diff"]
