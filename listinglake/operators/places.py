@@ -43,7 +43,7 @@ def resolve_places(texts: DataFrame, places: DataFrame, text_col: str = "place_t
     """(place_text, place_key, metro, match) of each distinct text: name, alias, or a known place beside qualifiers.
 
     Compound names are sought by their starts and ends of as many words as the registry's names have, so every step
-    is an equi join.
+    is an equi join. A slug ("navi-mumbai") has the key of its name, so it is found by that step.
     """
     reg = registry(places)
     keys = place_keys(reg)

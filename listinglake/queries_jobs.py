@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from listinglake import refdata
 from listinglake.functions import text
 from listinglake.operators import crawl, facets, merge, sinks, stats
 from listinglake.operators.order import written
@@ -206,6 +207,17 @@ def freshness_line(df):
     return facets.freshness_line(df).withColumn("sources", F.array_join("sources", ","))
 
 
+# ---- places
+
+_known = ", ".join(f"({k}, '{p[0]}', {'NULL' if p[3] is None else repr(p[3])})" for k, p in enumerate(refdata.PLACES))
+FOUND["place_resolution"] = (
+    FOUND["place_resolution"][0],
+    f"""WITH p(k, name, metro) AS (VALUES {_known}), c AS (SELECT c_custkey % 3 AS n, n_name, name, metro FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN p ON k = c_custkey % {len(refdata.PLACES)})
+    SELECT DISTINCT CASE n WHEN 0 THEN concat(name, ' urban district') WHEN 1 THEN concat(name, ', India') ELSE n_name END AS place_text, CASE WHEN n < 2 THEN lower(name) END AS place_key, CASE WHEN n < 2 THEN metro END AS metro,
+     CASE n WHEN 0 THEN 'alias' WHEN 1 THEN 'exact' ELSE 'unknown' END AS match FROM c""",
+)
+
+
 # ---- feeds
 
 
