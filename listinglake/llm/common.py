@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import Any
+
 import numpy as np
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from listinglake.operators.order import written as written
@@ -69,5 +74,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@contextmanager
+def one_at_a_time(shared: list[Broadcast], k: int) -> Iterator[Any]:
+    """A shared value from its file; where there are several, it is forgotten after use, so that a task holds one of them."""
+    yield shared[k].value
+    if len(shared) > 1:
+        vars(shared[k]).pop("_value", None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager, nullcontext
+from contextlib import nullcontext
 from itertools import repeat
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listinglake.llm.common import WORD_TABLE, table, utf8, words_of
+from listinglake.llm.common import WORD_TABLE, one_at_a_time, table, utf8, words_of
 
 WORD = re.compile(rb"[^ ]+")
 #: Bytes of benchmark text in one automaton, which take about 130 times as much memory on the driver while it is built and 10
@@ -216,14 +216,6 @@ def shared_automata(spark: SparkSession, blocks: Iterable[list[tuple[int, list[b
     return [spark.sparkContext.broadcast(SuffixAutomaton(b, window)) for b in blocks]
 
 
-@contextmanager
-def one_at_a_time(shared: list[Broadcast], k: int) -> Iterator[SuffixAutomaton]:
-    """An automaton from its file; where there are several, it is forgotten after use."""
-    yield shared[k].value
-    if len(shared) > 1:
-        vars(shared[k]).pop("_value", None)
-
-
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listinglake.llm.common import table
+from listinglake.llm.common import one_at_a_time, table
 
 TOKEN = r"[a-z0-9]+"
 
@@ -127,37 +127,37 @@ def applied(
     """Fills the columns of the first fitting pattern's number (``pattern``) and of the longest host rule's text and verdict (``rule``, ``verdict``).
 
     ``names``: the names of these columns and of ``url``, ``host`` and ``path``. A url's tokens fetch candidate patterns
-    from the index, and only those run; its host and the domains above it fetch host rules. The indexes travel with the
-    tasks; rules beyond ``block_rules`` form further blocks that run one after another over all rows, so that their size
-    stays bound.
+    from the index, and only those run; its host and the domains above it fetch host rules. The indexes are broadcast in
+    blocks of ``block_rules`` rules; all blocks are used by one Python stage, one at a time for each batch of rows.
     """
     counts = token_counts(urls, names["url"], {t for r in patterns for words in r.tokens for t in words.split()})
     place = {k: urls.columns.index(v) for k, v in names.items()}
-    out = urls
-    for at in range(0, max(len(patterns), len(hosts), 1), block_rules):
-        by_token, by_host = rule_index(list(enumerate(patterns[at : at + block_rules], at)), counts), host_index(hosts[at : at + block_rules])
-
-        def run(batches: Iterator[pa.RecordBatch], by_token=by_token, by_host=by_host) -> Iterator[pa.RecordBatch]:
-            token, compiled = re.compile(TOKEN), {}
-            for batch in batches:
-                first, rule, verdict, url, host, path = (batch.column(place[k]).to_pylist() for k in ("pattern", "rule", "verdict", "url", "host", "path"))
-                for i, u in enumerate(url):
-                    found = longest_rule(by_host, host[i], path[i])
-                    if found and (rule[i] is None or (len(found[0]), rule[i]) > (len(rule[i]), found[0])):
-                        rule[i], verdict[i] = found
-                    if u is None or first[i] is not None:
-                        continue
-                    low = u.translate(LOWER)
-                    for k, p in sorted({x for t in set(token.findall(low)) for x in by_token.get(t, ())}):
-                        if (compiled.get(p) or compiled.setdefault(p, re.compile(p))).search(low):
-                            first[i] = k
-                            break
-                for k, v, kind in (("pattern", first, pa.int32()), ("rule", rule, pa.string()), ("verdict", verdict, pa.string())):
-                    batch = batch.set_column(place[k], batch.schema.field(place[k]), pa.array(v, kind))
-                yield batch
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+    starts = range(0, max(len(patterns), len(hosts), 1), block_rules)
+    context = urls.sparkSession.sparkContext
+    shared = [context.broadcast((rule_index(list(enumerate(patterns[at : at + block_rules], at)), counts), host_index(hosts[at : at + block_rules]))) for at in starts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, compiled = re.compile(TOKEN), {}
+        for batch in batches:
+            first, rule, verdict, url, host, path = (batch.column(place[k]).to_pylist() for k in ("pattern", "rule", "verdict", "url", "host", "path"))
+            for block in range(len(shared)):
+                with one_at_a_time(shared, block) as (by_token, by_host):
+                    for i, u in enumerate(url):
+                        found = longest_rule(by_host, host[i], path[i])
+                        if found and (rule[i] is None or (len(found[0]), rule[i]) > (len(rule[i]), found[0])):
+                            rule[i], verdict[i] = found
+                        if u is None or first[i] is not None:
+                            continue
+                        low = u.translate(LOWER)
+                        for k, p in sorted({x for t in set(token.findall(low)) for x in by_token.get(t, ())}):
+                            if (compiled.get(p) or compiled.setdefault(p, re.compile(p))).search(low):
+                                first[i] = k
+                                break
+            for k, v, kind in (("pattern", first, pa.int32()), ("rule", rule, pa.string()), ("verdict", verdict, pa.string())):
+                batch = batch.set_column(place[k], batch.schema.field(place[k]), pa.array(v, kind))
+            yield batch
+
+    return urls.mapInArrow(run, urls.schema)
 
 
 LOWER = {c: c + 32 for c in range(65, 91)}
