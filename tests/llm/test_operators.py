@@ -397,6 +397,50 @@ def test_pseudonyms_of_all_days_and_beside_numbers(spark):
     assert {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(out, KEY, back=True).collect()} == said
 
 
+def plainly_personal(text):
+    """Start, end and kind of addresses, dates and card numbers that stand between blanks, found word by word."""
+    import re
+    from datetime import date
+
+    before, behind = "(\"'#$%&*!", "(\"'.,;:!?)#$%&*"
+    words = [(m.start() + len(m[0]) - len(m[0].lstrip(before)), m[0].lstrip(before).rstrip(behind)) for m in re.finditer(r"\S+", text)]
+    for k, (at, w) in enumerate(words):
+        name, _, host = w.partition("@")
+        if name and set(name) <= set("abcdefghijklmnopqrstuvwxyz0123456789.") and host.count(".") and all(x.isalnum() and x.isascii() for x in host.split(".")) and host.rsplit(".", 1)[1].isalpha():
+            yield at, at + len(w), "email"
+        if len(w) == 16 and w.isdigit() and w.isascii() and pseudonyms.luhn([int(c) for c in w[:-1]]) == int(w[-1]):
+            yield at, at + len(w), "card"
+        if w == "+1" and k + 2 < len(words) and len(words[k + 1][1]) == 3 and words[k + 1][1].isdigit() and words[k + 1][1][0] > "1" and re.fullmatch(r"[2-9]\d\d-\d{4}", words[k + 2][1]):
+            yield at, words[k + 2][0] + 8, "phone"
+        if re.fullmatch(r"\d{4}-\d\d-\d\d", w):
+            try:
+                date.fromisoformat(w)
+                yield at, at + len(w), "date"
+            except ValueError:
+                pass
+        octets = w.split(".")
+        if len(octets) == 4 and all(o.isdigit() and str(int(o)) == o and int(o) < 256 for o in octets):
+            yield at, at + len(w), "ip"
+        group = words[k : k + 4]
+        digits = "".join(x for _, x in group)
+        if [len(x) for _, x in group] == [4] * 4 and digits.isdigit() and pseudonyms.luhn([int(c) for c in digits[:-1]]) == int(digits[-1]):
+            yield at, group[-1][0] + 4, "card"
+
+
+def test_pseudonyms_against_a_plain_search():
+    import pyarrow.parquet as pq
+
+    f, seen = pseudonyms.Feistel(KEY), Counter()
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist():
+        new, found = pseudonyms.replaced(f, text or "")
+        covered = [(a, a + n) for a, n, _ in found]
+        for a, b, kind in plainly_personal(text or ""):
+            seen[kind] += 1
+            assert any(x <= a and b <= y for x, y in covered), (kind, text[max(0, a - 20) : b + 20])
+        assert len(new) == len(text or "")
+    assert {"card", "email", "ip", "phone"} <= set(seen) and sum(seen.values()) > 60
+
+
 @pytest.mark.parametrize("unit", ["2020-01-02 ", "1 2 ", "12 ", "4111 1111 1111 1111 ", "a@b.cc ", "1.2.", "+1 2 "])
 def test_pseudonyms_take_time_in_proportion(unit):
     f, took = pseudonyms.Feistel(KEY), []
