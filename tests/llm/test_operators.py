@@ -577,6 +577,22 @@ def test_url_rules_equal_trying_all(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_verdicts_are_the_contracts(spark, tmp_path):
+    """The contract's rules, written out here, on urls of every rule, of subdomains and of no rule; the query and its SQL."""
+    rules = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+    assert [(r.text, r.verdict) for r in url_filter.HOST_RULES] == rules
+    want = {f"http://{host}/{rule.partition('/')[2]}": (rule, verdict) for rule, verdict in rules for host in (rule.partition("/")[0], "m." + rule.partition("/")[0])}
+    want |= {"https://a.net/de/8?page=1&ref=2": ("net/de/", "allow"), "http://m.a.net/de/8/": ("net/de/", "allow"), "http://b.example.net/de/81": ("example.net/de/8", "block"), "http://example.net/de/7#top": ("net/de/", "allow"), "http://a.b/c": (None, "allow")}
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = url_filter.op10_url_filter(spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == list(want.values())
+    import duckdb
+
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        assert db.execute(f"SELECT rule, verdict FROM ({url_filter.oracle()}) ORDER BY page_id").fetchall() == list(want.values())
+
+
 def test_licenses_on_odd_rows(spark):
     docs = frame(spark, [(1, None), (2, ""), (3, "MIT License mit-license"), (3, "MIT License mit-license"), (4, "license apache")]).withColumn("matches", F.lit(1))
     got = [(r["doc_id"], r["n_words"], [(m["start"], m["label"]) for m in r["matches"]]) for r in licenses.scan_licenses(docs).collect()]
