@@ -101,6 +101,57 @@ def test_near_duplicates_within_a_crowd(spark):
     assert of >= 25 and found >= 0.9 * of
 
 
+def test_no_link_is_left_out(spark):
+    """In a crowd of one template just below the threshold, pairs just above it; scattered edits of texts of many lengths; all links join."""
+    rng = random.Random(11)
+    template, docs = prose(rng, 152, 10**6).split(), []
+    for _ in range(110):
+        own = prose(rng, 48, 10**6).split()
+        docs += [template[:76] + own + template[76:]]
+        if len(docs) % 3 == 1:
+            docs += [edited(rng, docs[-1], 38)]
+    for k in range(150):
+        words = prose(rng, rng.choice([5, 8, 10, 15, 25, 40, 60, 100, 160, 240]), rng.choice([30, 10**6])).split()
+        docs += [words, edited(rng, words, len(words) // 5)]
+    words = prose(rng, 100, 10**6).split()
+    docs += [words, [w if i % 5 else f"y{i}" for i, w in enumerate(words)]]  # no five words in a row, no four but once a stretch
+    found, of = found_links(spark, list(enumerate(map(" ".join, docs))))
+    assert of >= 150 and found == of
+
+
+def test_a_repeated_shingle_leaves_the_others_labels():
+    x = near_dedup.shingles(near_dedup.word_hashes([f"w{i}".encode() for i in range(60)]), 5)
+    assert set(near_dedup.labelled(x).tolist()) < set(near_dedup.labelled(np.append(x, x[:1])).tolist())
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.7, 0.8, 0.95])
+def test_texts_at_the_threshold_share_rarest_shingles(threshold):
+    rng, counts = random.Random(threshold), np.zeros(near_dedup.CELLS, dtype=np.uint32)
+    q = near_dedup.exact_words(threshold)
+    for n in [*range(1, 40), 77, 200]:
+        a = prose(rng, n, rng.choice([4, 10**6])).split()
+        b = edited(rng, a, min(n, near_dedup.edit_limit(n, n, threshold)))
+        m = max(len(a), len(b))
+        x, y = (near_dedup.word_hashes([w.encode() for w in t]) for t in (a, b))
+        if b and plain.edits(a, b) <= near_dedup.edit_limit(len(a), len(b), threshold):
+            common = len(set(near_dedup.rarest(x, counts, threshold).tolist()) & set(near_dedup.rarest(y, counts, threshold).tolist()))
+            assert common >= max(1, min(near_dedup.SHARED + m // near_dedup.PER_WORDS, m - q + 1 - q * near_dedup.edit_limit(m, m, threshold)))
+
+
+def test_shingles_of_several_texts_are_told(spark, monkeypatch):
+    """Against counting them all, dealt in one lot or several, with buckets whole and split."""
+    rng = random.Random(12)
+    for at_once, part in ((250_000, 2_000_000), (3, 2_000_000), (7, 1)):
+        monkeypatch.setattr(near_dedup, "PART", part)
+        texts, batches = [np.array([rng.randrange(400) << 40 | rng.randrange(3) for _ in range(rng.randrange(12))], dtype=np.uint64) for _ in range(40)], []
+        texts = [np.unique(t) for t in texts]
+        for at in range(0, len(texts), at_once):
+            batches += near_dedup.dealt(texts[at : at + at_once], at).to_pylist()
+        got = near_dedup.repeated(spark.createDataFrame(batches, near_dedup.SKETCHED)).collect()
+        n = Counter(int(x) for t in texts for x in t)
+        assert sorted(tuple(r) for r in got) == sorted((int(x), i) for i, t in enumerate(texts) for x in t if n[int(x)] > 1)
+
+
 def test_near_duplicates_in_the_given_documents(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     found, of = found_links(spark, docs)
