@@ -1,6 +1,7 @@
 """Each operator against a plain form, and on nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import os
 import random
 import time
 import zlib
@@ -11,6 +12,7 @@ import public_tokenizers
 import pytest
 from listinglake.llm import cross_entropy, decontamination, licenses, near_dedup, packing, pseudonyms, quality, sharding, suffix_dedup, url_filter
 from listinglake.llm import queries as llm
+from listinglake.operators import order
 from pyspark.sql import functions as F
 from tests.llm import plain
 from tests.oracle import assert_same, duck
@@ -152,6 +154,49 @@ def test_shingles_of_several_texts_are_told(spark, monkeypatch):
         assert sorted(tuple(r) for r in got) == sorted((int(x), i) for i, t in enumerate(texts) for x in t if n[int(x)] > 1)
 
 
+def test_texts_of_far_lengths_do_not_meet(spark):
+    """A shingle counts as repeated only among texts of the same or the next step of length; no two lengths at the threshold are further apart."""
+    steps = {10: 0, 11: 1, 12: 5, 13: 6, 14: 6, 15: 9}
+    texts = {10: [1, 7], 11: [1], 12: [7, 9], 13: [8], 14: [8, 9], 15: [1, 7, 8]}
+    batches = []
+    for step in set(steps.values()):
+        rows = [r for r in steps if steps[r] == step]
+        batches += near_dedup.dealt([np.array(texts[r], dtype=np.uint64) for r in rows], 0, rows, step).to_pylist()
+    got = near_dedup.repeated(spark.createDataFrame(batches, near_dedup.SKETCHED)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 10), (1, 11), (8, 13), (8, 14), (9, 12), (9, 14)]
+    for threshold in (0.5, 0.8, 0.95, 1.0):
+        for n in range(1, 2000):
+            m = next(m for m in range(max(1, int(threshold * n) - 1), n + 1) if n - m <= near_dedup.edit_limit(n, m, threshold))
+            assert 0 <= near_dedup.length_step(n, threshold) - near_dedup.length_step(m, threshold) <= 1
+
+
+def test_rarest_shingles_leave_common_ones_out():
+    """A passage of rare words that many texts of the sample have is avoided; texts at the threshold still share enough."""
+    rng, words = random.Random(2), np.full(near_dedup.CELLS, 20, dtype=np.uint8)
+    common = np.zeros(1 << near_dedup.SHINGLE_BITS, dtype=np.uint8)
+    passage, own = ([w.encode() for w in prose(rng, n, 10**9).split()] for n in (40, 160))
+    hashes = near_dedup.word_hashes([*own[:80], *passage, *own[80:]])
+    words[(hashes[80:120] >> np.uint64(44)).astype(np.int64)] = 0
+    often = near_dedup.shingles(near_dedup.word_hashes(passage), 2)
+    common[(often >> np.uint64(64 - near_dedup.SHINGLE_BITS)).astype(np.int64)] = 200
+    often = set((often >> np.uint64(24)).tolist())
+    assert often <= set(near_dedup.rarest(hashes, words, 0.8).tolist())
+    assert not often & set(near_dedup.rarest(hashes, words, 0.8, common).tolist())
+    for _ in range(50):
+        common = np.array([0, 130, 200, 255], dtype=np.uint8)[np.random.default_rng(rng.randrange(10**6)).integers(0, 4, 1 << near_dedup.SHINGLE_BITS)]
+        a = prose(rng, rng.randrange(5, 300), rng.choice([30, 10**6])).split()
+        b = edited(rng, a, near_dedup.edit_limit(len(a), len(a), 0.8))
+        x, y = (set(near_dedup.rarest(near_dedup.word_hashes([w.encode() for w in t]), words, 0.8, common).tolist()) for t in (a, b))
+        m = max(len(a), len(b))
+        assert len(x & y) >= min(near_dedup.SHARED + m // near_dedup.PER_WORDS, m - 1 - 2 * near_dedup.edit_limit(m, m, 0.8))
+
+
+def test_tables_in_between_are_removed(spark):
+    rng, there = random.Random(3), len(order.WRITTEN)
+    near_dedup.near_duplicates(frame(spark, [(i, prose(rng, 40, 60)) for i in range(20)]))
+    assert len(order.WRITTEN) == there + 2 and all(os.path.isdir(p.removeprefix("file:")) for p in order.WRITTEN[there:])
+
+
 def test_near_duplicates_in_the_given_documents(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     found, of = found_links(spark, docs)
