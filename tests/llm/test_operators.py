@@ -232,6 +232,51 @@ def test_texts_at_the_threshold_share_shingles_at_near_places():
         assert set(rare[0].tolist()) & set(rare[1].tolist()) and len(rare[0]) <= max(1, near_dedup.edit_limit(len(a), len(a), 0.8) + 1)
 
 
+def test_few_texts_are_dealt_for_few_nodes(spark):
+    docs = spark.createDataFrame([(i, bytes([i % 7]), f"text {i}") for i in range(3000)] + [(None, b"x", "no id")], "doc_id long, key binary, text string")
+    named = docs.where("doc_id % 300 = 5").select("doc_id", "key")
+    got = near_dedup.beside(docs, named)
+    assert {5 + 300 * i for i in range(10)} <= {r["doc_id"] for r in got.collect()} and got.count() < 30
+    assert near_dedup.beside(docs, named.limit(0)).count() == 0
+    # Without a broadcast of the named nodes themselves, only those texts are sorted and merged.
+    rng, before = random.Random(31), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    texts = [(i, prose(rng, 40, 60)) for i in range(300)]
+    texts += [(1000, texts[7][1] + " more")]
+    keyed = frame(spark, texts).select(F.col("doc_id").cast("long"), F.unhex(F.sha2("text", 256)).alias("key"), "text")
+    nodes = near_dedup.written(keyed.select("key", F.col("doc_id").alias("first_id"), F.col("doc_id").alias("node")))
+    seen, beside = [], near_dedup.beside
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        near_dedup.beside = lambda *a: seen.append(beside(*a)) or seen[-1]
+        links = near_dedup.verified(keyed, nodes, spark.createDataFrame([(7, 1000), (7, 8)], "a long, b long"), 0.8, few=True).collect()
+    finally:
+        near_dedup.beside = beside
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [tuple(r) for r in links] == [(7, 1000)] and len(seen) == 1 and seen[0].count() < 10
+
+
+def test_the_smallest_shingles_are_those_of_a_plain_search(monkeypatch):
+    rng, seeds = np.random.default_rng(5), near_dedup.mix64(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
+    for n in (1, 2, 7, 300):
+        x = near_dedup.mix64(rng.integers(0, max(1, n // 2), n).astype(np.uint64))
+        seen, plain_form = {}, []
+        for v in x.tolist():
+            seen[v] = seen.get(v, -1) + 1
+            plain_form.append(v if not seen[v] else int(near_dedup.mix64(np.array([v], dtype=np.uint64) + np.uint64(seen[v]) * near_dedup.STEP)[0]))
+        whole, several = near_dedup.labelled_at(x)
+        assert whole.tolist() == plain_form and {x[i] for i in several} == {v for v in x if (x == v).sum() > 1} and all((x == v).sum() == sum(x[i] == v for i in several) for v in x[several])
+        wanted = []
+        for seed in seeds:
+            at = sorted(sorted(range(n), key=lambda i: int(whole[i]) * int(seed) % 2**64)[: min(2, n)])
+            h = 0
+            for i in at:
+                h = (h * int(near_dedup.STEP) + int(whole[i])) % 2**64
+            wanted.append(int(near_dedup.mix64(np.array([h], dtype=np.uint64) ^ seed)[0]))
+        for ranks in (1, 700, 32_000):
+            monkeypatch.setattr(near_dedup, "RANKS", ranks)
+            assert near_dedup.order_minhash(whole, seeds, 2).tolist() == wanted
+
+
 def test_tables_in_between_are_removed(spark):
     rng, there = random.Random(3), len(order.WRITTEN)
     near_dedup.near_duplicates(frame(spark, [(i, prose(rng, 40, 60)) for i in range(20)]))
