@@ -164,8 +164,8 @@ def radius_join_many(spark, sf_dir):
     origins = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").alias("origin_id"), (n * 2.0 + (F.col("s_suppkey") % 10).cast("double") / 10.0).alias("origin_lat"), (n + 60.0 + (F.col("s_suppkey") % 7).cast("double") / 10.0).alias("origin_lon")
     )
-    pairs = search.radius_join(origins, listings(spark, sf_dir).select("listing_id", "latitude", "longitude"), 55.5)
-    return pairs.groupBy("origin_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("distance_km"), 3).alias("nearest"), F.round(F.max("distance_km"), 3).alias("furthest"))
+    found = search.radius_counts(origins, listings(spark, sf_dir).select("latitude", "longitude"), 55.5)
+    return found.select("origin_id", "n", F.round("nearest", 3).alias("nearest"), F.round("furthest", 3).alias("furthest"))
 
 
 @over_listings("SELECT listing_id, title FROM L WHERE listing_id = 33")
