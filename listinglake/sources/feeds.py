@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from listinglake.functions import text as tx
 from listinglake.operators import milestones
+from listinglake.operators.order import written
 
 #: What every source gives; further columns are allowed.
 RAW_COLUMNS = [
@@ -52,6 +53,15 @@ def first_dates(df: DataFrame, key: str, text_col: str, year: int | None = None)
     return df.join(maps, df[key] == maps["id"], "left").drop("id")
 
 
+#: A table of at most so many short texts is sent to all tasks.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, to be sent to all tasks if it has FEW rows at most."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def window_end(df: DataFrame, key: str, text_col: str, year: int | None = None) -> DataFrame:
     """(id, submission_deadline): the last date of a range's text."""
     found = milestones.extract_milestones(df.select(key, text_col), key, text_col, year)
@@ -96,11 +106,20 @@ def cash_prizes(prizes: Column) -> tuple[Column, Column]:
 def feed_a(df: DataFrame, year: int | None = None) -> DataFrame:
     """A row for each listing. ``year``: that of the retrieval, for dates that name none. Of a description the first 6,000 characters are kept, as in all feeds of this kind."""
     i = df.select(F.explode("data.data").alias("i")).where("i.id is not null and i.title is not null")
-    i = i.withColumns({"key": F.col("i.id"), "description": F.substring(tx.html_text(F.col("i.details")), 1, 6000)})
-    # The description names the event's days, which the payload does not; once for each record id.
-    told = first_dates(i.select("key", "description").dropDuplicates(["key"]), "key", "description", year).select("key", "said")
-    i = i.join(told, "key", "left")
-    iso = lambda c: milestones.strict_date(F.col(c), year)
+    i = i.withColumn("description", F.substring(tx.html_text(F.col("i.details")), 1, 6000))
+    # The description names the event's days, which the payload does not. Texts repeat, and reading dates costs the most: each is read once.
+    dated = ("i.end_date", "i.regnRequirements.start_regn_dt", "i.regnRequirements.end_regn_dt")
+    texts = written(i.select(F.explode(F.array(*[F.struct(F.lit(c == "i.details").alias("long"), F.col(c).alias("text")) for c in ("i.details", *dated)])).alias("t")).select("t.*").where("text rlike '[0-9]'").distinct())
+    long = texts.where("long").select(F.md5("text").alias("key"), F.substring(tx.html_text(F.col("text")), 1, 6000).alias("description"))
+    told = written(first_dates(long, "key", "description", year).where("said is not null").select("key", "said"))
+    i = i.withColumn("key", F.when(F.col("i.details").rlike("[0-9]"), F.md5("i.details"))).join(few(told), "key", "left")
+    dates = written(texts.where("not long").select("text", milestones.strict_date(F.col("text"), year).alias("iso")).where("iso is not null"))
+    if dates.count() <= FEW:
+        for k, c in enumerate(dated):
+            i = i.join(few(dates.select(F.col("text").alias(f"text_{k}"), F.col("iso").alias(f"iso_{k}"))), F.col(c) == F.col(f"text_{k}"), "left").drop(f"text_{k}")
+        iso = lambda c: F.col(f"iso_{dated.index(c)}")
+    else:
+        iso = lambda c: milestones.strict_date(F.col(c), year)
     end, told_end = iso("i.end_date"), F.element_at("said", F.lit("hackathon_end"))
     fee = fee_total(F.col("i.payment_services"))
     of = lambda kind: F.filter("i.filters", lambda f: f["type"] == kind)
